@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, htmltext, langid, mixing, pieces, quality, sstable
+from . import chat, exact, htmltext, langid, mixing, nearset, pieces, quality, sstable
 
 QUERIES = {
     "op1_entropy_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.query,
     "op5_site_style_tree": htmltext.query,
     "op6_quality_rules": quality.query,
+    "op7_chosen_path_join": nearset.query,
     "op8_language_mixture": langid.query,
     "op10_chat_format": chat.query,
 }
