@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact, htmltext, langid, mixing, nearset, pieces, quality, sstable
+from . import attention, chat, exact, htmltext, langid, mixing, nearset, pieces, quality, sstable
 
 QUERIES = {
     "op1_entropy_mixing": mixing.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_quality_rules": quality.query,
     "op7_chosen_path_join": nearset.query,
     "op8_language_mixture": langid.query,
+    "op9_attention_scores": attention.query,
     "op10_chat_format": chat.query,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact.ORACLE,
+    "op9_attention_scores": attention.query,
     "op10_chat_format": chat.ORACLE,
 }
