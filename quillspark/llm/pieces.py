@@ -216,7 +216,7 @@ class Pieces:
             end += size
             lengths = self.lengths[own]
             if not self.has_bytes and lengths.sum() != len(at) - 1:  # unknown pieces span what no piece names
-                lengths = np.array([len(p.surface.encode()) for p in self.bare.encode(norm, out_type="immutable_proto").pieces])
+                lengths = np.array([len(p.surface.encode()) for p in self.bare.encode(norm, return_type="proto").pieces])
             ends = np.cumsum(lengths)
             last = at[-1]
             out.append((np.append(own, self.end_id), np.append(at[ends - lengths], last), np.append(at[ends], last)))
