@@ -73,3 +73,79 @@ def chunks(values: list, most: int = 1 << 20) -> Iterator[slice]:
         size += n
     if start < len(values):
         yield slice(start, len(values))
+
+
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C55
+_powers = np.ones(1, _U)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Scrambles 64-bit values one to one."""
+    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> _U(33))
+
+
+def powers(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) < n:
+        out = np.full(max(n, 256), _BASE, _U)
+        out[0] = 1
+        _powers = np.cumprod(out)
+    return _powers
+
+
+def hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the segments of a byte array that begin at starts and touch each other."""
+    lengths = np.diff(np.append(starts, len(data)))
+    inside = np.arange(len(data)) - np.repeat(starts, lengths)
+    p = powers(int(lengths.max()))
+    return mix(np.add.reduceat((data.astype(_U) + _U(1)) * p[inside], starts) + lengths.astype(_U))
+
+
+class HashedEncoder:
+    """As SegmentEncoder, for segments given by hashes: whole columns are looked up by numpy, and
+    only segments not met before become strings. Segments of equal 64-bit hash count as one."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000, most_ids: int = 8_000_000):
+        self.encode, self.most, self.most_ids = encode, most, most_ids
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.start, self.size = np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.used = np.empty(1 << 16, np.int32), 0
+
+    def _learn(self, keys: np.ndarray, segments: list[bytes]) -> None:
+        ids = self.encode(segments)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(size.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        at = np.searchsorted(self.keys, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.keys = np.insert(self.keys, at, keys)
+        self.used += total
+
+    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return at, self.keys[at] == wanted
+
+    def __call__(self, wanted: np.ndarray, segment: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the number of ids of each segment; segment(i) are its bytes."""
+        at, hit = self._find(wanted)
+        if not hit.all():
+            if len(self.keys) > self.most or self.used > self.most_ids:
+                self._empty()
+                hit[:] = False
+            missing = np.flatnonzero(~hit)
+            new, first = np.unique(wanted[missing], return_index=True)
+            self._learn(new, [segment(i) for i in missing[first].tolist()])
+            at, _ = self._find(wanted)
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], size
