@@ -1,6 +1,320 @@
-"""Named queries and the DuckDB SQL that gives the same rows."""
+"""Named queries, each over whole tables, and the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import sets, text, web
+from ..operators import feedback, frontier, merge, selection
+from . import oracles as O  # noqa: N812, E741
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query by its name, with its oracle."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    return frontier.sources(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- text functions
+
+
+@query(f"SELECT doc_id, length({O.norm('text')}) AS n_clean, md5({O.norm('text')}) AS clean_md5 FROM documents")
+def normalize_space_stats(spark, sf_dir):
+    clean = text.normalize_space(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(clean).cast("long").alias("n_clean"), F.md5(clean).alias("clean_md5"))
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, len(list_distinct({O.content('t')})) AS n_signature FROM (SELECT doc_id, {O.tok('text')} AS t FROM documents)")
+def token_counts(spark, sf_dir):
+    t = text.tokenize(F.col("text"))
+    n = lambda c: F.size(c).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", n(t).alias("n_tokens"), n(F.array_distinct(t)).alias("n_distinct"), n(text.signature(F.col("text"))).alias("n_signature"))
+
+
+@query(f"SELECT doc_id, round({O.ratio('t')}, 6) AS unique_ratio FROM (SELECT doc_id, {O.tok('text')} AS t FROM documents)")
+def token_unique_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.unique_ratio(F.col("text")), 6).alias("unique_ratio"))
+
+
+@query(f"SELECT doc_id, len({O.sentences('text')}) AS n_sentences, len({O.usable('text')}) AS n_usable FROM documents")
+def sentence_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"), F.size(text.usable_sentences(F.col("text"))).cast("long").alias("n_usable"))
+
+
+@query(f"""SELECT doc_id, i - 1 AS sentence_index, length(s) AS n_chars, len(list_distinct({O.tok('s')})) AS n_words FROM
+(SELECT doc_id, unnest({O.usable('text')}) AS s, generate_subscripts({O.usable('text')}, 1) AS i FROM documents)""")
+def sentence_pool(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.usable_sentences(F.col("text"))).alias("i", "s"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("sentence_index"), F.length("s").cast("long").alias("n_chars"), F.size(F.array_distinct(text.tokenize(F.col("s")))).cast("long").alias("n_words"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest({O.sentences('text')}) AS s, generate_subscripts({O.sentences('text')}, 1) AS i FROM documents),
+c AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS upto FROM s),
+k AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS t FROM c WHERE i <= 6 AND (i = 1 OR upto <= 1800) GROUP BY 1)
+SELECT d.doc_id, length(substring(coalesce(t, ''), 1, 1800)) AS n_summary, md5(substring(coalesce(t, ''), 1, 1800)) AS summary_md5 FROM documents d LEFT JOIN k USING (doc_id)""")
+def summarize_budget(spark, sf_dir):
+    s = text.summarize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(s).cast("long").alias("n_summary"), F.md5(s).alias("summary_md5"))
+
+
+@query(f"SELECT item_id, array_to_string(list_slice({O.content(O.tok('text'))}, 1, 6), ' ') AS term_key FROM benchmark")
+def term_keys(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", text.term_key(F.col("text")).alias("term_key"))
+
+
+@query(f"WITH {O.TOPICS} SELECT query_id, word FROM focus")
+def focus_word_variants(spark, sf_dir):
+    return frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", F.explode("focus").alias("word"))
+
+
+@query(f"SELECT doc_id, count(DISTINCT w) AS n_concepts FROM (SELECT doc_id, unnest({O.content(O.tok('text'))}) AS w FROM documents) WHERE length(w) > 8 GROUP BY 1")
+def concept_long_words(spark, sf_dir):
+    long_words = F.filter(text.signature(F.col("text")), lambda w: F.length(w) > 8)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(long_words).cast("long").alias("n_concepts")).where("n_concepts > 0")
+
+
+# ---------------------------------------------------------------- pages
+
+
+_URL = f"SELECT page_id, url, {O._HOST} AS h, {O._PATH} AS p FROM pages"
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(u, '^https?://[^/?#()<>"'']+([/?#]|$)') THEN u ELSE '' END AS url, regexp_replace(regexp_replace(u, '#.*$', ''), '/+$', '') AS url_key
+FROM (SELECT page_id, regexp_replace(trim(regexp_replace(url, '\\s+', ' ', 'g')), '^[.,;)]+|[.,;)]+$', '', 'g') AS u FROM pages)""")
+def url_normalize(spark, sf_dir):
+    u = web.normalize_url(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", u.alias("url"), web.key_url(u).alias("url_key"))
+
+
+@query(f"SELECT page_id, regexp_replace(h, '^www\\.', '') AS domain FROM ({_URL})")
+def url_domain(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", web.domain(F.col("url")).alias("domain"))
+
+
+@query()
+def url_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", web.title_from_url(F.col("url")).alias("title"))
+
+
+@query(f"SELECT page_id FROM ({_URL}) WHERE regexp_matches(url, '^https?://[^/?#]') AND NOT {O._INTERNAL} AND NOT regexp_matches(lower(p), '\\.({'|'.join(web.FILE_SUFFIXES)})$')")
+def fetchable_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").where(web.fetchable(F.col("url"))).select("page_id")
+
+
+@query(f"SELECT page_id, {O.TITLE} AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", web.html_title(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, length(r) AS n_chars, md5(r) AS text_md5 FROM (SELECT page_id, {O.READABLE} AS r FROM pages)")
+def html_readable_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", web.readable_text(F.col("html")).alias("r"))
+    return rows.select("page_id", F.length("r").cast("long").alias("n_chars"), F.md5("r").alias("text_md5"))
+
+
+@query(f"""SELECT page_id, round(greatest(0.40::DOUBLE, least(0.99::DOUBLE, 0.48::DOUBLE + CASE WHEN contains(h, 'wikipedia.org') THEN 0.38::DOUBLE WHEN h LIKE '%.gov' THEN 0.28::DOUBLE WHEN h LIKE '%.edu' THEN 0.24::DOUBLE WHEN h LIKE '%.org' THEN 0.16::DOUBLE WHEN h LIKE '%.com' THEN 0.10::DOUBLE ELSE 0 END
+ + CASE WHEN len({O.usable('r')}) >= 4 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN len({O.tok('t')}) >= 2 THEN 0.03::DOUBLE ELSE 0 END)), 4) AS authority
+FROM (SELECT page_id, {O._HOST} AS h, {O.READABLE} AS r, {O.TITLE} AS t FROM pages)""")
+def authority_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", web.readable_text(F.col("html")).alias("r"), web.html_title(F.col("html")).alias("t"))
+    return rows.select("page_id", web.authority(F.col("url"), F.col("r"), F.col("t")).alias("authority"))
+
+
+# ---------------------------------------------------------------- features, ranking, gate
+
+
+@query(f"WITH {O.SOURCES} {O.SPAM}")
+def spam_risk(spark, sf_dir):
+    return _sources(spark, sf_dir).select("doc_id", frontier.spam_risk(F.col("title"), F.col("content")).alias("spam_risk"))
+
+
+@query(f"""WITH {O.SOURCES} SELECT doc_id, round(least(1.0::DOUBLE, len(regexp_extract_all(title || '. ' || substring(content, 1, 700), {O.q(frontier.DEFINING)})) * 0.11::DOUBLE
+ + CASE WHEN regexp_matches(title, {O.q(frontier.DEFINING)}) THEN 0.12::DOUBLE ELSE 0 END), 6) AS definitional_density FROM src""")
+def definitional_density(spark, sf_dir):
+    return _sources(spark, sf_dir).select("doc_id", frontier.definitional_density(F.col("title"), F.col("content")).alias("definitional_density"))
+
+
+@query(f"WITH {O.SOURCES} SELECT doc_id, {O.DEPTH} AS content_depth FROM src")
+def content_depth(spark, sf_dir):
+    return _sources(spark, sf_dir).select("doc_id", frontier.content_depth(F.col("content")).alias("content_depth"))
+
+
+@query(f"WITH {O.RANKED} SELECT query_id, doc_id, relevance, score, CAST(rank AS INT) AS rank FROM ranked")
+def lexical_relevance_topk(spark, sf_dir):
+    return frontier.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {O.QUALITY} SELECT * FROM quality")
+def frontier_quality(spark, sf_dir):
+    return frontier.quality(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {O.QUALITY} SELECT query_id, real_count, avg_frontier_score, avg_relevance, coverage_ratio, use_fallback, desired_count FROM ({O.GATE})")
+def fallback_gate(spark, sf_dir):
+    return frontier.gate(frontier_quality(spark, sf_dir))
+
+
+def _ranked_sources(spark, sf_dir) -> DataFrame:
+    """The frontier with what selection needs."""
+    docs = table(spark, sf_dir, "documents")
+    ranked = frontier.rank(table(spark, sf_dir, "benchmark"), docs)
+    signature = text.signature(F.col("text"))
+    extra = docs.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi")
+    extra = extra.select("doc_id", signature.alias("words"), F.slice(F.filter(signature, lambda w: F.length(w) > 8), 1, 6).alias("concepts"))
+    return ranked.join(extra, "doc_id").withColumn("informative", F.lit(0.5)).withColumn("authority", F.lit(0.5))
+
+
+@query(f"""WITH {O.RANKED}, sig AS (SELECT doc_id, list_distinct({O.content(O.tok('text'))}) AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM ranked)),
+p AS (SELECT a.query_id, CASE WHEN len(x.w) > 0 AND len(y.w) > 0 THEN len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE ELSE 0.0::DOUBLE END AS j
+ FROM ranked a JOIN ranked b ON a.query_id = b.query_id AND a.rank < b.rank JOIN sig x ON x.doc_id = a.doc_id JOIN sig y ON y.doc_id = b.doc_id)
+SELECT query_id, round(avg(j), 6) AS redundancy FROM p GROUP BY 1""")
+def pairwise_redundancy(spark, sf_dir):
+    rows = _ranked_sources(spark, sf_dir).select("query_id", "rank", "words")
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")))
+    return pairs.groupBy(F.col("a.query_id").alias("query_id")).agg(F.round(F.avg(sets.jaccard(F.col("a.words"), F.col("b.words"))), 6).alias("redundancy"))
+
+
+@query()
+def greedy_selection(spark, sf_dir):
+    focus = frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", "focus")
+    return selection.greedy(_ranked_sources(spark, sf_dir).join(focus, "query_id"))
+
+
+@query()
+def evolve_selection(spark, sf_dir):
+    focus = frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", "focus")
+    return selection.evolve(_ranked_sources(spark, sf_dir).join(focus, "query_id"))
+
+
+@query()
+def fitness_of_individuals(spark, sf_dir):
+    rows = _ranked_sources(spark, sf_dir)
+    members = rows.withColumn("set_id", F.col("query_id") * 4 + F.floor((F.col("rank") - 1) / 6)).withColumn("place", F.col("rank"))
+    return selection.fitness(members, frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", "focus"))
+
+
+_GRAMS = "list_distinct([substring(t, i, 4) for i in range(1, greatest(length(t) - 3, 0) + 1)])"
+
+
+@query(f"""WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM benchmark),
+g AS (SELECT item_id, t, list_distinct(regexp_extract_all(t, {O.q(text.TOKEN)})) AS w, {_GRAMS} AS c FROM b)
+SELECT x.item_id AS a, y.item_id AS b, round(CASE WHEN x.t = '' OR y.t = '' THEN 0.0::DOUBLE WHEN x.t = y.t THEN 1.0::DOUBLE WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0.0::DOUBLE ELSE
+ 0.55::DOUBLE * len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) + 0.45::DOUBLE * CASE WHEN len(x.c) = 0 OR len(y.c) = 0 THEN 0 ELSE len(list_intersect(x.c, y.c)) / (len(x.c) + len(y.c) - len(list_intersect(x.c, y.c)))::DOUBLE END END, 6) AS similarity
+FROM g x JOIN g y ON y.item_id = x.item_id + 1""")
+def char_ngram_similarity(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("t"))
+    x, y = b.alias("x"), b.alias("y")
+    return x.join(y, F.col("y.item_id") == F.col("x.item_id") + 1).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.round(sets.lexical_similarity(F.col("x.t"), F.col("y.t")), 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- merging
+
+
+@query("""SELECT doc_id, provider, round, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY bucket ORDER BY round, provider, doc_id) AS INT) AS place FROM
+(SELECT doc_id, source AS provider, lang AS bucket, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS INT) AS round FROM documents))""")
+def provider_interleave(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("provider"), F.col("lang").alias("bucket"))
+    return merge.interleave(rows, "provider", ["doc_id"], ["bucket"]).select("doc_id", "provider", "round", "place")
+
+
+@query("SELECT doc_id, title FROM (SELECT doc_id, lower(substring(text, 1, 180)) AS title, row_number() OVER (PARTITION BY lower(substring(text, 1, 180)) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def dedupe_first_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring("text", 1, 180)).alias("title"))
+    return merge.first_wins(rows, ["title"], ["doc_id"])
+
+
+@query("""SELECT key, arg_max(content, (length(content), -doc_id)) AS content, count(*) AS n_merged, array_to_string(list_sort(list(DISTINCT source)), ',') AS providers
+FROM (SELECT *, lower(substring(text, 1, 60)) AS key, text AS content FROM documents) GROUP BY key""")
+def dedupe_merge_by_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.lower(F.substring("text", 1, 60)).alias("key"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("content"), F.col("source").alias("provider"), F.lit(0.5).alias("informative_score"), F.lit(0.5).alias("authority_score"))
+    return merge.merge_by_key(rows, "key").select("key", "content", "n_merged", F.array_join("providers", ",").alias("providers"))
+
+
+def _frontier_rows(spark, sf_dir) -> DataFrame:
+    docs = frontier.sources(table(spark, sf_dir, "documents"))
+    ranked = frontier.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return ranked.join(docs, "doc_id").select("query_id", F.col("rank").cast("long").alias("pos"), F.concat(F.lit("https://local/"), F.col("doc_id") % 500).alias("url"), "title", "content", "provider")
+
+
+@query()
+def dedupe_ordered_fold(spark, sf_dir):
+    return merge.ordered_fold(_frontier_rows(spark, sf_dir))
+
+
+@query()
+def near_duplicate_fold(spark, sf_dir):
+    return merge.near_fold(_frontier_rows(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- books, feedback, metrics
+
+
+@query("SELECT conv_id, turn, 3 + coalesce(sum(pages) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS title_page FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 2 ELSE 1 END AS pages FROM conversations)")
+def page_numbers(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    pages = F.when(F.col("role") == "assistant", 2).otherwise(1)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (3 + F.coalesce(F.sum(pages).over(w), F.lit(0))).cast("long").alias("title_page"))
+
+
+@query(O.PROFILE)
+def feedback_reward_profile(spark, sf_dir):
+    return feedback.reward_profile(feedback.records(table(spark, sf_dir, "events")))
+
+
+@query(O.DOMINANT)
+def feedback_dominant_issues(spark, sf_dir):
+    return feedback.dominant_issues(feedback.records(table(spark, sf_dir, "events")))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def feedback_latest_upsert(spark, sf_dir):
+    return feedback.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")
+def feedback_event_antijoin(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return feedback.new_events(events.where("event_type = 'click'"), events).select("event_id", "user_id")
+
+
+
+
+@query("""SELECT l_returnflag, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_pop(x), 6) AS stdev, min(x) AS lowest, max(x) AS highest, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75
+FROM (SELECT l_returnflag, l_quantity AS x FROM lineitem) GROUP BY 1""")
+def metric_distribution(spark, sf_dir):
+    x = F.col("l_quantity")
+    r = lambda c: F.round(c, 6)
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r(F.avg(x)).alias("mean"), r(F.median(x)).alias("median"), r(F.stddev_pop(x)).alias("stdev"), F.min(x).alias("lowest"), F.max(x).alias("highest"), r(F.percentile(x, 0.25)).alias("p25"), r(F.percentile(x, 0.75)).alias("p75"))
+
+
+@query("""SELECT coalesce(tag, 'all') AS tag, n, round(total, 2) AS total FROM (SELECT o_orderpriority AS tag, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ()))""")
+def tag_packs_grouping(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").rollup("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    return rows.select(F.coalesce("o_orderpriority", F.lit("all")).alias("tag"), "n", F.round("total", 2).alias("total"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM v GROUP BY 1, 2)
+SELECT vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 5) AS similarity FROM v JOIN c USING (label, i) GROUP BY 1""")
+def vector_centroid_similarity(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    c = v.groupBy("label", "i").agg(F.avg("x").alias("m"))
+    x, m = F.col("x"), F.col("m")
+    return v.join(c, ["label", "i"]).groupBy("vec_id").agg(F.round(F.sum(x * m) / (F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(m * m))), 5).alias("similarity"))
