@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sets, text, web
-from ..operators import feedback, frontier, merge, selection
+from ..operators import concepts, feedback, frontier, merge, selection
 from . import oracles as O  # noqa: N812, E741
 
 QUERIES: dict = {}
@@ -318,3 +318,48 @@ def vector_centroid_similarity(spark, sf_dir):
     c = v.groupBy("label", "i").agg(F.avg("x").alias("m"))
     x, m = F.col("x"), F.col("m")
     return v.join(c, ["label", "i"]).groupBy("vec_id").agg(F.round(F.sum(x * m) / (F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(m * m))), 5).alias("similarity"))
+
+
+# ---------------------------------------------------------------- concepts and profiles
+
+
+
+
+
+@query(f"""WITH RECURSIVE {O.EDGES}, walk AS (SELECT a, a AS b, 0 AS d FROM edge GROUP BY a UNION SELECT w.a, e.b, w.d + 1 FROM walk w JOIN edge e ON w.b = e.a WHERE w.d < {concepts.HOPS})
+SELECT a, b, min(d) AS distance FROM walk GROUP BY 1, 2""")
+def graph_distance(spark, sf_dir):
+    return concepts.distances(spark)
+
+
+@query()
+def graph_expansion(spark, sf_dir):
+    texts = spark.createDataFrame([(t, t) for t in ("outlook of the malaysian stock market", "ai governance and risk controls", "biography of a prime minister", "grid resilience planning", "exports")], "key string, text string")
+    return concepts.expand(texts)
+
+
+@query()
+def concept_layers(spark, sf_dir):
+    pairs = [(s, n) for s in ("stock market", "artificial intelligence") for n in ("capital market", "exports", "machine learning", "stock market history", "grid resilience")]
+    return concepts.layers(spark.createDataFrame(pairs, "seed string, node string"))
+
+
+@query(O.ALIGNMENT)
+def profile_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    names = F.array(*[F.struct(F.lit(n).alias("profile"), concepts.alignment(F.col("text"), n).alias("score")) for n in concepts.PROFILES])
+    return docs.select("doc_id", F.explode(names).alias("x")).select("doc_id", "x.profile", "x.score")
+
+
+@query(f"""WITH {O.RANKED}, k AS (SELECT query_id, rank, lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) AS q, lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))) AS t
+ FROM ranked JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id)),
+g AS (SELECT *, list_distinct(regexp_extract_all(t, {O.q(text.TOKEN)})) AS w, list_distinct(regexp_extract_all(q, {O.q(text.TOKEN)})) AS qw, {_GRAMS} AS c, {_GRAMS.replace('(t', '(q')} AS qc FROM k),
+s AS (SELECT query_id, rank AS pos, round(CASE WHEN t = '' OR q = '' THEN 0.0::DOUBLE WHEN t = q THEN 1.0::DOUBLE WHEN len(w) = 0 OR len(qw) = 0 THEN 0.0::DOUBLE ELSE 0.55::DOUBLE * len(list_intersect(w, qw)) / (len(w) + len(qw) - len(list_intersect(w, qw)))
+ + 0.45::DOUBLE * CASE WHEN len(c) = 0 OR len(qc) = 0 THEN 0 ELSE len(list_intersect(c, qc)) / (len(c) + len(qc) - len(list_intersect(c, qc)))::DOUBLE END END, 6) AS similarity FROM g)
+SELECT query_id, CAST(pos AS INT) AS pos, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, pos) AS n, count(*) FILTER (similarity >= 0.12) OVER (PARTITION BY query_id) AS passed FROM s)
+WHERE similarity >= 0.12 OR (passed < 3 AND n <= 3)""")
+def semantic_filter(spark, sf_dir):
+    lower = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    rows = frontier.rank(bench, docs).join(bench.select(F.col("item_id").alias("query_id"), lower("text").alias("query")), "query_id").join(docs.select("doc_id", lower("text").alias("content")), "doc_id")
+    return concepts.semantic_filter(rows.select("query_id", F.col("rank").alias("pos"), "query", "content"), keep_min=3)

@@ -5,6 +5,7 @@ DuckDB's patterns have no look-behind, so sentences are cut by marking their end
 
 from __future__ import annotations
 
+from ..functions import lexicon
 from ..functions import text as T
 from ..functions import web
 from ..operators import feedback, frontier
@@ -123,3 +124,23 @@ SELECT w.weight, round(greatest({feedback.LOW}::DOUBLE, least({feedback.HIGH}::D
 FROM (VALUES {', '.join(f"({q(w)})" for w in feedback.WEIGHTS)}) w(weight) LEFT JOIN sums USING (weight)"""
 DOMINANT = f"""WITH {RECORDS}, n AS (SELECT tag, count(*) AS n FROM tags GROUP BY 1)
 SELECT * FROM (SELECT tag, n, CAST(row_number() OVER (ORDER BY n DESC, tag IN ({', '.join(q(t) for t in feedback.POSITIVE_TAGS)}), tag) AS INT) AS place FROM n) WHERE place <= 3"""
+
+_PAIRS = sorted({(a, b) for a, bs in [*lexicon.RELATIONS.items(), *lexicon.ALIASES.items()] for b in bs})
+EDGES = f"half(a, b) AS (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in _PAIRS)}), edge AS (SELECT a, b FROM half UNION SELECT b, a FROM half)"
+
+
+def _has(term: str) -> str:
+    return f"contains(t, {q(term)})" if " " in term else f"list_contains(w, {q(term)})"
+
+
+def _align(name: str) -> str:
+    p = lexicon.PROFILES[name]
+    count = lambda terms: "(" + " + ".join([f"CASE WHEN {_has(x)} THEN 1 ELSE 0 END" for x in terms] or ["0"]) + ")"
+    met = "(" + " + ".join(f"CASE WHEN {' OR '.join(_has(x) for x in g)} THEN 1 ELSE 0 END" for g in p["groups"]) + ")"
+    score = f"least({count(p['positive'])} * 0.08::DOUBLE, 0.32::DOUBLE) + {met} * 0.28::DOUBLE - least({count(p['negative'])} * 0.22::DOUBLE, 0.66::DOUBLE) - ({len(p['groups'])} - {met}) * 0.26::DOUBLE - CASE WHEN {met} = 0 THEN 0.24::DOUBLE ELSE 0 END"
+    return f"SELECT doc_id, {q(name)} AS profile, CASE WHEN t = '' THEN -1.0::DOUBLE ELSE round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {score})), 6) END AS score FROM d"
+
+
+ALIGNMENT = (
+    f"WITH d AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS t, regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), {q(T.TOKEN)}) AS w FROM documents) "
+    + " UNION ALL ".join(_align(n) for n in lexicon.PROFILES))
