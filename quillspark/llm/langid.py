@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-BUCKETS, MOST_LANGUAGES, CHUNK_CHARS = 1 << 16, 256, 1 << 21
+BUCKETS, MOST_LANGUAGES, CHUNK_CHARS = 1 << 16, 256, 1 << 19
 SMOOTHING, STEPS = 0.05, 12
 
 _letters: np.ndarray | None = None

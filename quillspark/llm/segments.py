@@ -3,7 +3,7 @@
 Where a tokenizer never joins two segments of a text into one token, the ids of the text are the
 ids of its segments one after the other. A worker has the library encode each distinct segment
 once, keeps the ids in one flat array and expands texts by numpy gathers. The store is emptied when
-it holds `most` segments or `most_ids` ids, so a worker's memory is bounded.
+it holds more than `most` segments or `most_ids` ids, so a worker's memory is bounded.
 """
 
 from __future__ import annotations
@@ -14,54 +14,6 @@ from itertools import chain
 import numpy as np
 
 
-class SegmentEncoder:
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], most: int = 300_000, most_ids: int = 3_000_000):
-        self.split, self.encode, self.most, self.most_ids = split, encode, most, most_ids
-        self._empty()
-
-    def _empty(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.start, self.size = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        base = len(self.index)
-        if base and (base + len(new) > self.most or self.used > self.most_ids):
-            raise OverflowError
-        ids = self.encode(new)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while base + len(new) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-        self.start[base : base + len(new)] = self.used + np.cumsum(size) - size
-        self.size[base : base + len(new)] = size
-        self.used += total
-        self.index.update(zip(new, range(base, base + len(new)), strict=True))
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of ids of each text."""
-        parts = [self.split(t) for t in texts]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        segments = list(chain.from_iterable(parts))
-        del parts
-        new = list(set(segments).difference(self.index))
-        if new:
-            try:
-                self._learn(new)
-            except OverflowError:
-                self._empty()
-                self._learn(list(set(segments)))
-        at = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(upto)
-
-
 def chunks(values: list, most: int = 1 << 20) -> Iterator[slice]:
     """Slices of texts of about `most` characters together; a longer text is alone."""
     start = size = 0
@@ -105,8 +57,8 @@ def hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class HashedEncoder:
-    """As SegmentEncoder, for segments given by hashes: whole columns are looked up by numpy, and
-    only segments not met before become strings. Segments of equal 64-bit hash count as one."""
+    """Segments are given by hashes: whole columns are looked up by numpy, and only segments not met
+    before become strings. Segments of equal 64-bit hash count as one."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000, most_ids: int = 8_000_000):
         self.encode, self.most, self.most_ids = encode, most, most_ids
