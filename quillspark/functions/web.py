@@ -55,7 +55,7 @@ def fetchable(url: Column) -> Column:
 def title_from_url(url: Column) -> Column:
     """The last part of the path as words, or the host."""
     parts = F.filter(F.split(path(url), "/"), lambda p: p != "")
-    slug = F.regexp_replace(F.regexp_replace(F.element_at(parts, -1), "[-_]", " "), r"\.[A-Za-z0-9]+$", "")
+    slug = F.regexp_replace(F.regexp_replace(F.try_element_at(parts, F.lit(-1)), "[-_]", " "), r"\.[A-Za-z0-9]+$", "")
     slug = F.trim(F.regexp_replace(slug, r"\s+", " "))
     return F.initcap(F.when((F.size(parts) > 0) & (slug != ""), slug).otherwise(F.replace(host(url), F.lit("www."), F.lit(""))))
 

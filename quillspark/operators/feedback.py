@@ -28,7 +28,7 @@ LOW, HIGH = 0.82, 1.35
 
 def records(events: DataFrame) -> DataFrame:
     """record_id, signal, tags of each user; the latest signal counts."""
-    tag = F.element_at(F.array(*[F.lit(t) for t in TAG_DELTAS]), (F.pmod(F.get_json_object("props", "$.k").cast("long"), F.lit(len(TAG_DELTAS))) + 1).cast("int"))
+    tag = F.element_at(F.array(*[F.lit(t) for t in TAG_DELTAS]), (F.pmod(F.get_json_object("props", "$.k").try_cast("long"), F.lit(len(TAG_DELTAS))) + 1).cast("int"))
     signal = F.when(F.col("event_type").isin("purchase", "signup"), "positive").when(F.col("event_type") == "error", "negative")
     rows = events.select(F.col("user_id").alias("record_id"), "ts", "event_id", signal.alias("signal"), F.when(F.col("event_type").isin("click", "view"), tag).alias("tag"))
     order = F.when(F.col("signal").isNotNull(), F.struct("ts", "event_id"))
