@@ -13,7 +13,9 @@
    steps as joins on the path, so no task ever holds one.
 4. Candidates of all trees are made distinct and confirmed on the full sets, which are computed again
    for candidate classes alone: first the best partner of each class in each node, then, between
-   the components these give, every candidate. Independent trees bring the recall near one: a pair at similarity
+   the components these give, every candidate. That second part begins again at the roots and drops
+   nothing: a node of one component ends, one where the next level would not halve the comparisons
+   between components makes them all at once, however large it is. Independent trees bring the recall near one: a pair at similarity
    0.8 meets in one tree with probability 0.8 or more at the first level and about 0.4 after fifteen.
 5. Components of the confirmed links, by minimum labels with pointer jumping, as joins.
 
@@ -50,6 +52,9 @@ NEAR, SAME = 178, 218
 DIRECT = 2_000_000
 #: Share of classes nearly equal to the pivot that makes a node tight.
 TIGHT = 0.25
+#: Classes of a node from which its components first meet by their best partners; classes that meet
+#: a node at once.
+CROWD, STEP = 256, 512
 #: Rows of a table of ids that may be broadcast (some 50 MB); larger ones are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -177,9 +182,18 @@ def stays(equal: np.ndarray, nids: np.ndarray, paths: np.ndarray) -> np.ndarray:
     return (equal < SAME) | (h % _U(4) == 0)
 
 
-def compare(nids: np.ndarray, sketches: np.ndarray, labels: np.ndarray | None, path: int, depth: int, found: set[tuple[int, int]]) -> None:
-    """The candidates among the classes of a node and below it: without labels the best partner of
-    each class, with labels (components known so far) all partners of another component."""
+def children(own: np.ndarray, sketches: np.ndarray, path: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The child nodes of a node that hold more than one class."""
+    for place in places_of(path):
+        values = sketches[own, place]
+        order = np.argsort(values, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
+            if len(part) > 1:
+                yield own[part], _hash(path, place, int(values[part[0]]))
+
+
+def compare(nids: np.ndarray, sketches: np.ndarray, path: int, depth: int, found: set[tuple[int, int]]) -> None:
+    """The best partner of each class among the classes of a node and below it."""
     todo = [(np.arange(len(nids)), path, depth)]
 
     def add(a: int, others: np.ndarray) -> None:
@@ -187,30 +201,13 @@ def compare(nids: np.ndarray, sketches: np.ndarray, labels: np.ndarray | None, p
 
     while todo:
         own, path, depth = todo.pop()
-        if labels is not None:
-            names, counts = np.unique(labels[own], return_counts=True)
-            if len(names) == 1:
-                continue
-            rest = own[labels[own] != names[counts.argmax()]]
-            if len(rest) * len(own) <= DIRECT or depth >= DEPTH:  # all that the largest component here lacks meet the node
-                for i in rest.tolist():
-                    other = own[labels[own] != labels[i]]
-                    add(int(nids[i]), nids[other[(sketches[other] == sketches[i]).sum(1) >= NEAR]])
-                continue
-        if len(own) > LEAF and (depth < DEPTH or labels is not None):
+        if len(own) > LEAF and depth < DEPTH:
             pivot = own[np.argmin(mix(nids[own].astype(_U) ^ _U(path & (1 << 64) - 1)))]
             equal = (sketches[own] == sketches[pivot]).sum(1)
             if (equal >= SAME).mean() >= TIGHT:
-                near = (equal >= NEAR) if labels is None else (equal >= NEAR) & (labels[own] != labels[pivot])
-                add(int(nids[pivot]), nids[own[near]])
+                add(int(nids[pivot]), nids[own[equal >= NEAR]])
                 own = own[stays(equal, nids[own], np.full(len(own), path)) & (own != pivot)]
-            for place in places_of(path):
-                values = sketches[own, place]
-                order = np.argsort(values, kind="stable")
-                cuts = np.flatnonzero(np.diff(values[order])) + 1
-                for part in np.split(order, cuts):
-                    if len(part) > 1:
-                        todo.append((own[part], _hash(path, place, int(values[part[0]])), depth + 1))
+            todo.extend((part, below, depth + 1) for part, below in children(own, sketches, path))
         elif len(own) > 1:
             best = np.full(len(own), -1)
             score = np.full(len(own), NEAR - 1)
@@ -224,6 +221,53 @@ def compare(nids: np.ndarray, sketches: np.ndarray, labels: np.ndarray | None, p
                 add(int(nids[own[i]]), nids[own[best[i] : best[i] + 1]])
 
 
+def partners(rest: np.ndarray, own: np.ndarray, nids: np.ndarray, sketches: np.ndarray, labels: np.ndarray, best: bool) -> np.ndarray:
+    """Candidate pairs of the classes `rest` with those of other components among `own`: all, or the
+    best of each two components."""
+    out, ranks = [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)]
+    for i in rest.tolist():
+        other = own[labels[own] != labels[i]]
+        equal = (sketches[other] == sketches[i]).sum(1)
+        other, equal = other[equal >= NEAR], equal[equal >= NEAR]
+        if len(other):
+            if best:
+                order = np.lexsort((-equal, labels[other]))
+                order = order[np.concatenate([[True], np.diff(labels[other][order]) != 0])]
+                other, equal = other[order], equal[order]
+                ranks.append(np.stack([np.minimum(labels[other], labels[i]), np.maximum(labels[other], labels[i]), -equal], 1))
+            out.append(np.stack([np.minimum(nids[other], nids[i]), np.maximum(nids[other], nids[i])], 1))
+    pairs = np.concatenate(out)
+    if best and len(pairs):
+        low, high, rank = np.concatenate(ranks).T
+        order = np.lexsort((rank, high, low))
+        pairs = pairs[order][np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])]
+    return pairs
+
+
+def between(nids: np.ndarray, sketches: np.ndarray, labels: np.ndarray, path: int, depth: int, best: bool) -> Iterator[np.ndarray]:
+    """The candidates between components (labels) among the classes of a node and below it. No class
+    is dropped: all that the largest component lacks meet the node, unless its children together
+    need at most half of the comparisons."""
+    todo = [(np.arange(len(nids)), path, depth)]
+
+    def cost(own: np.ndarray) -> int:
+        return (len(own) - int(np.unique(labels[own], return_counts=True)[1].max())) * len(own)
+
+    while todo:
+        own, path, depth = todo.pop()
+        whole = cost(own)
+        if whole > DIRECT and depth < DEPTH:
+            below = [(part, at, depth + 1) for part, at in children(own, sketches, path)]
+            if 2 * sum(cost(part) for part, _, _ in below) <= whole:
+                todo.extend(below)
+                continue
+        if whole:
+            names, counts = np.unique(labels[own], return_counts=True)
+            rest = own[labels[own] != names[counts.argmax()]]
+            for a in range(0, len(rest), STEP):
+                yield partners(rest[a : a + STEP], own, nids, sketches, labels, best)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """path, nids (with labels, if there are any, below them) and sketches of each node, from rows
     sorted by path."""
@@ -232,7 +276,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         if not b.num_rows:
             continue
         path = b.column("path").to_numpy()
-        nid = np.stack([b.column(c).to_numpy() for c in b.schema.names if c in ("nid", "label")])
+        nid = np.stack([b.column(c).to_numpy() for c in b.schema.names if c in ("nid", "label", "side")])
         sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
@@ -246,24 +290,104 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield int(held_path), np.concatenate(held_n, 1), np.concatenate(held_s)
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    a = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+def _pairs(a: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, k])) for k in (0, 1)], names=["a", "b"])
+
 
+def _distinct(parts: Iterator[np.ndarray], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Pairs in batches of about `most` at most, distinct in each."""
+    held, n = [], 0
+    for x in parts:
+        if len(x):
+            held.append(x)
+        n += len(x)
+        if n > most:
+            held = [np.unique(np.concatenate(held), axis=0)]
+            n = len(held[0])
+            if n > most // 2:
+                yield _pairs(held[0])
+                held, n = [], 0
+    if n:
+        yield _pairs(np.unique(np.concatenate(held), axis=0))
 
-def finish(rows: DataFrame, depth: int) -> DataFrame:
+
+def finish(rows: DataFrame, depth: int, best: bool = True) -> DataFrame:
     """Candidate pairs a < b of nodes that fit a task. rows: path, nid, sketch, and label or not."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for path, nids, sketches in _groups(batches):
-            compare(nids[0], sketches, nids[1] if len(nids) > 1 else None, path, depth, found)
-            if len(found) > 100_000:
-                yield _pairs(found)
-                found = set()
-        if found:
-            yield _pairs(found)
+            if len(nids) > 1:
+                yield from between(nids[0], sketches, nids[1], path, depth, best)
+                continue
+            found: set[tuple[int, int]] = set()
+            compare(nids[0], sketches, path, depth, found)
+            yield np.array(sorted(found), np.int64).reshape(-1, 2)
+
+    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(lambda batches: _distinct(pairs(batches)), "a long, b long")
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+
+def mixed(rows: DataFrame, *by: str) -> DataFrame:
+    """path, n, main (its largest component), cost of nodes with several components."""
+    n = rows.groupBy("path", "label", *by).agg(F.count(F.lit(1)).alias("n"))
+    n = n.groupBy("path", *by).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")).where("most < n")
+    return stage(n.select("path", *by, "n", "main", ((F.col("n") - F.col("most")) * F.col("n")).cast("double").alias("cost")), "near-mixed")
+
+
+def split_all(rows: DataFrame) -> DataFrame:
+    """The child rows of nodes, none dropped, with the path of the parent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column("sketch").to_pylist()
+            at, paths = [], []
+            for i, path in enumerate(b.column("path").to_pylist()):
+                for place in places_of(path):
+                    at.append(i)
+                    paths.append(_hash(path, place, raw[i][place]))
+            if at:
+                part = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(paths, _U))), *(part.column(c) for c in ("nid", "sketch", "label", "path"))], names=["path", "nid", "sketch", "label", "parent"])
+
+    return rows.select("path", "nid", "sketch", "label").mapInArrow(run, "path long, nid long, sketch binary, label long, parent long")
+
+
+def meet_all(rows: DataFrame, sizes: DataFrame, best: bool) -> DataFrame:
+    """Of nodes of any size, all that the largest component lacks meet the node, in cells of STEP
+    times BLOCK classes or so."""
+    rows = rows.join(sizes.select("path", "main", F.ceil(F.col("cost") / F.col("n") / STEP).cast("int").alias("across"), F.ceil(F.col("n") / BLOCK).cast("int").alias("down")), "path")
+    nth = lambda k: F.pmod(F.xxhash64("nid"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    cells = [
+        rows.where("label != main").select("path", "nid", "sketch", "label", nth("across").alias("x"), every("down").alias("y"), F.lit(0).cast("long").alias("side")),
+        rows.select("path", "nid", "sketch", "label", every("across").alias("x"), nth("down").alias("y"), F.lit(1).cast("long").alias("side"))]
+    cells = cells[0].unionByName(cells[1]).select(F.xxhash64("path", "x", "y").alias("path"), "nid", "sketch", "label", "side")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, (nids, labels, side), sketches in _groups(batches):
+            yield partners(np.flatnonzero(side == 0), np.flatnonzero(side == 1), nids, sketches, labels, best)
+
+    return cells.repartition("path").sortWithinPartitions("path").mapInArrow(lambda batches: _distinct(pairs(batches)), "a long, b long")
+
+
+def between_components(rows: DataFrame, roots: DataFrame, best: bool, least: int) -> DataFrame:
+    """Candidates between components from the roots down, in nodes of more than `least` classes:
+    all of them, or the best of each two components in a node. rows: path, nid, sketch."""
+    rows = rows.join(roots, "nid", "left").select("path", "nid", "sketch", F.coalesce("root", "nid").alias("label"))
+    sizes = mixed(rows)
+    pairs, depth = [], 1
+    while True:
+        wanted = sizes.where(F.col("n") > least)
+        pairs.append(finish(rows.join(few(wanted.where(F.col("n") <= BLOCK).select("path")), "path"), depth, best))
+        big = wanted.where(F.col("n") > BLOCK)
+        if big.isEmpty():
+            break
+        rows = stage(rows.join(few(big.select("path")), "path"), "near-large")
+        below = stage(split_all(rows), "near-level")
+        sizes = mixed(below, "parent")
+        costs = sizes.groupBy("parent").agg(F.sum("cost").alias("below")).withColumnRenamed("parent", "path")
+        split = stage(big.join(costs, "path", "left").where((2 * F.coalesce("below", F.lit(0.0)) <= F.col("cost")) & F.lit(depth < DEPTH)).select("path"), "near-split")
+        pairs.append(meet_all(rows, big.join(few(split), "path", "left_anti"), best))
+        parents = few(split.withColumnRenamed("path", "parent"))
+        rows, sizes, depth = below.join(parents, "parent").drop("parent"), stage(sizes.join(parents, "parent").drop("parent"), "near-mixed"), depth + 1
+    return _union(pairs)
 
 
 def branch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -296,18 +420,19 @@ def branch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, stage(met.mapInArrow(split, "path long, nid long, sketch binary"), "near-level")
 
 
-def nodes(classes: DataFrame) -> tuple[list[tuple[DataFrame, int]], list[DataFrame]]:
-    """Rows (path, nid, sketch) of nodes that fit a task, by depth, and candidates from larger ones."""
+def nodes(classes: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, int]], list[DataFrame]]:
+    """Rows (path, nid, sketch) at the roots, of nodes that fit a task, by depth, and candidates from
+    larger ones."""
     sketches = classes.select("nid", "sketch")
     rows = stage(first_level(classes), "near-paths")
     sizes = stage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
     rows = rows.join(sizes.select("path"), "path")
     rows = stage(rows.join(sketches, "nid").select("path", "nid", "sketch"), "near-rows")
-    small, pairs, depth = [], [], 1
+    top, small, pairs, depth = rows, [], [], 1
     while True:
         big = sizes.where(F.col("n") > BLOCK)
         if depth >= DEPTH or big.isEmpty():
-            return [*small, (rows, depth)], pairs
+            return top, [*small, (rows, depth)], pairs
         large = few(big.select("path"))  # one in BLOCK rows at most
         small.append((rows.join(large, "path", "left_anti"), depth))
         order = F.xxhash64("path", "nid")
@@ -320,18 +445,24 @@ def nodes(classes: DataFrame) -> tuple[list[tuple[DataFrame, int]], list[DataFra
         rows = stage(rows.join(sizes.select("path"), "path"), "near-rows")
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return stage(reduce(DataFrame.unionByName, frames).distinct(), "near-pairs")
+
+
 def linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links a < b that connect what all links connect. First each class meets the best
-    partner of every node it is in; then, with the components of those links known, all partners
-    of another component. Links inside a component that is known already are never made, so a group
-    of m near copies costs pairs in proportion to m."""
-    parts, met = nodes(classes)
-    union = lambda frames: stage(reduce(DataFrame.unionByName, frames).distinct(), "near-pairs")
-    first = stage(confirm(union([*met, *(finish(rows, depth) for rows, depth in parts)]), classes, docs, width, percent, id_col, text_col), "near-links")
-    roots = stage(components(first), "near-roots")
-    labelled = lambda rows: rows.join(roots, "nid", "left").select("path", "nid", "sketch", F.coalesce("root", "nid").alias("label"))
-    more = union([finish(labelled(rows), depth) for rows, depth in parts])
-    return first.unionByName(confirm(more, classes, docs, width, percent, id_col, text_col))
+    partner of every node it is in. Then, with the components of those links known, each two of them
+    meet in larger nodes by their best partners, and at last, with the components known by then, all
+    partners of another component. Links inside a component that is known already are never made, so a group of m near copies costs pairs in proportion to m."""
+    check = lambda pairs: stage(confirm(pairs, classes, docs, width, percent, id_col, text_col), "near-links")
+    top, parts, met = nodes(classes)
+    links = check(_union([*met, *(finish(rows, depth) for rows, depth in parts)]))
+    roots = stage(components(links), "near-roots")
+    joining = between_components(top, roots, True, CROWD)
+    if not joining.isEmpty():
+        links = links.unionByName(check(joining))
+        roots = stage(components(links), "near-roots")
+    return links.unionByName(check(between_components(top, roots, False, 1)))
 
 
 def few(ids: DataFrame) -> DataFrame:

@@ -335,6 +335,26 @@ def test_nodes_too_large_for_a_task(spark, monkeypatch):
     assert got == _brute(rows, 4, 80)
 
 
+def test_links_of_what_leaves_a_tight_node(spark, monkeypatch):
+    monkeypatch.setattr(nearset, "BLOCK", 16)  # several levels of nodes too large for a task
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(400):
+        copy = list(base)
+        copy[2 + rng.randrange(40) * 4] = f"x{i}"
+        texts.append(copy)
+    for i in range(40):  # at 0.8 or more to one of the copies alone
+        edited = list(texts[i])
+        for k in range(5):
+            edited[4 + 39 * k] = f"y{i}_{k}"
+        texts.append(edited)
+    rows = list(enumerate(" ".join(t) for t in texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in nearset.near_duplicates(df, 4, 80).collect()}
+    assert got == _brute(rows, 4, 80) and len({c for _, c in got.values()}) == 1
+
+
 def test_near_small_table(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in nearset.near_duplicates(docs, 4, 80).collect()}
