@@ -8,11 +8,12 @@ pages costs no more than its distinct nodes. The importance of a node is
 
   prior(role) * (0.9 * entropy of its contents + 0.1 * entropy of its presentations)
 
-with entropies divided by that of all pages being different. A content that fills its node on many
-pages has importance 1 - log(count) / log(pages). Branches below the threshold go. Elements that
+with entropies divided by that of all pages being different. A content that a node shows on many
+pages has importance prior * (1 - log(pages with it) / log(pages of the host)). Branches and
+contents below the threshold go, inside and outside of article and main elements. Those elements
+only raise the prior, so that a passage must be on nearly all pages of its site to go. Elements that
 name themselves menu, header, footer, sidebar, notice, advert, form or comments have a prior so low
-that they always go; inside an article or main element nothing else does, because there the page
-itself says what its content is, however often a passage returns on the site.
+that they always go.
 
 The unimportant nodes of a host are few (each fills a large share of its pages) and travel to the
 pages in a join on the host, whose page side adaptive execution can split.
@@ -49,7 +50,7 @@ AWAY_TAGS = frozenset("nav footer aside form dialog button menu head".split())
 AWAY_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo comment comments disqus reply replies cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing social related login signup search pagination pager skip toolbar dialog alert".split())
 HEAD_WORDS = frozenset("header masthead".split())
 
-THRESHOLD, AWAY_PRIOR, LEAST_PAGES = 0.2, 0.1, 5
+THRESHOLD, AWAY_PRIOR, MAIN_PRIOR, LEAST_PAGES = 0.2, 0.1, 2.0, 5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW.split()) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -78,8 +79,7 @@ class Page:
         def close(to: int):
             while len(stack) > to:
                 path = stack.pop()[1]
-                if not stack[-1][3]:
-                    self.styles[(path, ",".join(dict.fromkeys(kids[-1])))] += 1
+                self.styles[(path, ",".join(dict.fromkeys(kids[-1])))] += 1
                 kids.pop()
 
         for m in TOKEN.finditer(self.source):
@@ -149,7 +149,8 @@ def host(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, kind ('content' or 'style'), value, n: what the pages of a host show at a node."""
+    """host, path, content (or style), value, away, inside, n: what the pages of a host show at a
+    node, a content once for each page; and a row with null path for the pages themselves."""
     rows = pages.select(host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,48 +158,42 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             seen: Counter = Counter()
             for h, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 page = Page(source)
-                for path, away, inside, text in page.blocks():
-                    if away or not inside:  # nothing else can go
-                        at = digest(path)
-                        seen[(h, at, away, True, digest(path, text))] += 1
+                seen.update({(h, digest(path), away, inside, True, digest(path, text)) for path, away, inside, text in page.blocks()})
                 for (path, style), n in page.styles.items():
-                    seen[(h, digest(path), False, False, digest(style))] += n
+                    seen[(h, digest(path), False, False, False, digest(style))] += n
+                seen[(h, None, False, False, True, 0)] += 1
             if seen:
                 cols = list(zip(*seen, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "away", "content", "value", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4]), pa.array(cols[5], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "away", "inside", "content", "value", "n"])
 
-    return rows.mapInArrow(run, "host string, path long, away boolean, content boolean, value long, n long").groupBy("host", "path", "content", "value").agg(F.max("away").alias("away"), F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "host string, path long, away boolean, inside boolean, content boolean, value long, n long").groupBy("host", "path", "content", "value").agg(F.max("away").alias("away"), F.max("inside").alias("inside"), F.sum("n").alias("n"))
 
 
 def unimportant(tree: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
     """host, nodes: digests of the paths, and of the contents at paths, whose importance is too low."""
+    hosts = tree.where("path is null").select("host", F.col("n").alias("pages"))
+    tree = tree.where("path is not null")
     plogp = F.col("n") * F.log("n")
     nodes = tree.groupBy("host", "path").agg(
         *[F.sum(F.when(F.col("content") == c, x)).alias(f"{k}_{a}") for c, k in ((True, "content"), (False, "style")) for a, x in (("n", F.col("n")), ("nlogn", plogp))],
-        F.max("away").alias("away"))
+        F.max("away").alias("away"), F.max("inside").alias("inside"))
 
     def entropy(kind: str) -> Column:
         n, s = F.col(f"{kind}_n"), F.col(f"{kind}_nlogn")
         return F.when(n > 1, (F.log(n) - s / n) / F.log(n)).otherwise(F.lit(1.0))
 
-    prior = F.when(F.col("away"), F.lit(AWAY_PRIOR)).otherwise(F.lit(1.0))
+    prior = F.when(F.col("away"), F.lit(AWAY_PRIOR)).when(F.col("inside"), F.lit(MAIN_PRIOR)).otherwise(F.lit(1.0))
     importance = prior * (0.9 * entropy("content") + 0.1 * F.coalesce(entropy("style"), F.lit(1.0)))
     branches = nodes.where((F.col("content_n") >= least_pages) & (importance < threshold)).select("host", F.col("path").alias("node"))
-    counts = tree.where("content").join(nodes.where(F.col("content_n") >= least_pages).select("host", "path", "content_n"), ["host", "path"])
-    leaves = counts.where((F.col("n") >= least_pages) & (1 - F.log("n") / F.log("content_n") < threshold)).select("host", F.col("value").alias("node"))
-    # Few for each host: a content must fill more than pages ** (1 - threshold) places of its node.
+    counts = tree.where(F.col("content") & (F.col("n") >= least_pages)).join(hosts, "host")
+    raised = F.when(F.col("inside"), F.lit(MAIN_PRIOR)).otherwise(F.lit(1.0))  # what names itself away goes without a rule
+    leaves = counts.where(~F.col("away") & (raised * (1 - F.log("n") / F.log("pages")) < threshold)).select("host", F.col("value").alias("node"))
     return branches.unionByName(leaves).groupBy("host").agg(F.collect_set("node").alias("nodes"))
 
 
 def page_text(source: str, nodes: frozenset[int]) -> str:
-    out = []
-    for path, away, inside, text in Page(source).blocks():
-        if away or (not inside and nodes and (digest(path) in nodes or digest(path, text) in nodes)):
-            continue
-        out.append((inside, text))
-    if any(inside for inside, _ in out):  # a page that names its article has its content there
-        out = [x for x in out if x[0]]
-    return "\n\n".join(text for _, text in out)
+    blocks = ((path, text) for path, away, _, text in Page(source).blocks() if not away)
+    return "\n\n".join(text for path, text in blocks if not nodes or (digest(path) not in nodes and digest(path, text) not in nodes))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

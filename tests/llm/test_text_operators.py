@@ -245,6 +245,13 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert all(r["text"] == f"Unique text number {r['page_id']}\n\nAnd {r['page_id'] * 7} more" for r in rows)
 
 
+def test_style_tree_decides_inside_and_outside_articles(spark):
+    page = "<body><article><h1>Title {i}</h1><p>Body {i}</p><p>Twice on few pages {k}</p><div class=x7>Read our new terms</div></article><div class=story>Story {i}</div><div class=y9>Everywhere</div></body>"
+    pages = [(i, f"https://site.example/{i}", page.format(i=i, k=i // 2)) for i in range(40)]
+    rows = htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == "Title {0}\n\nBody {0}\n\nTwice on few pages {1}\n\nStory {0}".format(r["page_id"], r["page_id"] // 2) for r in rows)
+
+
 # ---------------------------------------------------------------- quality
 
 
