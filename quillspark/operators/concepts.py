@@ -47,10 +47,11 @@ def seeds(texts: DataFrame) -> DataFrame:
     without any, concepts that share two words (or their only one). texts: key, text (lower case)."""
     spark = texts.sparkSession
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)))
-    named = F.col("text").contains(F.col("alias")) | (F.size(F.array_intersect(words(F.col("alias")), words(F.col("text")))) / F.greatest(F.size(words(F.col("alias"))), F.lit(1)) >= 0.8)
+    texts = texts.withColumn("words", words(F.col("text")))  # once, not for each alias
+    named = F.col("text").contains(F.col("alias")) | (F.size(F.array_intersect(words(F.col("alias")), F.col("words"))) / F.greatest(F.size(words(F.col("alias"))), F.lit(1)) >= 0.8)
     first = texts.join(F.broadcast(aliases(spark)), named).select("key", "node").distinct()
     nodes = edges(spark).select(F.col("a").alias("node")).distinct()
-    shared = F.size(F.array_intersect(words(F.col("node")), words(F.col("text")))) >= F.least(F.size(words(F.col("node"))), F.lit(2))
+    shared = F.size(F.array_intersect(words(F.col("node")), F.col("words"))) >= F.least(F.size(words(F.col("node"))), F.lit(2))
     rest = texts.join(first.select("key").distinct(), "key", "left_anti").join(F.broadcast(nodes), shared & (F.size(words(F.col("node"))) > 0)).select("key", "node")
     return first.unionByName(rest)
 

@@ -28,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _lower(c):
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+
+
 def _sources(spark, sf_dir) -> DataFrame:
     return frontier.sources(table(spark, sf_dir, "documents"))
 
@@ -334,14 +338,15 @@ def graph_distance(spark, sf_dir):
 
 @query()
 def graph_expansion(spark, sf_dir):
-    texts = spark.createDataFrame([(t, t) for t in ("outlook of the malaysian stock market", "ai governance and risk controls", "biography of a prime minister", "grid resilience planning", "exports")], "key string, text string")
-    return concepts.expand(texts)
+    topics = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), _lower(F.col("text")).alias("text"))
+    return concepts.expand(topics).withColumnRenamed("key", "query_id")
 
 
 @query()
 def concept_layers(spark, sf_dir):
-    pairs = [(s, n) for s in ("stock market", "artificial intelligence") for n in ("capital market", "exports", "machine learning", "stock market history", "grid resilience")]
-    return concepts.layers(spark.createDataFrame(pairs, "seed string, node string"))
+    bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    rows = frontier.rank(bench, docs).select("query_id", "doc_id").join(bench.select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("seed")), "query_id").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("node")), "doc_id")
+    return rows.join(concepts.layers(rows.select("seed", "node")), ["seed", "node"]).select("query_id", "doc_id", "distance", "layer")
 
 
 @query(O.ALIGNMENT)

@@ -96,3 +96,56 @@ def test_concepts(spark):
     assert {r["node"]: r["layer"] for r in concepts.layers(pairs).collect()} == {"stock market": "seed", "capital market": "related", "grid resilience": "tangential"}
     a = lambda t: value(spark, concepts.alignment(F.lit(t), "thomas_cup"))
     assert a("The Thomas Cup is a badminton event") > 0 > a("The FA cup is a football event") and a("") == -1
+
+
+def test_concept_queries_cover_every_topic(spark, tmp_path):
+    """Against brute force over literal tables: nothing but the tables decides what is expanded."""
+    from quillspark.functions.lexicon import ALIASES, RELATIONS
+    from quillspark.plans import catalogue
+
+    topics = [(1, "Outlook of the  Malaysian stock market"), (2, "AI governance and risk controls"), (3, "zzz qqq"), (4, None), (5, "machine learning for grid resilience")]
+    texts = [(10, "The stock market rose. Machine learning governance."), (11, "zzz capital market"), (12, "Nothing of that, zzz qqq"), (13, "risk controls for a resilience grid")]
+    spark.createDataFrame(topics, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(i, t, "en", "web", len(t)) for i, t in texts]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    near = {}
+    for a, bs in [*RELATIONS.items(), *ALIASES.items()]:
+        for b in bs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    names = [(n, n) for n in ALIASES] + [(a, n) for n, al in ALIASES.items() for a in al]
+    words = lambda t: set(value(spark, F.regexp_extract_all(F.lit(t), F.lit(text.TOKEN), F.lit(0))))
+    own = {t: words(t) for t in {*near, *(a for a, _ in names)}}
+    clean = lambda t: " ".join((t or "").lower().split())
+
+    def seeds(t):
+        w = words(t)
+        first = {n for a, n in names if a in t or len(own[a] & w) / max(len(own[a]), 1) >= 0.8}
+        return first or {n for n in near if own[n] and len(own[n] & w) >= min(len(own[n]), 2)}
+
+    def hops(start, most):
+        found, ring = {n: 0 for n in start}, set(start)
+        for d in range(1, most + 1):
+            ring = {b for a in ring for b in near.get(a, ())} - set(found)
+            found |= dict.fromkeys(ring, d)
+        return found
+
+    want = set()
+    for i, t in topics:
+        ball = sorted(((d, len(n), n) for n, d in hops(seeds(clean(t)), 2).items() if n in near))
+        want |= {(i, n, d, k) for k, (d, _, n) in enumerate(ball[:12], 1)}
+    got = {(r["query_id"], r["node"], r["distance"], r["place"]) for r in catalogue.QUERIES["graph_expansion"](spark, str(tmp_path)).collect()}
+    assert got == want and {q for q, *_ in got} >= {1, 2, 5}
+
+    bench, table = dict(topics), dict(texts)
+    ranked = frontier.rank(catalogue.table(spark, str(tmp_path), "benchmark"), catalogue.table(spark, str(tmp_path), "documents")).collect()
+    layers = {(r["query_id"], r["doc_id"]): (r["distance"], r["layer"]) for r in catalogue.QUERIES["concept_layers"](spark, str(tmp_path)).collect()}
+    assert ranked and set(layers) == {(r["query_id"], r["doc_id"]) for r in ranked}
+    for (q, d), (distance, layer) in layers.items():
+        a, b = clean(bench[q]), clean(table[d])
+        far = hops(seeds(a), concepts.HOPS)
+        best = min((far[n] for n in seeds(b) if n in far), default=None)
+        if best is None:
+            share = len(words(a) & words(b)) / len(words(b)) if words(b) else 0
+            best = 0 if a == b or share >= 0.8 else 1 if share >= 0.3 else None
+        assert (distance, layer) == (best, "tangential" if best is None or best > 2 else "seed" if best == 0 else "related")
