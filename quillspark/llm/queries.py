@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact.ORACLE,
-    "op9_attention_scores": attention.query,
     "op10_chat_format": chat.ORACLE,
 }

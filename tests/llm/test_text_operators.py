@@ -507,3 +507,9 @@ def test_query_oracles(spark):
         want = c.execute(sql).df()[list(got.columns)]
         by = list(got.columns[:1])
         assert got.sort_values(by).reset_index(drop=True).astype(str).equals(want.sort_values(by).reset_index(drop=True).astype(str))
+
+
+def test_oracles_are_sql():
+    from quillspark.llm import queries
+
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and all(isinstance(sql, str) for sql in queries.ORACLES.values())
