@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, forget, stage
-from .segments import chunks, mix, powers
+from .segments import Numbered, chunks, grown, mix
 
 #: Minwise tokens of a set; trees; classes compared exhaustively; classes of a node held in a task.
 PLACES, TREES, LEAF, BLOCK, DEPTH = 64, 16, 24, 4096, 48
@@ -64,26 +65,36 @@ _U = np.uint64
 _STEPS = mix(np.arange(1, 1 + 1024, dtype=_U)) | _U(1)
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of all texts, A-Z lowered: 64-bit hashes, where each text begins and ends among
-    them, and the bytes with first byte and length of each word."""
-    parts = [t.encode().lower() for t in texts]  # of bytes, lower() changes A-Z alone
-    b = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
-    blank = (b == 32) | ((b >= 9) & (b <= 13))
-    at = np.flatnonzero(~blank)
-    if not len(at):
-        return np.empty(0, _U), np.zeros(len(texts) + 1, np.int64), b, at, at
-    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
-    lengths = np.diff(np.append(first, len(at)))
-    inside = np.arange(len(at)) - np.repeat(first, lengths)
-    p = powers(int(lengths.max()))
-    words = mix(np.add.reduceat((b[at].astype(_U) + _U(1)) * p[inside], first) + lengths.astype(_U))
-    ends = np.cumsum([len(x) + 1 for x in parts])
-    return words, np.concatenate([[0], np.searchsorted(at[first], ends)]), b, at[first], lengths
+class WordHashes:
+    """64-bit hashes of words; each distinct word is hashed once."""
+
+    def __init__(self, most: int = 400_000):
+        self.most, self.index, self.hashes = most, Numbered(), np.empty(1 << 10, _U)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self.index) > self.most:
+            self.index = Numbered()
+        at = self.index.of(words)
+        n, new = len(self.index), self.index.new
+        if new:
+            self.hashes = grown(self.hashes, n)
+            self.hashes[n - len(new) : n] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), _U, len(new))
+            self.index.new = []
+        return self.hashes[at]
+
+
+_words = WordHashes()
+
+
+def words_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of all texts, A-Z lowered, their hashes, and where each text begins and ends among them."""
+    parts = [t.encode().lower().split() for t in texts]  # of bytes, lower() changes A-Z alone and split() parts at ASCII white space
+    words = list(chain.from_iterable(parts))
+    return words, _words(words), np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return words_of(texts)[:2]
+    return words_of(texts)[1:]
 
 
 def shingles(texts: list[str], width: int) -> list[np.ndarray]:

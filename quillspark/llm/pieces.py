@@ -5,7 +5,7 @@ double-array trie) is replaced, white space becomes the meta symbol, and every n
 remembers the original byte it came from. The library then encodes the normalised text with a copy
 of the model whose own normaliser is switched off, so the lengths of the pieces project each piece
 to a span of original bytes. A model whose pieces never hold the meta symbol after another
-character is encoded by distinct segments (see segments.py), met by their hashes; others by whole texts.
+character is encoded by distinct segments (see segments.py); others by whole texts.
 
 Defined results: null text is empty and has the end id only; an empty table gives an empty result;
 rows that repeat are treated alike. Texts of any length are encoded whole.
@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .segments import HashedEncoder, chunks, hashes
+from .segments import SegmentEncoder, by_text, chunks
 
 META = "▁"
 META_BYTES = META.encode()
@@ -203,27 +204,13 @@ class Pieces:
         self.end_id = self.library.eos_id()
         inner = re.compile(f"[^{META}]{META}")
         self.local = self.has_bytes and not any(k == NORMAL and inner.search(n.decode()) for n, k in zip(names, kinds, strict=True))
-        self.known = HashedEncoder(lambda segments: self.bare.encode([s.decode() for s in segments], num_threads=1), 500_000, 4_000_000)
+        self.segment = re.compile(f"{META}+[^{META}]*|[^{META}]+")  # a run of meta symbols and what follows it
+        self.known = SegmentEncoder(lambda segments: self.bare.encode(segments, num_threads=1))
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of normalised texts one after the other, and the number of ids of each text."""
-        parts = [t.encode() for t in texts]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(sizes)
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        if not len(data):
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        marks = np.zeros(len(data) + 1, bool)
-        marks[ends - sizes] = True
-        if self.local:  # a segment is a run of meta symbols and what follows it
-            meta = np.zeros(len(data) + 3, bool)
-            meta[3:-2] = (data[:-2] == META_BYTES[0]) & (data[1:-1] == META_BYTES[1]) & (data[2:] == META_BYTES[2])
-            marks[:-1] |= meta[3:] & ~meta[:-3]
-        starts = np.flatnonzero(marks[:-1])
-        stops = np.append(starts[1:], len(data))
-        ids, counts = self.known(hashes(data, starts), lambda i: data[starts[i] : stops[i]].tobytes())
-        upto = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, np.concatenate([[0], ends]))]
-        return ids, np.diff(upto)
+        parts = [self.segment.findall(t) for t in texts] if self.local else [[t] for t in texts]
+        return by_text(*self.known(list(chain.from_iterable(parts))), list(map(len, parts)))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its ids, with the end id, and the first and last (exclusive) original byte of each."""

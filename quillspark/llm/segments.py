@@ -2,8 +2,9 @@
 
 Where a tokenizer never joins two segments of a text into one token, the ids of the text are the
 ids of its segments one after the other. A worker has the library encode each distinct segment
-once, keeps the ids in one flat array and expands texts by numpy gathers. The store is emptied when
-it holds more than `most` segments or `most_ids` ids, so a worker's memory is bounded.
+once, keeps the ids in one flat array and expands texts by numpy gathers. Segments are the keys of
+a dictionary, so two that differ never meet, whatever their hashes. The store is emptied when it
+holds more than `most` segments or `most_ids` ids, so a worker's memory is bounded.
 """
 
 from __future__ import annotations
@@ -27,77 +28,71 @@ def chunks(values: list, most: int = 1 << 20) -> Iterator[slice]:
         yield slice(start, len(values))
 
 
-_U = np.uint64
-_BASE = 0x9E3779B97F4A7C55
-_powers = np.ones(1, _U)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit values one to one."""
-    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+class Numbered(dict):
+    """Numbers keys in the order in which they are first asked for; `new` holds those not yet seen to."""
 
+    def __init__(self):
+        self.new: list = []
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        out = np.full(max(n, 256), _BASE, _U)
-        out[0] = 1
-        _powers = np.cumprod(out)
-    return _powers
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
 
+    def of(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
-def hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the segments of a byte array that begin at starts and touch each other."""
-    lengths = np.diff(np.append(starts, len(data)))
-    inside = np.arange(len(data)) - np.repeat(starts, lengths)
-    p = powers(int(lengths.max()))
-    return mix(np.add.reduceat((data.astype(_U) + _U(1)) * p[inside], starts) + lengths.astype(_U))
 
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, with room for `size` entries."""
+    if size <= len(array):
+        return array
+    out = np.empty(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
 
-class HashedEncoder:
-    """Segments are given by hashes: whole columns are looked up by numpy, and only segments not met
-    before become strings. Segments of equal 64-bit hash count as one."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000, most_ids: int = 8_000_000):
+class SegmentEncoder:
+    """Encodes lists of segments; the library sees each distinct one once."""
+
+    def __init__(self, encode: Callable[[list], list[list[int]]], most: int = 400_000, most_ids: int = 4_000_000):
         self.encode, self.most, self.most_ids = encode, most, most_ids
         self._empty()
 
     def _empty(self) -> None:
-        self.keys, self.start, self.size = np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.flat, self.used = np.empty(1 << 16, np.int32), 0
+        self.index, self.used = Numbered(), 0
+        self.start, self.size, self.flat = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64), np.empty(1 << 14, np.int32)
 
-    def _learn(self, keys: np.ndarray, segments: list[bytes]) -> None:
-        ids = self.encode(segments)
+    def _learn(self) -> None:
+        ids = self.encode(self.index.new)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-        at = np.searchsorted(self.keys, keys)
-        self.start = np.insert(self.start, at, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, at, size)
-        self.keys = np.insert(self.keys, at, keys)
-        self.used += total
-
-    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return at, self.keys[at] == wanted
-
-    def __call__(self, wanted: np.ndarray, segment: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of ids of each segment; segment(i) are its bytes."""
-        at, hit = self._find(wanted)
-        if not hit.all():
-            if len(self.keys) > self.most or self.used > self.most_ids:
-                self._empty()
-                hit[:] = False
-            missing = np.flatnonzero(~hit)
-            new, first = np.unique(wanted[missing], return_index=True)
-            self._learn(new, [segment(i) for i in missing[first].tolist()])
-            at, _ = self._find(wanted)
+        ends, n = self.used + np.cumsum(size), len(self.index)
+        self.start, self.size, self.flat = grown(self.start, n), grown(self.size, n), grown(self.flat, int(ends[-1]))
+        self.start[n - len(ids) : n], self.size[n - len(ids) : n] = ends - size, size
+        self.flat[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]) - self.used)
+        self.used = int(ends[-1])
+        self.index.new = []
+
+    def __call__(self, segments: list) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the number of ids of each segment."""
+        if len(self.index) > self.most or self.used > self.most_ids:
+            self._empty()
+        at = self.index.of(segments)
+        if self.index.new:
+            self._learn()
         size = self.size[at]
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], size
+
+
+def by_text(ids: np.ndarray, sizes: np.ndarray, segments: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """ids, and their number for each text, of texts with so many segments each."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.array(segments, np.int64))])]
+    return ids, np.diff(upto)
