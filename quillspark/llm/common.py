@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,16 +10,26 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Only used where the session names no spark.checkpoint.dir, as in tests.
+#: Only used by a local session that names no spark.checkpoint.dir, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all machines of a cluster share."""
+    """A fresh folder under spark.checkpoint.dir, which all machines of a cluster share. On a cluster
+    that setting must be there; a local session, whose executor is the driver, can do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = LOCAL_CHECKPOINTS
-    return f"{root.rstrip('/')}/quillspark/{what}-{uuid.uuid4().hex}"
+    if not root and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{(root or LOCAL_CHECKPOINTS).rstrip('/')}/quillspark/{what}-{uuid.uuid4().hex}"
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """Each row of docs as one struct, `row`, with further columns, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
+def unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row").getField(n).alias(n) for n in names])
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:

@@ -6,18 +6,20 @@
    child named by its token there, and so on down. On average 1 / similarity places are picked, so
    two classes at the threshold share one path of each level in expectation, while unlike ones part
    quickly. Nodes with one class end.
-3. A node of at most BLOCK classes is finished inside one task: it branches on until at most LEAF
-   classes are left, which are compared exhaustively by their sketches. In a node where many are
-   nearly equal to a pivot, the pivot meets all the others, and it and its nearest leave the node, so
-   a large group of near copies costs pairs in proportion to its size. Larger nodes do the same
-   steps as joins on the path, so no task ever holds one.
-4. Candidates of all trees are made distinct and confirmed on the full sets, which are computed again
-   for candidate classes alone: first the best partner of each class in each node, then, between
-   the components these give, every candidate. That second part begins again at the roots and drops
-   nothing: a node of one component ends, one where the next level would not halve the comparisons
-   between components makes them all at once, however large it is. Independent trees bring the recall near one: a pair at similarity
-   0.8 meets in one tree with probability 0.8 or more at the first level and about 0.4 after fifteen.
-5. Components of the confirmed links, by minimum labels with pointer jumping, as joins.
+3. Nodes with more than CROWD classes at the first roots are seen to first: each class meets its
+   best partner there and the pivots of nodes in which many are nearly equal, and these candidates are
+   confirmed. So most of a large group of near copies is one component before all its pairs would meet.
+4. Then all nodes of all trees with more than one component: every class outside the largest
+   component meets all classes of the node by sketches. A node of at most BLOCK classes is finished
+   inside one task, which branches on where that halves the comparisons; larger ones do the same as
+   joins on the path, in cells, so no task ever holds one. No class is dropped. A pair counts at
+   the first root where it meets in a node that is compared whole. The tasks give no pairs but the
+   classes that have a candidate there, a group for each node: rows in proportion to the classes.
+5. The full sets, computed again for these classes alone, meet group by group. A task counts
+   all intersections through posting lists and returns the links that connect components.
+   Independent trees bring the recall near one: a pair at similarity 0.8 shares a root of each tree
+   with probability 0.8 or more.
+6. Components of the confirmed links, by minimum labels with pointer jumping, as joins.
 
 Candidates have no cap; sketches let a pair at the threshold pass with probability 1 - 3e-5.
 
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, forget, stage
+from .common import documents, forget, packed, stage, unpacked
 from .segments import Numbered, chunks, grown, mix
 
 #: Minwise tokens of a set; trees; classes compared exhaustively; classes of a node held in a task.
@@ -53,9 +55,9 @@ NEAR, SAME = 178, 218
 DIRECT = 2_000_000
 #: Share of classes nearly equal to the pivot that makes a node tight.
 TIGHT = 0.25
-#: Classes of a node from which its components first meet by their best partners; classes that meet
-#: a node at once.
-CROWD, STEP = 256, 512
+#: Classes of a node that is seen to first, and the roots at which; classes that meet a cell at once;
+#: shingles of the sets that meet in a task.
+CROWD, FIRST_ROOTS, STEP, MOST_SHINGLES = 1024, 5, 512, 1 << 21
 #: Rows of a table of ids that may be broadcast (some 50 MB); larger ones are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -128,9 +130,10 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def prepare(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, digest, tokens and sketch of each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def prepare(docs: DataFrame, width: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """id, n_shingles, digest, tokens and sketch of each row, and the columns to carry."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
+    more = "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,10 +142,11 @@ def prepare(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
                 sets = shingles(texts[s], width)
                 tokens = minwise(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(s.start, s.stop - s.start), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([t[:PLACES].tobytes() for t in tokens], pa.binary()), pa.array([t.astype(np.uint8).tobytes() for t in tokens], pa.binary())],
-                    names=["id", "n_shingles", "digest", "tokens", "sketch"])
+                    [b.column("id").slice(s.start, s.stop - s.start), pa.array([len(x) for x in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([t[:PLACES].tobytes() for t in tokens], pa.binary()), pa.array([t.astype(np.uint8).tobytes() for t in tokens], pa.binary()),
+                     *(b.column(c).slice(s.start, s.stop - s.start) for c in carry)],
+                    names=["id", "n_shingles", "digest", "tokens", "sketch", *carry])
 
-    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, tokens binary, sketch binary")
+    return rows.mapInArrow(run, f"id long, n_shingles long, digest binary, tokens binary, sketch binary{more}")
 
 
 def _hash(*parts: int) -> int:
@@ -172,7 +176,7 @@ def child_paths(path: int, place: int, values: np.ndarray) -> np.ndarray:
 
 
 def first_level(classes: DataFrame) -> DataFrame:
-    """path, nid: the branches of all classes at the roots."""
+    """path, nid, root: the branches of all classes at the roots, which are numbered."""
     picked = root_places()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,16 +185,10 @@ def first_level(classes: DataFrame) -> DataFrame:
                 nid = b.column("nid").to_numpy()
                 tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint32).reshape(-1, PLACES)
                 paths = np.concatenate([child_paths(t, k, tokens[:, k]) for t, k in picked])
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(paths)), pa.array(np.tile(nid, len(picked)))], names=["path", "nid"])
+                root = np.repeat(np.arange(len(picked), dtype=np.int32), len(nid))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(paths)), pa.array(np.tile(nid, len(picked))), pa.array(root)], names=["path", "nid", "root"])
 
-    return classes.select("nid", "tokens").mapInArrow(run, "path long, nid long")
-
-
-def stays(equal: np.ndarray, nids: np.ndarray, paths: np.ndarray) -> np.ndarray:
-    """Which classes of a tight node go on: all that are not nearly equal to its pivot, and one in
-    four of those that are, so that their links with others are still met below, or in other trees."""
-    h = mix(nids.astype(_U) * _STEPS[9] ^ (paths.astype(_U) if paths.dtype != object else np.array([int(p) & (1 << 64) - 1 for p in paths], _U)))
-    return (equal < SAME) | (h % _U(4) == 0)
+    return classes.select("nid", "tokens").mapInArrow(run, "path long, nid long, root int")
 
 
 def children(own: np.ndarray, sketches: np.ndarray, path: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -203,6 +201,36 @@ def children(own: np.ndarray, sketches: np.ndarray, path: int) -> Iterator[tuple
                 yield own[part], _hash(path, place, int(values[part[0]]))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], key: str, numbers: list[str], blobs: dict[str, type]) -> Iterator[tuple]:
+    """The key, the numbers stacked and the blobs as matrices, of each run of rows with equal key."""
+    held_key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(key).to_numpy()
+        cols = [np.stack([b.column(c).to_numpy().astype(np.int64) for c in numbers], 1)]
+        cols += [np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(len(keys), -1) for c, kind in blobs.items()]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held_key != keys[a]:
+                yield int(held_key), *map(np.concatenate, zip(*held, strict=True))
+                held = []
+            held_key = keys[a]
+            held.append([c[a:z] for c in cols])
+    if held:
+        yield int(held_key), *map(np.concatenate, zip(*held, strict=True))
+
+
+# ---------------------------------------------------------------- first links in crowded nodes
+
+
+def stays(equal: np.ndarray, nids: np.ndarray, paths: np.ndarray) -> np.ndarray:
+    """Which classes of a tight node go on: all that are not nearly equal to its pivot, and one in
+    four of those that are."""
+    h = mix(nids.astype(_U) * _STEPS[9] ^ (paths.astype(_U) if paths.dtype != object else np.array([int(p) & (1 << 64) - 1 for p in paths], _U)))
+    return (equal < SAME) | (h % _U(4) == 0)
+
+
 def compare(nids: np.ndarray, sketches: np.ndarray, path: int, depth: int, found: set[tuple[int, int]]) -> None:
     """The best partner of each class among the classes of a node and below it."""
     todo = [(np.arange(len(nids)), path, depth)]
@@ -232,34 +260,141 @@ def compare(nids: np.ndarray, sketches: np.ndarray, path: int, depth: int, found
                 add(int(nids[own[i]]), nids[own[best[i] : best[i] + 1]])
 
 
-def partners(rest: np.ndarray, own: np.ndarray, nids: np.ndarray, sketches: np.ndarray, labels: np.ndarray, best: bool) -> np.ndarray:
-    """Candidate pairs of the classes `rest` with those of other components among `own`: all, or the
-    best of each two components."""
-    out, ranks = [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)]
+def finish(rows: DataFrame, depth: int) -> DataFrame:
+    """Pairs a < b of best partners in nodes that fit a task. rows: path, nid, sketch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for path, nids, sketches in _groups(batches, "path", ["nid"], {"sketch": np.uint8}):
+            compare(nids[:, 0], sketches, path, depth, found)
+            if len(found) > 200_000:
+                yield _pairs(found)
+                found = set()
+        if found:
+            yield _pairs(found)
+
+    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a long, b long")
+
+
+def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array(sorted(found), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, k])) for k in (0, 1)], names=["a", "b"])
+
+
+def branch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One level below nodes that no task should hold: candidates with the pivots, and child rows.
+    rows: path, nid, sketch, pivot, pivot_sketch."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sk, pv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDTH) for c in ("sketch", "pivot_sketch"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("path", "nid", "sketch", "pivot")), pa.array((sk == pv).sum(1).astype(np.int32))], names=["path", "nid", "sketch", "pivot", "equal"])
+
+    met = stage(rows.select("path", "nid", "sketch", "pivot", "pivot_sketch").mapInArrow(meet, "path long, nid long, sketch binary, pivot long, equal int"), "near-met")
+    tight = met.groupBy("path").agg((F.avg(F.when(F.col("equal") >= SAME, 1.0).otherwise(0.0)) >= TIGHT).alias("tight"))
+    met = met.join(few(stage(tight, "near-tight")), "path")
+    pairs = met.where(F.col("tight") & (F.col("equal") >= NEAR) & (F.col("nid") != F.col("pivot"))).select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            path, nid, pivot, equal = (b.column(c).to_numpy() for c in ("path", "nid", "pivot", "equal"))
+            tight = b.column("tight").to_numpy(zero_copy_only=False).astype(bool)
+            raw = b.column("sketch").to_pylist()
+            out: list[tuple] = []
+            for i in np.flatnonzero(~tight | (stays(equal, nid, path) & (nid != pivot))).tolist():
+                for place in places_of(int(path[i])):
+                    h = _hash(int(path[i]), place, raw[i][place])
+                    out.append((h - (1 << 64) if h >> 63 else h, int(nid[i]), raw[i]))
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["path", "nid", "sketch"])
+
+    return pairs, stage(met.mapInArrow(split, "path long, nid long, sketch binary"), "near-level")
+
+
+def first_pairs(paths: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Candidates in the nodes of more than CROWD classes at the first FIRST_ROOTS roots: each class
+    with its best partner, and with the pivots of tight nodes. None where no node is that large."""
+    sketches = classes.select("nid", "sketch")
+    rows = paths.where(F.col("root") < FIRST_ROOTS)
+    sizes = stage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "near-sizes")
+    if sizes.isEmpty():
+        return None
+    rows = stage(rows.join(few(sizes.select("path")), "path").join(sketches, "nid").select("path", "nid", "sketch"), "near-rows")
+    pairs, depth = [], 1
+    while True:
+        big = few(sizes.where(F.col("n") > BLOCK).select("path"))  # one in BLOCK rows at most
+        pairs.append(finish(rows.join(big, "path", "left_anti"), depth))
+        if depth >= DEPTH or big.isEmpty():
+            return stage(reduce(DataFrame.unionByName, pairs).distinct(), "near-pairs")
+        order = F.xxhash64("path", "nid")
+        pivots = rows.join(big, "path").groupBy("path").agg(F.min_by("nid", order).alias("pivot"))
+        pivots = stage(pivots.join(sketches.withColumnRenamed("sketch", "pivot_sketch"), F.col("pivot") == F.col("nid")).select("path", "pivot", "pivot_sketch"), "near-pivots")
+        met, rows = branch(rows.join(few(pivots), "path"))
+        pairs.append(met)
+        depth += 1
+        sizes = stage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+        rows = stage(rows.join(sizes.select("path"), "path"), "near-rows")
+
+
+# ---------------------------------------------------------------- all candidates between components
+
+NODE = "path long, nid long, label long, root int, sketch binary, met binary"
+NODE_COLUMNS = ["path", "nid", "label", "root", "sketch", "met"]
+
+
+def mixed(rows: DataFrame, *by: str) -> DataFrame:
+    """path, n, main (its largest component), cost of nodes with several components."""
+    n = rows.groupBy("path", "label", *by).agg(F.count(F.lit(1)).alias("n"))
+    n = n.groupBy("path", *by).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")).where("most < n")
+    return stage(n.select("path", *by, "n", "main", ((F.col("n") - F.col("most")) * F.col("n")).cast("double").alias("cost")), "near-mixed")
+
+
+def node_rows(paths: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows (NODE) of mixed nodes. met holds the class's token at each root whose node is compared
+    whole, 0 elsewhere: two classes with an equal token there have met already."""
+    places = np.array([k for _, k in root_places()])
+    lists = paths.join(sizes.select("path", "n"), "path").groupBy("nid", "label").agg(F.collect_list(F.struct("path", "root", "n")).alias("at"))  # an entry for each root at most
+    rows = lists.join(classes.select("nid", "tokens", "sketch"), "nid").select("nid", "label", "tokens", "sketch", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column("at")
+            sizes, flat = at.value_lengths().to_numpy(), at.flatten()
+            owner = np.repeat(np.arange(b.num_rows), sizes)
+            path, root, n = (flat.field(c).to_numpy() for c in ("path", "root", "n"))
+            tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint32).reshape(-1, PLACES)[:, places]
+            met = np.zeros_like(tokens)
+            whole = n * n <= DIRECT
+            met[owner[whole], root[whole]] = tokens[owner[whole], root[whole]]
+            met = pa.array([x.tobytes() for x in met], pa.binary())
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(path), b.column("nid").take(take), b.column("label").take(take), pa.array(root), b.column("sketch").take(take), met.take(take)], names=NODE_COLUMNS)
+
+    return rows.mapInArrow(run, NODE)
+
+
+def near_ones(rest: np.ndarray, own: np.ndarray, labels: np.ndarray, root: int, sketches: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Marks the classes of a node (or of a cell of one) that are a candidate with one of another
+    component which did not meet it at an earlier root. Each of `rest` meets all of `own`."""
+    marked = np.zeros(len(labels), bool)
     for i in rest.tolist():
         other = own[labels[own] != labels[i]]
-        equal = (sketches[other] == sketches[i]).sum(1)
-        other, equal = other[equal >= NEAR], equal[equal >= NEAR]
+        other = other[(sketches[other] == sketches[i]).sum(1) >= NEAR]
+        if len(other) and root:
+            other = other[~((met[other, :root] == met[i, :root]) & (met[i, :root] != 0)).any(1)]
         if len(other):
-            if best:
-                order = np.lexsort((-equal, labels[other]))
-                order = order[np.concatenate([[True], np.diff(labels[other][order]) != 0])]
-                other, equal = other[order], equal[order]
-                ranks.append(np.stack([np.minimum(labels[other], labels[i]), np.maximum(labels[other], labels[i]), -equal], 1))
-            out.append(np.stack([np.minimum(nids[other], nids[i]), np.maximum(nids[other], nids[i])], 1))
-    pairs = np.concatenate(out)
-    if best and len(pairs):
-        low, high, rank = np.concatenate(ranks).T
-        order = np.lexsort((rank, high, low))
-        pairs = pairs[order][np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])]
-    return pairs
-
-
-def between(nids: np.ndarray, sketches: np.ndarray, labels: np.ndarray, path: int, depth: int, best: bool) -> Iterator[np.ndarray]:
-    """The candidates between components (labels) among the classes of a node and below it. No class
-    is dropped: all that the largest component lacks meet the node, unless its children together
-    need at most half of the comparisons."""
-    todo = [(np.arange(len(nids)), path, depth)]
+            marked[i] = True
+            marked[other] = True
+    return marked
+
+
+def unsettled(numbers: np.ndarray, sketches: np.ndarray, met: np.ndarray, path: int, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Groups of the classes of a node (or of nodes below it) that near_ones marks. No class is
+    dropped: all that the largest component lacks meet the node, unless its children together need
+    at most half of the comparisons. numbers: nid, label, root."""
+    labels, root = numbers[:, 1], int(numbers[0, 2])
+    todo = [(np.arange(len(labels)), path, depth)]
 
     def cost(own: np.ndarray) -> int:
         return (len(own) - int(np.unique(labels[own], return_counts=True)[1].max())) * len(own)
@@ -267,80 +402,47 @@ def between(nids: np.ndarray, sketches: np.ndarray, labels: np.ndarray, path: in
     while todo:
         own, path, depth = todo.pop()
         whole = cost(own)
-        if whole > DIRECT and depth < DEPTH:
+        if len(own) ** 2 > DIRECT and whole > DIRECT and depth < DEPTH:
             below = [(part, at, depth + 1) for part, at in children(own, sketches, path)]
             if 2 * sum(cost(part) for part, _, _ in below) <= whole:
                 todo.extend(below)
                 continue
         if whole:
             names, counts = np.unique(labels[own], return_counts=True)
-            rest = own[labels[own] != names[counts.argmax()]]
-            for a in range(0, len(rest), STEP):
-                yield partners(rest[a : a + STEP], own, nids, sketches, labels, best)
+            marked = near_ones(own[labels[own] != names[counts.argmax()]], own, labels, root, sketches, met)
+            if marked.any():
+                yield path, np.flatnonzero(marked)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """path, nids (with labels, if there are any, below them) and sketches of each node, from rows
-    sorted by path."""
-    held_path, held_n, held_s = None, [], []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        path = b.column("path").to_numpy()
-        nid = np.stack([b.column(c).to_numpy() for c in b.schema.names if c in ("nid", "label", "side")])
-        sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if held_path is not None and held_path != path[a]:
-                yield int(held_path), np.concatenate(held_n, 1), np.concatenate(held_s)
-                held_n, held_s = [], []
-            held_path = path[a]
-            held_n.append(nid[:, a:z])
-            held_s.append(sk[a:z])
-    if held_path is not None:
-        yield int(held_path), np.concatenate(held_n, 1), np.concatenate(held_s)
-
-
-def _pairs(a: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, k])) for k in (0, 1)], names=["a", "b"])
-
-
-def _distinct(parts: Iterator[np.ndarray], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Pairs in batches of about `most` at most, distinct in each."""
+def _flagged(found: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """group, nid, label in batches of some size."""
     held, n = [], 0
-    for x in parts:
-        if len(x):
-            held.append(x)
-        n += len(x)
-        if n > most:
-            held = [np.unique(np.concatenate(held), axis=0)]
-            n = len(held[0])
-            if n > most // 2:
-                yield _pairs(held[0])
-                held, n = [], 0
+    for path, numbers in found:
+        held.append(np.column_stack([np.full(len(numbers), _signed(np.array([path & (1 << 64) - 1], _U))[0]), numbers[:, :2]]))
+        n += len(numbers)
+        if n > 100_000:
+            yield _columns(np.concatenate(held))
+            held, n = [], 0
     if n:
-        yield _pairs(np.unique(np.concatenate(held), axis=0))
+        yield _columns(np.concatenate(held))
 
 
-def finish(rows: DataFrame, depth: int, best: bool = True) -> DataFrame:
-    """Candidate pairs a < b of nodes that fit a task. rows: path, nid, sketch, and label or not."""
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for path, nids, sketches in _groups(batches):
-            if len(nids) > 1:
-                yield from between(nids[0], sketches, nids[1], path, depth, best)
-                continue
-            found: set[tuple[int, int]] = set()
-            compare(nids[0], sketches, path, depth, found)
-            yield np.array(sorted(found), np.int64).reshape(-1, 2)
+def _columns(a: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, k])) for k in range(3)], names=["group", "nid", "label"])
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(lambda batches: _distinct(pairs(batches)), "a long, b long")
 
+GROUPS = "group long, nid long, label long"
+_BLOBS = {"sketch": np.uint8, "met": np.uint32}
 
-def mixed(rows: DataFrame, *by: str) -> DataFrame:
-    """path, n, main (its largest component), cost of nodes with several components."""
-    n = rows.groupBy("path", "label", *by).agg(F.count(F.lit(1)).alias("n"))
-    n = n.groupBy("path", *by).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")).where("most < n")
-    return stage(n.select("path", *by, "n", "main", ((F.col("n") - F.col("most")) * F.col("n")).cast("double").alias("cost")), "near-mixed")
+
+def groups_in_tasks(rows: DataFrame, depth: int) -> DataFrame:
+    """The groups of nodes that fit a task. rows: NODE."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for path, numbers, sketches, met in _groups(batches, "path", ["nid", "label", "root"], _BLOBS):
+            for group, marked in unsettled(numbers, sketches, met, path, depth):
+                yield group, numbers[marked]
+
+    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(lambda batches: _flagged(found(batches)), GROUPS)
 
 
 def split_all(rows: DataFrame) -> DataFrame:
@@ -355,125 +457,60 @@ def split_all(rows: DataFrame) -> DataFrame:
                     paths.append(_hash(path, place, raw[i][place]))
             if at:
                 part = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(paths, _U))), *(part.column(c) for c in ("nid", "sketch", "label", "path"))], names=["path", "nid", "sketch", "label", "parent"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(paths, _U))), *(part.column(c) for c in NODE_COLUMNS[1:]), part.column("path")], names=[*NODE_COLUMNS, "parent"])
 
-    return rows.select("path", "nid", "sketch", "label").mapInArrow(run, "path long, nid long, sketch binary, label long, parent long")
+    return rows.select(*NODE_COLUMNS).mapInArrow(run, NODE + ", parent long")
 
 
-def meet_all(rows: DataFrame, sizes: DataFrame, best: bool) -> DataFrame:
-    """Of nodes of any size, all that the largest component lacks meet the node, in cells of STEP
-    times BLOCK classes or so."""
+def groups_in_cells(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The groups of nodes of any size: all that the largest component lacks meet the node, in cells
+    of STEP times BLOCK classes or so."""
     rows = rows.join(sizes.select("path", "main", F.ceil(F.col("cost") / F.col("n") / STEP).cast("int").alias("across"), F.ceil(F.col("n") / BLOCK).cast("int").alias("down")), "path")
     nth = lambda k: F.pmod(F.xxhash64("nid"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    kept = NODE_COLUMNS[1:]
     cells = [
-        rows.where("label != main").select("path", "nid", "sketch", "label", nth("across").alias("x"), every("down").alias("y"), F.lit(0).cast("long").alias("side")),
-        rows.select("path", "nid", "sketch", "label", every("across").alias("x"), nth("down").alias("y"), F.lit(1).cast("long").alias("side"))]
-    cells = cells[0].unionByName(cells[1]).select(F.xxhash64("path", "x", "y").alias("path"), "nid", "sketch", "label", "side")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, (nids, labels, side), sketches in _groups(batches):
-            yield partners(np.flatnonzero(side == 0), np.flatnonzero(side == 1), nids, sketches, labels, best)
-
-    return cells.repartition("path").sortWithinPartitions("path").mapInArrow(lambda batches: _distinct(pairs(batches)), "a long, b long")
-
-
-def between_components(rows: DataFrame, roots: DataFrame, best: bool, least: int) -> DataFrame:
-    """Candidates between components from the roots down, in nodes of more than `least` classes:
-    all of them, or the best of each two components in a node. rows: path, nid, sketch."""
-    rows = rows.join(roots, "nid", "left").select("path", "nid", "sketch", F.coalesce("root", "nid").alias("label"))
-    sizes = mixed(rows)
-    pairs, depth = [], 1
-    while True:
-        wanted = sizes.where(F.col("n") > least)
-        pairs.append(finish(rows.join(few(wanted.where(F.col("n") <= BLOCK).select("path")), "path"), depth, best))
-        big = wanted.where(F.col("n") > BLOCK)
-        if big.isEmpty():
-            break
-        rows = stage(rows.join(few(big.select("path")), "path"), "near-large")
+        rows.where("label != main").select("path", *kept, nth("across").alias("x"), every("down").alias("y"), F.lit(0).alias("side")),
+        rows.select("path", *kept, every("across").alias("x"), nth("down").alias("y"), F.lit(1).alias("side"))]
+    cells = cells[0].unionByName(cells[1]).select(F.xxhash64("path", "x", "y").alias("path"), *kept, "side")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for path, numbers, sketches, met in _groups(batches, "path", ["nid", "label", "root", "side"], _BLOBS):
+            side = numbers[:, 3]
+            marked = near_ones(np.flatnonzero(side == 0), np.flatnonzero(side == 1), numbers[:, 1], int(numbers[0, 2]), sketches, met)
+            if marked.any():
+                yield path, np.unique(numbers[marked][:, :2], axis=0)
+
+    return cells.repartition("path").sortWithinPartitions("path").mapInArrow(lambda batches: _flagged(found(batches)), GROUPS)
+
+
+def groups_of_candidates(paths: DataFrame, classes: DataFrame) -> DataFrame:
+    """group, nid, label: every candidate pair of two components is together in a group. From the
+    roots down; paths: path, nid, root, label."""
+    sizes = mixed(paths)
+    rows = node_rows(paths, sizes, classes)
+    large = few(stage(sizes.where(F.col("n") > BLOCK).select("path"), "near-large"))
+    if large.isEmpty():
+        return stage(groups_in_tasks(rows, 1), "near-groups")
+    groups = [groups_in_tasks(node_rows(paths.join(large, "path", "left_anti"), sizes, classes), 1)]
+    rows = stage(node_rows(paths.join(large, "path"), sizes, classes), "near-large")
+    depth = 1
+    while not rows.isEmpty():
+        big = sizes.where(F.col("n") > BLOCK)
         below = stage(split_all(rows), "near-level")
         sizes = mixed(below, "parent")
         costs = sizes.groupBy("parent").agg(F.sum("cost").alias("below")).withColumnRenamed("parent", "path")
         split = stage(big.join(costs, "path", "left").where((2 * F.coalesce("below", F.lit(0.0)) <= F.col("cost")) & F.lit(depth < DEPTH)).select("path"), "near-split")
-        pairs.append(meet_all(rows, big.join(few(split), "path", "left_anti"), best))
+        groups.append(groups_in_cells(rows, big.join(few(split), "path", "left_anti")))
         parents = few(split.withColumnRenamed("path", "parent"))
-        rows, sizes, depth = below.join(parents, "parent").drop("parent"), stage(sizes.join(parents, "parent").drop("parent"), "near-mixed"), depth + 1
-    return _union(pairs)
+        sizes, depth = stage(sizes.join(parents, "parent").drop("parent"), "near-mixed"), depth + 1
+        below = below.join(parents, "parent").drop("parent")
+        groups.append(groups_in_tasks(below.join(sizes.where(F.col("n") <= BLOCK).select("path"), "path"), depth))
+        rows = stage(below.join(few(sizes.where(F.col("n") > BLOCK).select("path")), "path"), "near-large")
+    return stage(reduce(DataFrame.unionByName, groups), "near-groups")
 
 
-def branch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One level below nodes that no task should hold: candidates with the pivots, and child rows.
-    rows: path, nid, sketch, pivot, pivot_sketch."""
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sk, pv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDTH) for c in ("sketch", "pivot_sketch"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("path", "nid", "sketch", "pivot")), pa.array((sk == pv).sum(1).astype(np.int32))], names=["path", "nid", "sketch", "pivot", "equal"])
-
-    met = stage(rows.select("path", "nid", "sketch", "pivot", "pivot_sketch").mapInArrow(meet, "path long, nid long, sketch binary, pivot long, equal int"), "near-met")
-    tight = met.groupBy("path").agg((F.avg(F.when(F.col("equal") >= SAME, 1.0).otherwise(0.0)) >= TIGHT).alias("tight"))
-    met = met.join(few(stage(tight, "near-tight")), "path")
-    pairs = met.where(F.col("tight") & (F.col("equal") >= NEAR) & (F.col("nid") != F.col("pivot"))).select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b"))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            path, nid, pivot, equal = (b.column(c).to_numpy() for c in ("path", "nid", "pivot", "equal"))
-            tight = b.column("tight").to_numpy(zero_copy_only=False).astype(bool)
-            raw = b.column("sketch").to_pylist()
-            out: list[tuple] = []
-            for i in np.flatnonzero(~tight | (stays(equal, nid, path) & (nid != pivot))).tolist():
-                for place in places_of(int(path[i])):
-                    h = _hash(int(path[i]), place, raw[i][place])
-                    out.append((h - (1 << 64) if h >> 63 else h, int(nid[i]), raw[i]))
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["path", "nid", "sketch"])
-
-    return pairs, stage(met.mapInArrow(split, "path long, nid long, sketch binary"), "near-level")
-
-
-def nodes(classes: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, int]], list[DataFrame]]:
-    """Rows (path, nid, sketch) at the roots, of nodes that fit a task, by depth, and candidates from
-    larger ones."""
-    sketches = classes.select("nid", "sketch")
-    rows = stage(first_level(classes), "near-paths")
-    sizes = stage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
-    rows = rows.join(sizes.select("path"), "path")
-    rows = stage(rows.join(sketches, "nid").select("path", "nid", "sketch"), "near-rows")
-    top, small, pairs, depth = rows, [], [], 1
-    while True:
-        big = sizes.where(F.col("n") > BLOCK)
-        if depth >= DEPTH or big.isEmpty():
-            return top, [*small, (rows, depth)], pairs
-        large = few(big.select("path"))  # one in BLOCK rows at most
-        small.append((rows.join(large, "path", "left_anti"), depth))
-        order = F.xxhash64("path", "nid")
-        pivots = rows.join(large, "path").groupBy("path").agg(F.min_by("nid", order).alias("pivot"))
-        pivots = stage(pivots.join(sketches.withColumnRenamed("sketch", "pivot_sketch"), F.col("pivot") == F.col("nid")).select("path", "pivot", "pivot_sketch"), "near-pivots")
-        met, rows = branch(rows.join(few(pivots), "path"))
-        pairs.append(met)
-        depth += 1
-        sizes = stage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
-        rows = stage(rows.join(sizes.select("path"), "path"), "near-rows")
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return stage(reduce(DataFrame.unionByName, frames).distinct(), "near-pairs")
-
-
-def linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Confirmed links a < b that connect what all links connect. First each class meets the best
-    partner of every node it is in. Then, with the components of those links known, each two of them
-    meet in larger nodes by their best partners, and at last, with the components known by then, all
-    partners of another component. Links inside a component that is known already are never made, so a group of m near copies costs pairs in proportion to m."""
-    check = lambda pairs: stage(confirm(pairs, classes, docs, width, percent, id_col, text_col), "near-links")
-    top, parts, met = nodes(classes)
-    links = check(_union([*met, *(finish(rows, depth) for rows, depth in parts)]))
-    roots = stage(components(links), "near-roots")
-    joining = between_components(top, roots, True, CROWD)
-    if not joining.isEmpty():
-        links = links.unionByName(check(joining))
-        roots = stage(components(links), "near-roots")
-    return links.unionByName(check(between_components(top, roots, False, 1)))
+# ---------------------------------------------------------------- exact confirmation
 
 
 def few(ids: DataFrame) -> DataFrame:
@@ -481,10 +518,9 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else ids
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    members = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
-    wanted = stage(classes.select("nid", "id", "digest").join(members, "nid"), "near-wanted")
+def full_sets(nids: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """nid, set (sorted 64-bit hashes, as bytes) of the classes wanted, from the texts again."""
+    wanted = stage(classes.select("nid", "id", "digest").join(nids.distinct(), "nid"), "near-wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.join(few(wanted), "id")
 
@@ -493,14 +529,107 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
             texts, nids, digests = (b.column(c).to_pylist() for c in ("text", "nid", "digest"))
             for s in chunks(texts):
                 sets = shingles(texts[s], width)
-                kept = [(n, x.view(np.int64)) for n, d, x in zip(nids[s], digests[s], sets, strict=True) if xxhash.xxh3_128_digest(x.tobytes()) == d]
+                kept = [(n, raw) for n, d, raw in zip(nids[s], digests[s], (x.tobytes() for x in sets), strict=True) if xxhash.xxh3_128_digest(raw) == d]
                 if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.list_(pa.int64()))], names=["nid", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.binary())], names=["nid", "set"])
+
+    return stage(texts.select("text", "nid", "digest").mapInArrow(run, "nid long, set binary").dropDuplicates(["nid"]), "near-sets")
+
+
+def spanning(nids: np.ndarray, labels: np.ndarray, sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links (100 * intersection >= percent * union) between components that connect what all links
+    among these classes connect; intersections are counted on the full sets through posting lists."""
+    sizes = np.array([len(s) // 8 for s in sets], np.int64)
+    flat = np.unique(np.frombuffer(b"".join(sets), _U), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    posting, first = owner[order], np.searchsorted(flat[order], np.arange(int(flat.max()) + 2))
+    ends = np.cumsum(sizes)
+    names, label, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    root, links = np.arange(len(names)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in np.flatnonzero(label != counts.argmax()).tolist():
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        begin, n = first[own], first[own + 1] - first[own]
+        upto = np.cumsum(n)
+        common = np.bincount(posting[np.repeat(begin - upto + n, n) + np.arange(int(upto[-1]))], minlength=len(sets))
+        alike = np.flatnonzero((100 * common >= percent * (sizes + sizes[i] - common)) & (label != label[i]))
+        for j in alike[np.unique(label[alike], return_index=True)[1]].tolist():
+            a, b = find(int(label[i])), find(int(label[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((int(min(nids[i], nids[j])), int(max(nids[i], nids[j]))))
+    return links
+
+
+def settle(groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links a < b in the groups, as many as connect their components. A group whose sets
+    together have more than MOST_SHINGLES shingles is cut into parts, every two of which share a cell."""
+    sets = full_sets(groups.select("nid"), classes, docs, width, id_col, text_col)
+    sized = groups.join(classes.select("nid", "n_shingles"), "nid")
+    parts = stage(sized.groupBy("group").agg(F.sum("n_shingles").alias("n")).select("group", F.ceil(F.col("n") / MOST_SHINGLES).cast("int").alias("parts")).where("parts > 1"), "near-parts")
+    few_parts = few(parts)
+    own, other = F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = groups.join(few_parts, "group").select("group", "nid", "label", own.alias("x"), other.alias("y"))
+    cells = cells.select(F.xxhash64("group", F.least("x", "y"), F.greatest("x", "y")).alias("group"), "nid", "label")
+    rows = groups.join(few_parts, "group", "left_anti").unionByName(cells).join(sets, "nid").select("group", "nid", "label", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple[int, int]] = []
+
+        def close(held: list[tuple]) -> None:
+            if len(held) > 1:
+                nids, labels, sets = zip(*held, strict=True)
+                links.extend(spanning(np.array(nids), np.array(labels), list(sets), percent))
+
+        now, held = None, []
+        for b in batches:
+            for group, *rest in zip(*(b.column(c).to_pylist() for c in ("group", "nid", "label", "set")), strict=True):
+                if group != now:
+                    close(held)
+                    now, held = group, []
+                held.append(tuple(rest))
+        close(held)
+        if links:
+            yield _pairs(set(links))
+
+    return stage(rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct(), "near-links")
 
-    sets = stage(texts.select("text", "nid", "digest").mapInArrow(run, "nid long, set array<bigint>"), "near-sets")
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    sets = full_sets(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")), classes, docs, width, id_col, text_col)
     both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("sb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for left, right in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(left, _U), np.frombuffer(right, _U)
+                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return stage(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "near-links")
+
+
+def linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Confirmed links a < b that connect what all links connect. Links inside a component that is
+    known already are never made, so a group of m near copies costs links in proportion to m."""
+    paths = stage(first_level(classes), "near-paths")
+    pairs = first_pairs(paths, classes)
+    if pairs is None:
+        return settle(groups_of_candidates(paths.withColumn("label", F.col("nid")), classes), classes, docs, width, percent, id_col, text_col)
+    links = confirm(pairs, classes, docs, width, percent, id_col, text_col)
+    known = stage(components(links), "near-roots").withColumnRenamed("root", "label")
+    paths = paths.join(few(known), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    return links.unionByName(settle(groups_of_candidates(paths, classes), classes, docs, width, percent, id_col, text_col))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -521,11 +650,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for each row of docs."""
-    rows = stage(prepare(docs, width, id_col, text_col), "near-rows")
-    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
-    classes = stage(classes.select(F.monotonically_increasing_id().alias("nid"), "id", "digest", "tokens", "sketch"), "near-classes")
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """id, n_shingles, component_id, kept for each row of docs, and the columns to carry."""
+    carry = carry or []
+    rows = stage(prepare(docs, width, id_col, text_col, carry), "near-rows")
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("nid"), "id", "digest", "n_shingles", "tokens", "sketch"), "near-classes")
     links = stage(linked(classes.where("id is not null"), docs, width, percent, id_col, text_col), "near-links")
     if links.isEmpty():
         named = classes.select("digest", F.col("id").alias("component_id"))
@@ -536,9 +666,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         low = ids.join(lows, "root").select("nid", "low")
         named = classes.select("nid", "digest", "id").join(low, "nid", "left").select("digest", F.coalesce("low", "id").alias("component_id"))
     named = stage(named, "near-names")
-    own = rows.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
-    out = own.where("digest is not null").join(named, "digest").select("id", "n_shingles", "component_id")
-    alone = own.where("digest is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    own = rows.select("id", "n_shingles", *carry, F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
+    out = own.where("digest is not null").join(named, "digest").select("id", "n_shingles", "component_id", *carry)
+    alone = own.where("digest is null").select("id", "n_shingles", F.col("id").alias("component_id"), *carry)
     return out.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
@@ -547,6 +677,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five words, 0.8); the columns of docs."""
-    gone = stage(near_duplicates(docs).where("not kept and id is not null").select(F.col("id").alias("_id")).distinct(), "near-gone")
-    return docs.join(few(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    """One document of each component of near copies (five words, 0.8), that with the smallest id, and
+    all without near copies; the columns of docs, under any name.
+
+    Defined results: rows are told apart by a hash of id and text, so rows that share an id are
+    judged each by its own text, and null ids (largest) are judged too; of rows that repeat id and
+    text one stays; documents without words all stay; an empty table gives none."""
+    own = F.xxhash64("doc_id", "text")
+    found = near_duplicates(docs.select(own.alias("sid"), "doc_id", "text"), id_col="sid", carry=["doc_id"])
+    found = stage(found.select(F.col("id").alias("sid"), "doc_id", "component_id"), "near-found")
+    firsts = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("sid"))).alias("first"))
+    firsts = stage(firsts.where("n > 1").select(F.col("component_id").alias("c"), F.col("first.sid").alias("first")), "near-firsts")
+    gone = stage(found.join(firsts, (F.col("component_id") == F.col("c")) & (F.col("sid") != F.col("first"))).select(F.col("sid").alias("s")).distinct(), "near-gone")
+    out = packed(docs, sid=own).join(few(gone), F.col("sid") == F.col("s"), "left_anti")
+    twice = found.groupBy("sid").count().where("count > 1").select(F.col("sid").alias("s"))
+    if not twice.isEmpty():
+        out = out.join(few(twice), F.col("sid") == F.col("s"), "left_anti").unionByName(out.join(few(twice), F.col("sid") == F.col("s"), "left_semi").dropDuplicates(["sid"]))
+    return unpacked(out, docs.columns)
