@@ -33,7 +33,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, forget, packed, stage, unpacked
-from .segments import Numbered, chunks, grown, mix
+from .segments import blanks, chunks, distinct, mix
 
 #: Minwise tokens of a set; trees; classes compared exhaustively; classes of a node held in a task.
 PLACES, TREES, LEAF, BLOCK, DEPTH = 64, 16, 24, 4096, 48
@@ -64,39 +63,30 @@ MOST_BROADCAST = 2_000_000
 _U = np.uint64
 
 
-_STEPS = mix(np.arange(1, 1 + 1024, dtype=_U)) | _U(1)
+_STEPS = mix(np.arange(1, 1 + 64, dtype=_U)) | _U(1)
+#: Factor and summand of the permutation of 32-bit values behind each minwise token.
+_MINWISE = (mix(np.arange(4096, 4096 + 2 * WIDTH, dtype=_U)) >> _U(32)).astype(np.uint32).reshape(WIDTH, 2) | np.array([1, 0], np.uint32)
 
 
-class WordHashes:
-    """64-bit hashes of words; each distinct word is hashed once."""
+def words_of(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Of the words of all texts, A-Z lowered: the number of each, the words that the numbers stand
+    for, and where each text begins and ends among them."""
+    parts = [t.encode() for t in texts]
+    data = (b"\n" + b"\n".join(parts) + b"\n").lower()  # of bytes, lower() changes A-Z alone
+    blank = blanks(np.frombuffer(data, np.uint8))
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # words and white space in turn
+    numbers, segments = distinct(data, np.concatenate([[0], edges]))
+    ends = np.cumsum(np.fromiter((len(x) + 1 for x in parts), np.int64, len(parts)))
+    return numbers[1::2], segments, np.searchsorted(edges[::2], np.concatenate([[0], ends]))
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.index, self.hashes = most, Numbered(), np.empty(1 << 10, _U)
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.most:
-            self.index = Numbered()
-        at = self.index.of(words)
-        n, new = len(self.index), self.index.new
-        if new:
-            self.hashes = grown(self.hashes, n)
-            self.hashes[n - len(new) : n] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), _U, len(new))
-            self.index.new = []
-        return self.hashes[at]
-
-
-_words = WordHashes()
-
-
-def words_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words of all texts, A-Z lowered, their hashes, and where each text begins and ends among them."""
-    parts = [t.encode().lower().split() for t in texts]  # of bytes, lower() changes A-Z alone and split() parts at ASCII white space
-    words = list(chain.from_iterable(parts))
-    return words, _words(words), np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+def hashed(segments: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, segments), _U, len(segments))
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return words_of(texts)[1:]
+    numbers, segments, upto = words_of(texts)
+    return hashed(segments)[numbers], upto
 
 
 def shingles(texts: list[str], width: int) -> list[np.ndarray]:
@@ -124,9 +114,11 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     if live:
         flat = np.concatenate([sets[i] for i in live])
         first = np.concatenate([[0], np.cumsum([len(sets[i]) for i in live])[:-1]])
+        short, h = (flat ^ (flat >> _U(32))).astype(np.uint32), np.empty(len(flat), np.uint32)
         for k in range(WIDTH):
-            h = ((flat ^ (flat >> _U(29))) + _STEPS[k + 64]) * _STEPS[k + 512]
-            out[live, k] = np.minimum.reduceat((h >> _U(32)).astype(np.uint32), first)
+            np.multiply(short, _MINWISE[k, 0], out=h)
+            np.add(h, _MINWISE[k, 1], out=h)
+            out[live, k] = np.minimum.reduceat(h, first)
     return out
 
 
@@ -175,20 +167,22 @@ def child_paths(path: int, place: int, values: np.ndarray) -> np.ndarray:
     return mix(values.astype(_U) * _STEPS[5] + _U(_hash(path, place, 2)))
 
 
-def first_level(classes: DataFrame) -> DataFrame:
-    """path, nid, root: the branches of all classes at the roots, which are numbered."""
-    picked = root_places()
+def first_level(classes: DataFrame, roots: int | None = None) -> DataFrame:
+    """path, nid, root, label: the branches of all classes at the roots (the first few, or all), which
+    are numbered. A class without a label is a component of its own."""
+    picked = root_places()[:roots]
+    label = F.col("label" if "label" in classes.columns else "nid").alias("label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                nid = b.column("nid").to_numpy()
                 tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint32).reshape(-1, PLACES)
                 paths = np.concatenate([child_paths(t, k, tokens[:, k]) for t, k in picked])
-                root = np.repeat(np.arange(len(picked), dtype=np.int32), len(nid))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(paths)), pa.array(np.tile(nid, len(picked))), pa.array(root)], names=["path", "nid", "root"])
+                root = np.repeat(np.arange(len(picked), dtype=np.int32), b.num_rows)
+                own = [pa.array(np.tile(b.column(c).to_numpy(), len(picked))) for c in ("nid", "label")]
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(paths)), own[0], pa.array(root), own[1]], names=["path", "nid", "root", "label"])
 
-    return classes.select("nid", "tokens").mapInArrow(run, "path long, nid long, root int")
+    return classes.select("nid", label, "tokens").mapInArrow(run, "path long, nid long, root int, label long")
 
 
 def children(own: np.ndarray, sketches: np.ndarray, path: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -310,15 +304,12 @@ def branch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, stage(met.mapInArrow(split, "path long, nid long, sketch binary"), "near-level")
 
 
-def first_pairs(paths: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Candidates in the nodes of more than CROWD classes at the first FIRST_ROOTS roots: each class
-    with its best partner, and with the pivots of tight nodes. None where no node is that large."""
+def first_pairs(paths: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates in the nodes of more than CROWD classes among these paths: each class with its best
+    partner, and with the pivots of nodes in which many are nearly equal."""
     sketches = classes.select("nid", "sketch")
-    rows = paths.where(F.col("root") < FIRST_ROOTS)
-    sizes = stage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "near-sizes")
-    if sizes.isEmpty():
-        return None
-    rows = stage(rows.join(few(sizes.select("path")), "path").join(sketches, "nid").select("path", "nid", "sketch"), "near-rows")
+    sizes = stage(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD), "near-sizes")
+    rows = stage(paths.join(few(sizes.select("path")), "path").join(sketches, "nid").select("path", "nid", "sketch"), "near-rows")
     pairs, depth = [], 1
     while True:
         big = few(sizes.where(F.col("n") > BLOCK).select("path"))  # one in BLOCK rows at most
@@ -622,30 +613,34 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
 def linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links a < b that connect what all links connect. Links inside a component that is
     known already are never made, so a group of m near copies costs links in proportion to m."""
-    paths = stage(first_level(classes), "near-paths")
-    pairs = first_pairs(paths, classes)
-    if pairs is None:
-        return settle(groups_of_candidates(paths.withColumn("label", F.col("nid")), classes), classes, docs, width, percent, id_col, text_col)
+    pairs = first_pairs(stage(first_level(classes, FIRST_ROOTS), "near-paths"), classes)
     links = confirm(pairs, classes, docs, width, percent, id_col, text_col)
     known = stage(components(links), "near-roots").withColumnRenamed("root", "label")
-    paths = paths.join(few(known), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    classes = classes.join(few(known), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    paths = stage(first_level(classes), "near-paths")
     return links.unionByName(settle(groups_of_candidates(paths, classes), classes, docs, width, percent, id_col, text_col))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """nid, root: for each class with a link the smallest nid it can reach."""
-    edges = stage(links.union(links.select("b", "a")).toDF("u", "v"), "near-edges")
-    labels = stage(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "nid"), "near-labels")
+    """nid, root: for each class with a link the smallest nid it can reach. In each round every node
+    hooks to its least neighbour, chains of hooks are followed to their ends by doubling, and each
+    tree becomes one node; only links between trees go on to the next round."""
+    edges = stage(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "near-edges")
+    labels = None
     for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("nid", "v"), "v").groupBy("u").agg(F.min("root").alias("near"))
-        hooked = labels.join(near, F.col("nid") == F.col("u")).select("nid", "root", F.least("root", "near").alias("low"))
-        # The root of the root, where that is smaller still.
-        jumped = hooked.join(hooked.select(F.col("nid").alias("r"), F.col("low").alias("far")), F.col("low") == F.col("r"), "left")
-        later = stage(jumped.select("nid", F.least("low", F.coalesce("far", F.col("low"))).alias("new"), F.col("root").alias("old")), "near-labels")
-        forget(links.sparkSession, labels)
-        changed = not later.where("new < old").isEmpty()
-        labels = later.select("nid", F.col("new").alias("root"))
-        if not changed:
+        up = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("v"))
+        up = stage(up.select("u", F.least("u", "v").alias("p")), "near-hooks")
+        for _ in range(rounds):
+            later = up.join(up.select(F.col("u").alias("p"), F.col("p").alias("far")), "p").select("u", F.col("far").alias("p"), (F.col("far") < F.col("p")).alias("moved"))
+            later = stage(later, "near-hooks")
+            forget(links.sparkSession, up)
+            up = later.select("u", "p")
+            if later.where("moved").isEmpty():
+                break
+        labels = up.toDF("nid", "root") if labels is None else stage(labels.join(up.toDF("root", "p"), "root", "left").select("nid", F.coalesce("p", "root").alias("root")), "near-labels")
+        edges = edges.join(up.toDF("u", "x"), "u").join(up.toDF("v", "y"), "v")
+        edges = stage(edges.where("x != y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "near-edges")
+        if edges.isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 

@@ -18,7 +18,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .segments import SegmentEncoder, by_text, chunks
+from .segments import SegmentEncoder, by_text, chunks, distinct
 
 META = "▁"
 META_BYTES = META.encode()
@@ -204,13 +203,23 @@ class Pieces:
         self.end_id = self.library.eos_id()
         inner = re.compile(f"[^{META}]{META}")
         self.local = self.has_bytes and not any(k == NORMAL and inner.search(n.decode()) for n, k in zip(names, kinds, strict=True))
-        self.segment = re.compile(f"{META}+[^{META}]*|[^{META}]+")  # a run of meta symbols and what follows it
-        self.known = SegmentEncoder(lambda segments: self.bare.encode(segments, num_threads=1))
+        self.known = SegmentEncoder(lambda segments: self.bare.encode([x.decode() for x in segments], num_threads=1))
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of normalised texts one after the other, and the number of ids of each text."""
-        parts = [self.segment.findall(t) for t in texts] if self.local else [[t] for t in texts]
-        return by_text(*self.known(list(chain.from_iterable(parts))), list(map(len, parts)))
+        parts = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        raw, ends = b"".join(parts), np.cumsum(sizes)
+        data = np.frombuffer(raw, np.uint8)
+        marks = np.zeros(len(data) + 1, bool)
+        marks[ends - sizes] = True
+        if self.local and len(data):  # a segment is a run of meta symbols and what follows it
+            meta = np.zeros(len(data) + 3, bool)
+            meta[3:-2] = (data[:-2] == META_BYTES[0]) & (data[1:-1] == META_BYTES[1]) & (data[2:] == META_BYTES[2])
+            marks[:-1] |= meta[3:] & ~meta[:-3]
+        starts = np.flatnonzero(marks[:-1])
+        ids, counts = self.known(*distinct(raw, starts))
+        return ids, by_text(counts, starts, ends)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its ids, with the end id, and the first and last (exclusive) original byte of each."""

@@ -1,10 +1,11 @@
 """Encoding by distinct segments.
 
 Where a tokenizer never joins two segments of a text into one token, the ids of the text are the
-ids of its segments one after the other. A worker has the library encode each distinct segment
-once, keeps the ids in one flat array and expands texts by numpy gathers. Segments are the keys of
-a dictionary, so two that differ never meet, whatever their hashes. The store is emptied when it
-holds more than `most` segments or `most_ids` ids, so a worker's memory is bounded.
+ids of its segments one after the other. Segments are stretches of one byte array; Arrow's
+dictionary encoding, which compares whole values, names the distinct ones. A worker has the library
+encode each of these once, keeps the ids in one flat array and expands texts by numpy gathers.
+Segments that differ never meet, whatever their hashes. The store is emptied when it holds more than `most`
+segments or `most_ids` ids, so a worker's memory is bounded.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 
 def chunks(values: list, most: int = 1 << 20) -> Iterator[slice]:
@@ -35,19 +37,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class Numbered(dict):
-    """Numbers keys in the order in which they are first asked for; `new` holds those not yet seen to."""
+def distinct(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of the segments of data that begin at starts and touch each other: the number of each, and what
+    the numbers stand for."""
+    if not len(starts):
+        return np.empty(0, np.int32), []
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
 
-    def __init__(self):
-        self.new: list = []
 
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
-    def of(self, keys: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+def blanks(data: np.ndarray) -> np.ndarray:
+    """Where ASCII white space is."""
+    return (data == 32) | ((data >= 9) & (data <= 13))
 
 
 def grown(array: np.ndarray, size: int) -> np.ndarray:
@@ -60,39 +62,39 @@ def grown(array: np.ndarray, size: int) -> np.ndarray:
 
 
 class SegmentEncoder:
-    """Encodes lists of segments; the library sees each distinct one once."""
+    """Encodes numbered segments; the library sees each distinct one once."""
 
-    def __init__(self, encode: Callable[[list], list[list[int]]], most: int = 400_000, most_ids: int = 4_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 400_000, most_ids: int = 4_000_000):
         self.encode, self.most, self.most_ids = encode, most, most_ids
         self._empty()
 
     def _empty(self) -> None:
-        self.index, self.used = Numbered(), 0
+        self.index: dict[bytes, int] = {}
+        self.used = 0
         self.start, self.size, self.flat = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64), np.empty(1 << 14, np.int32)
 
-    def _learn(self) -> None:
-        ids = self.encode(self.index.new)
+    def _learn(self, new: list[bytes]) -> None:
+        ids = self.encode(new)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends, n = self.used + np.cumsum(size), len(self.index)
-        self.start, self.size, self.flat = grown(self.start, n), grown(self.size, n), grown(self.flat, int(ends[-1]))
-        self.start[n - len(ids) : n], self.size[n - len(ids) : n] = ends - size, size
+        ends, old = self.used + np.cumsum(size), len(self.index)
+        self.index.update(zip(new, range(old, old + len(new)), strict=True))
+        self.start, self.size, self.flat = grown(self.start, old + len(new)), grown(self.size, old + len(new)), grown(self.flat, int(ends[-1]))
+        self.start[old : old + len(new)], self.size[old : old + len(new)] = ends - size, size
         self.flat[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]) - self.used)
         self.used = int(ends[-1])
-        self.index.new = []
 
-    def __call__(self, segments: list) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of ids of each segment."""
+    def __call__(self, numbers: np.ndarray, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and the number of ids of each; segments are what the numbers stand for."""
         if len(self.index) > self.most or self.used > self.most_ids:
             self._empty()
-        at = self.index.of(segments)
-        if self.index.new:
-            self._learn()
+        if new := [x for x in segments if x not in self.index]:
+            self._learn(new)
+        at = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))[numbers]
         size = self.size[at]
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], size
 
 
-def by_text(ids: np.ndarray, sizes: np.ndarray, segments: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """ids, and their number for each text, of texts with so many segments each."""
-    upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(np.array(segments, np.int64))])]
-    return ids, np.diff(upto)
+def by_text(sizes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The number of ids of each text, given that of each segment, where segments start and texts end in the data."""
+    return np.diff(np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, np.concatenate([[0], ends]))])

@@ -27,7 +27,6 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, shared_dir
-from .segments import SegmentEncoder, by_text, chunks
+from .segments import SegmentEncoder, blanks, by_text, chunks, distinct
 
 MAGIC, FOOTER, BLOCK = b"QSST1\n", "<QQQQQQIII6s", 1 << 16
 BLOOM_BITS, BLOOM_PLACES = 10, 7
@@ -182,11 +181,24 @@ class Reader:
 
 
 _encoders: dict[str, tuple] = {}
-#: In texts of these characters alone, the tokenizer and SEGMENT agree on what is white space.
+#: In texts of these characters alone, the tokenizer and segment_starts agree on what is white space.
 PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ɏ–—‘’“”]*")
-#: A word with the blank before it; of longer white space, what is left before that blank or before
-#: the last character. The tokenizer's pattern never joins two such segments.
-SEGMENT = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.A)
+
+
+def segment_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where segments begin in the bytes of texts that begin at `begins`: a word with the blank
+    before it; of longer white space, what is left before that blank or before the last character.
+    The tokenizer's pattern never joins two such segments."""
+    blank = blanks(data)
+    marks = np.zeros(len(data) + 1, bool)
+    marks[0] = marks[begins] = True
+    before = np.concatenate([[False], blank[:-1]])
+    before[begins[begins < len(data)]] = False
+    marks[:-1] |= blank & ~before  # white space begins
+    word = np.flatnonzero(~blank & before)  # a word after white space
+    marks[word - 1] = True
+    marks[word[data[word - 1] != 32]] = True
+    return np.flatnonzero(marks[:-1])
 
 
 def encoder(path: str):
@@ -199,11 +211,14 @@ def encoder(path: str):
         fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         library = lambda texts: [e.ids for e in fast(texts, add_special_tokens=False)]
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        known = SegmentEncoder(library)
+        known = SegmentEncoder(lambda segments: library([x.decode() for x in segments]))
 
         def by_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            parts = [SEGMENT.findall(t) for t in texts]
-            return by_text(*known(list(chain.from_iterable(parts))), list(map(len, parts)))
+            parts = [t.encode() for t in texts]
+            data, ends = b"".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+            starts = segment_starts(np.frombuffer(data, np.uint8), ends[:-1]) if data else np.empty(0, np.int64)
+            ids, sizes = known(*distinct(data, starts))
+            return ids, by_text(sizes, starts, ends)
 
         def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             plain = [PLAIN.fullmatch(t) is not None and not any(a in t for a in added) for t in texts]
