@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .segments import SegmentEncoder, by_text, chunks, distinct
+from .segments import SegmentEncoder, by_text, chunks, distinct, encoded
 
 META = "▁"
 META_BYTES = META.encode()
@@ -203,7 +203,7 @@ class Pieces:
         self.end_id = self.library.eos_id()
         inner = re.compile(f"[^{META}]{META}")
         self.local = self.has_bytes and not any(k == NORMAL and inner.search(n.decode()) for n, k in zip(names, kinds, strict=True))
-        self.known = SegmentEncoder(lambda segments: self.bare.encode([x.decode() for x in segments], num_threads=1))
+        self.known = SegmentEncoder(lambda segments: encoded(self.bare.encode([x.decode() for x in segments], num_threads=1)), 1_000_000, 8_000_000)
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of normalised texts one after the other, and the number of ids of each text."""
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
         m = model(model_path)
         for b in batches:
             texts = b.column("_text").to_pylist()
-            for s in chunks(texts):
+            for s in chunks(texts, 1 << 21):
                 found = m.encode(texts[s])
                 lists = [ids.tolist() for ids, _, _ in found]
                 decoded = m.decode(lists)

@@ -61,10 +61,20 @@ def grown(array: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+#: For each segment its number of ids and where they start in the array of ids.
+Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def encoded(ids: list[list[int]]) -> Encoded:
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    ends = np.cumsum(size)
+    return size, ends - size, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+
+
 class SegmentEncoder:
     """Encodes numbered segments; the library sees each distinct one once."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 400_000, most_ids: int = 4_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], Encoded], most: int = 400_000, most_ids: int = 4_000_000):
         self.encode, self.most, self.most_ids = encode, most, most_ids
         self._empty()
 
@@ -74,14 +84,13 @@ class SegmentEncoder:
         self.start, self.size, self.flat = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64), np.empty(1 << 14, np.int32)
 
     def _learn(self, new: list[bytes]) -> None:
-        ids = self.encode(new)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        ends, old = self.used + np.cumsum(size), len(self.index)
-        self.index.update(zip(new, range(old, old + len(new)), strict=True))
-        self.start, self.size, self.flat = grown(self.start, old + len(new)), grown(self.size, old + len(new)), grown(self.flat, int(ends[-1]))
-        self.start[old : old + len(new)], self.size[old : old + len(new)] = ends - size, size
-        self.flat[self.used : int(ends[-1])] = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]) - self.used)
-        self.used = int(ends[-1])
+        size, start, flat = self.encode(new)
+        old, n = len(self.index), len(self.index) + len(new)
+        self.index.update(zip(new, range(old, n), strict=True))
+        self.start, self.size, self.flat = grown(self.start, n), grown(self.size, n), grown(self.flat, self.used + len(flat))
+        self.start[old:n], self.size[old:n] = self.used + start, size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def __call__(self, numbers: np.ndarray, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each; segments are what the numbers stand for."""
