@@ -1,12 +1,18 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-One pass over the texts gives counts for each document. Ratios of them go into logarithmic
-histogram sketches, one for each metric and (language, source): bucket b holds the values in
-(g^(b-1), g^b], so a quantile has a relative error of at most (g - 1) / 2, sketches merge by adding
-their counts in any order, and a sketch has a fixed number of buckets at most. Sketches of sources
-with few documents give way to the merged sketch of their language, and that to the merged sketch
-of all. Fences at q75 + k * (q75 - q25), never inside a fixed safe zone, replace fixed cutoffs;
-documents meet the fences of their group in a join, one row for each group.
+One pass over the texts gives counts for each document. Ratios of them, and the numbers of words and
+lines, go into logarithmic histogram sketches, one for each metric and (language, source): bucket b
+holds the values in (g^(b-1), g^b], so a quantile has a relative error of at most (g - 1) / 2,
+sketches merge by adding their counts in any order, and a sketch has a fixed number of buckets at
+most. The fence of a metric is
+
+  q75 + k * max(q75 - q25, unit)
+
+where unit is what one more item (symbol, repeated line, repeated window) adds in the group's median
+document; no cutoff is fixed. Quantiles of a group of n documents are drawn towards those of the
+merged sketches of its language, and these towards all documents, with weight n / (n + PRIOR_DOCS),
+so small groups borrow from large ones and no size is a switch. Documents meet the fences of their
+group in a join, one row for each group.
 
 Defined results: null text has no words; null language and null source are groups of their own; a
 document without words fails the base rule; an empty table gives an empty result.
@@ -30,10 +36,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 #: Sketch: relative width of a bucket, and values that count as the smallest.
 GROWTH, SMALLEST = 1.02, 1e-4
-#: Groups of fewer documents use the merged sketch of the next level.
-LEAST_DOCS = 200
-#: metric -> (k of the fence, safe value below which the upper fence never falls).
-UPPER = {"symbol_ratio": (3.0, 0.10), "dup_line_ratio": (3.0, 0.50), "repeat_ratio": (3.0, 0.30), "mean_chars": (3.0, 15.0)}
+#: Documents of the next level that count as much as a group's own.
+PRIOR_DOCS = 50
+#: metric -> (k of the fence, items in a unit, the sketch whose median is the size of a document).
+UPPER = {"symbol_ratio": (6.0, 1.0, "n_words"), "dup_line_ratio": (8.0, 1.0, "n_lines"), "repeat_ratio": (10.0, float(WINDOW), "n_words"), "mean_chars": (5.0, 0.0, "n_words")}
+SIZES = ("n_words", "n_lines")
 
 
 def text_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -98,7 +105,7 @@ def _metrics(counts: DataFrame) -> DataFrame:
 
 def sketch(counts: DataFrame, by=("by0", "by1")) -> DataFrame:
     """by, metric, bucket, n: the sketches of each group; add up n to merge them."""
-    rows = _metrics(counts).where("n_words > 0").select(*by, F.explode(F.create_map(*[x for m in UPPER for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
+    rows = _metrics(counts).where("n_words > 0").select(*by, F.explode(F.create_map(*[x for m in (*UPPER, *SIZES) for x in (F.lit(m), F.col(m).cast("double"))])).alias("metric", "value"))
     bucket = F.when(F.col("value") <= SMALLEST, F.lit(int(np.floor(np.log(SMALLEST) / np.log(GROWTH))))).otherwise(F.ceil(F.log("value") / F.lit(float(np.log(GROWTH))))).cast("int")
     return rows.groupBy(*by, "metric", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -113,16 +120,19 @@ def quantiles(sketches: DataFrame, keys: list[str], qs=(0.25, 0.75)) -> DataFram
     return merged.groupBy(*keys, "metric").agg(F.first("docs").alias("docs"), *[middle(a).alias(f"q{i}") for i, a in enumerate(at)])
 
 
-def fences(sketches: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def fences(sketches: DataFrame, prior_docs: float = PRIOR_DOCS) -> DataFrame:
     """by0, by1 and an upper fence for each metric."""
-    k = F.create_map(*[x for m, (k, _) in UPPER.items() for x in (F.lit(m), F.lit(k))])
-    safe = F.create_map(*[x for m, (_, s) in UPPER.items() for x in (F.lit(m), F.lit(s))])
-    upper = F.greatest(safe[F.col("metric")], F.col("q1") + k[F.col("metric")] * (F.col("q1") - F.col("q0")))
-    fine, lang, all_ = (quantiles(sketches, keys).select(*[F.col(c).alias(f"{c}_{i}") for c in keys], "metric", F.col("docs").alias(f"docs{i}"), upper.alias(f"upper{i}")) for i, keys in enumerate((["by0", "by1"], ["by0"], [])))
-    out = fine.join(lang, F.col("by0_0").eqNullSafe(F.col("by0_1")) & (fine["metric"] == lang["metric"])).drop(lang["metric"])
-    out = out.join(all_, "metric")
-    chosen = F.when(F.col("docs0") >= least_docs, F.col("upper0")).when(F.col("docs1") >= least_docs, F.col("upper1")).otherwise(F.col("upper2"))
-    return out.groupBy(F.col("by0_0").alias("f0"), F.col("by1_0").alias("f1")).agg(*[F.max(F.when(F.col("metric") == m, chosen)).alias(f"max_{m}") for m in UPPER])
+    names = ("q0", "q1", "q2")
+    levels = [quantiles(sketches, keys, (0.25, 0.75, 0.5)).select(*[F.col(c).alias(f"{c}_{i}") for c in keys], F.col("metric").alias(f"metric_{i}"), F.col("docs").alias(f"docs_{i}"), *[F.col(q).alias(f"{q}_{i}") for q in names]) for i, keys in enumerate((["by0", "by1"], ["by0"], []))]
+    fine, lang, every = levels
+    out = fine.join(lang, F.col("by0_0").eqNullSafe(F.col("by0_1")) & (F.col("metric_0") == F.col("metric_1"))).join(every, F.col("metric_0") == F.col("metric_2"))
+    own, wide = F.col("docs_0") / (F.col("docs_0") + prior_docs), F.col("docs_1") / (F.col("docs_1") + prior_docs)
+    drawn = {q: own * F.col(f"{q}_0") + (1 - own) * (wide * F.col(f"{q}_1") + (1 - wide) * F.col(f"{q}_2")) for q in names}
+    at = lambda q, m: F.max(F.when(F.col("metric_0") == m, drawn[q]))
+    groups = out.groupBy(F.col("by0_0").alias("f0"), F.col("by1_0").alias("f1")).agg(
+        *[at(q, m).alias(f"{q}_{m}") for m in UPPER for q in ("q0", "q1")], *[at("q2", m).alias(f"median_{m}") for m in SIZES])
+    spread = lambda m, items, size: F.greatest(F.col(f"q1_{m}") - F.col(f"q0_{m}"), items / F.greatest(F.col(f"median_{size}"), F.lit(1.0)))
+    return groups.select("f0", "f1", *[(F.col(f"q1_{m}") + k * spread(m, items, size)).alias(f"max_{m}") for m, (k, items, size) in UPPER.items()])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by=("lang", "source")) -> DataFrame:
