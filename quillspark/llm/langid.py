@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import documents
+from .common import documents, packed, stage, unpacked
+from .segments import chunks
 
 BUCKETS, MOST_LANGUAGES, CHUNK_CHARS = 1 << 16, 256, 1 << 19
 SMOOTHING, STEPS = 0.05, 12
@@ -57,19 +59,6 @@ def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
     return h.astype(np.int64), first, np.diff(np.concatenate([[0], upto]))
 
 
-def chunks(values: list, most: int = CHUNK_CHARS) -> Iterator[slice]:
-    """Slices of texts of about `most` characters together; a longer text is alone."""
-    start = size = 0
-    for i, t in enumerate(values):
-        n = len(t) if t else 0
-        if i > start and size + n > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += n
-    if start < len(values):
-        yield slice(start, len(values))
-
-
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages in order, and log probabilities of shape (buckets, languages)."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
@@ -80,7 +69,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bucke
             langs, texts = np.array(b.column("lang").to_pylist(), object), b.column("text").to_pylist()
             for lang in set(langs):
                 own = [texts[i] for i in np.flatnonzero(langs == lang)]
-                for s in chunks(own):
+                for s in chunks(own, CHUNK_CHARS):
                     got = np.bincount(grams(own[s], buckets)[0], minlength=buckets)
                     sums[lang] = sums[lang] + got if lang in sums else got
         for lang, n in sums.items():
@@ -88,16 +77,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bucke
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
 
     counts = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by_lang = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("all"))  # at most `buckets` entries each
-    got = by_lang.limit(most_languages + 1).collect()
-    if len(got) > most_languages:
+    counts = stage(counts, "lang-counts")
+    names = sorted(r[0] for r in counts.select("lang").distinct().limit(most_languages + 1).collect())
+    if len(names) > most_languages:
         raise ValueError(f"more than {most_languages} languages in {lang_col}")
-    got.sort(key=lambda r: r["lang"])
-    table = np.zeros((buckets, len(got)))
-    for i, r in enumerate(got):
-        table[[x["bucket"] for x in r["all"]], i] = [x["n"] for x in r["all"]]
-    table += SMOOTHING
-    return [r["lang"] for r in got], np.log(table / table.sum(0)).astype(np.float32)
+    got = counts.toArrow()  # buckets * languages cells at most
+    table = np.full((buckets, len(names)), SMOOTHING)
+    column = got.column("lang").to_numpy(zero_copy_only=False) if got.num_rows else np.empty(0, object)
+    place = np.searchsorted(np.array(names, dtype=object), column) if names else np.empty(0, np.int64)
+    table[got.column("bucket").to_numpy(), place] += got.column("n").to_numpy()
+    return names, np.log(table / table.sum(0)).astype(np.float32)
 
 
 def mixtures(words: np.ndarray, first: np.ndarray, doc: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,12 +142,14 @@ def infer(texts: list[str], table: np.ndarray, steps: int = STEPS) -> tuple[np.n
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with lang_pred, score (its proportion), n_langs and langs (the set)."""
+    """The kept columns with lang_pred, score (its proportion), share (that in the chosen set), n_langs
+    and langs (the set). Kept columns must have other names; language_stage() packs all into one."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     model = spark.sparkContext.broadcast(table)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double, n_langs int, langs array<string>"
+    new = StructType.fromDDL("lang_pred string, score double, share double, n_langs int, langs array<string>")
+    schema = StructType([*rows.schema.fields[:-1], *new.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
@@ -170,11 +161,12 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, text_col: str
                 pi, mix, size = infer(own, table)
                 top = np.where(size > 0, mix.argmax(1) if len(langs) else 0, len(langs))
                 score = np.where(size > 0, pi[np.arange(len(own)), np.minimum(top, len(langs) - 1)] if len(langs) else 0.0, 0.0)
+                share = np.where(size > 0, mix.max(1) if len(langs) else 0.0, 0.0)
                 sets = [[langs[j] for j in np.argsort(-m, kind="stable")[:k]] for m, k in zip(mix, size, strict=True)]
                 part = b.slice(s.start, s.stop - s.start)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(names[top].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(size.astype(np.int32)), pa.array(sets, pa.list_(pa.string()))],
-                    names=[*keep, "lang_pred", "score", "n_langs", "langs"])
+                    [*(part.column(c) for c in keep), pa.array(names[top].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(share), pa.array(size.astype(np.int32)), pa.array(sets, pa.list_(pa.string()))],
+                    names=[*keep, *new.names])
 
     return rows.mapInArrow(run, schema)
 
@@ -189,12 +181,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     return predict(docs, langs, table, keep=["doc_id", "held_out"])
 
 
-#: The stage rejects documents without a language and those of which no language has this share.
-LEAST_SHARE = 0.34
+#: The stage rejects documents without a language and those in whose chosen set no language has this
+#: share: sets of five languages and more, with no main one.
+LEAST_SHARE = 0.21
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a main language; the columns of docs."""
-    names = docs.columns
+    """Documents that have a main language; the columns of docs, under any name.
+
+    Defined results: documents with null text or without a letter go, and those of more languages
+    than LEAST_SHARE allows; short and mixed ones stay; rows that repeat are judged alike; if there is nothing to learn from, all
+    go, as no language is known; an empty table gives none."""
     langs, table = train(docs.where(~held_out("doc_id")))
-    return predict(docs, langs, table).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*names)
+    judged = predict(packed(docs, text=F.col("text")), langs, table, keep=["row"])
+    return unpacked(judged.where((F.col("lang_pred") != "und") & (F.col("share") >= LEAST_SHARE)), docs.columns)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, n_words, stage
+from .common import forget, n_words, packed, stage, unpacked
 
 #: A multiplier that takes each document cap times, or not at all.
 SATURATED = 1e6
@@ -173,11 +173,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the columns of docs."""
-    names = docs.columns
+    """Documents as often as the mix takes them; the columns of docs, under any name.
+
+    Defined results: documents of size 0 stay once, as they take no words; a null source is a source
+    of its own; an empty table gives none."""
     sizes = stage(docs.select(F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     dials = solve(sizes)
-    row = F.struct(*[F.col(n) for n in names]).alias("_row")
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("source"), n_words(F.col("text")).alias("size"), row)
-    out = apply(rows, dials).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col("_row")[n].alias(n) for n in names])
+    out = apply(packed(docs, id=F.col("doc_id"), source=F.col("source"), size=n_words(F.col("text"))), dials)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int")
+    return unpacked(out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))), docs.columns)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import documents
 from .segments import SegmentEncoder, by_text, chunks, distinct, encoded
@@ -255,11 +256,13 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None, digests: bool = False) -> DataFrame:
-    """The kept columns with ids, byte spans and decoded text, or with digests of these."""
-    keep = docs.columns if keep is None else keep
+    """The kept columns with ids, byte spans and decoded text, or with digests of these. Columns with a
+    name of the result are not kept."""
+    taken = {x.split()[0] for x in (DIGESTS if digests else REAL).split(", ")} | {"_text"}
+    keep = [c for c in docs.columns if c not in taken] if keep is None else keep
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", " + (DIGESTS if digests else REAL)
-    names = [x.split()[0] for x in (DIGESTS if digests else REAL).split(", ")]
+    new = StructType.fromDDL(DIGESTS if digests else REAL)
+    schema, names = StructType([*rows.schema.fields[:-1], *new.fields]), new.names
     types = [pa.int64(), pa.string(), pa.string(), pa.int64()] if digests else [pa.list_(pa.int32())] * 3 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +295,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digests of each document that arrives."""
+    """The digests of each document that arrives.
+
+    Defined results: null text is empty; rows that repeat, and null ids, give a row each; other
+    columns are not looked at; an empty table gives none."""
     import public_tokenizers
 
     return encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digests=True)

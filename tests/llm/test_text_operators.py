@@ -252,6 +252,29 @@ def test_style_tree_decides_inside_and_outside_articles(spark):
     assert all(r["text"] == "Title {0}\n\nBody {0}\n\nTwice on few pages {1}\n\nStory {0}".format(r["page_id"], r["page_id"] // 2) for r in rows)
 
 
+# ---------------------------------------------------------------- segments
+
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+ALIKE = [THUE, THUE.translate(str.maketrans("ab", "ba"))]  # equal under polynomial hashes modulo 2^64
+
+
+def test_words_alike_stay_apart(spark, tmp_path):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    df = spark.createDataFrame(list(enumerate(ALIKE)), "doc_id long, text string").coalesce(1)
+    bytes_path, pieces_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    library, model = Tokenizer.from_file(bytes_path), sentencepiece.SentencePieceProcessor(model_file=pieces_path)
+    manifest = sstable.write_shards(df, f"file://{tmp_path}/s", bytes_path)
+    for i, t in enumerate(ALIKE):
+        assert sstable.lookup(f"file://{tmp_path}/s", manifest, i) == [[*library.encode(t, add_special_tokens=False).ids, 2]]
+    got = {r["doc_id"]: list(r["ids"]) for r in pieces.encode(df, pieces_path, keep=["doc_id"]).collect()}
+    assert got == {i: [*model.encode(t), 2] for i, t in enumerate(ALIKE)}
+    assert {r["component_id"] for r in nearset.near_duplicates(df, 4).collect()} == {0, 1}
+    scores = attention.lm_scores(df.withColumn("held_out", F.lit(False)), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert {r["n_known"] for r in scores} == {2} and {round(r["base_score"], 9) for r in scores} == {round(math.log10(2 / 8) + math.log10(3 / 8), 9)}
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -279,6 +302,37 @@ def test_quality_keeps_clean_documents(spark, docs, odd, empty):
     assert len(quality.judge(odd).collect()) == len(ODD) and quality.judge(empty).collect() == []
 
 
+def test_fences_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["id"]: r for r in quality.judge(docs).collect()}
+    metrics = {m: {} for m in (*quality.UPPER, *quality.SIZES)}
+    group = {}
+    for r in docs.collect():
+        n, chars, symbols, lines, dup, repeat = _counts(r["text"])
+        if n:
+            group[r["doc_id"]] = (r["lang"], r["source"])
+            for m, v in zip(metrics, (symbols / n, dup / max(lines, 1), repeat / n, chars / n, n, lines), strict=True):
+                metrics[m][r["doc_id"]] = v
+
+    def drawn(m, q, own):
+        def at(ids):
+            v = sorted(metrics[m][i] for i in ids)
+            return v[max(0, math.ceil(len(v) * q) - 1)]
+
+        levels = [[i for i in group if group[i] == own], [i for i in group if group[i][0] == own[0]], list(group)]
+        a, b = (len(x) / (len(x) + quality.PRIOR_DOCS) for x in levels[:2])
+        return a * at(levels[0]) + (1 - a) * (b * at(levels[1]) + (1 - b) * at(levels[2]))
+
+    fences = {g: {m: drawn(m, 0.75, g) + k * max(drawn(m, 0.75, g) - drawn(m, 0.25, g), items / max(1, drawn(size, 0.5, g))) for m, (k, items, size) in quality.UPPER.items()} for g in set(group.values())}
+    adaptive = 0
+    for d, g in group.items():
+        near = any(abs(metrics[m][d] - f) <= 0.04 * f for m, f in fences[g].items())  # within the error of the sketch
+        over = any(metrics[m][d] > f for m, f in fences[g].items())
+        adaptive += over and not rows[d]["base_failed"]
+        assert near or rows[d]["kept"] == (not rows[d]["base_failed"] and not over)
+    assert adaptive > 20  # without fences these would stay
+
+
 def test_sketches_merge(spark):
     rows = [(None, str(i % 7), 1 + i % 90, 100 + i, i % 40, 5, 0, 0) for i in range(2000)]
     counts = spark.createDataFrame(rows, "by0 string, by1 string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
@@ -431,13 +485,23 @@ def test_base_scores_against_brute_force(docs):
 
 def _small_model():
     rng = np.random.default_rng(0)
-    sample = rng.integers(0, 300, (200, attention.SAMPLE_IDS)) * 7
-    class_of, input_of = attention.classes_of(sample)
-    flat = [np.zeros(n) for n in attention.Counts.SIZES]
-    np.add.at(flat[0], sample.ravel(), 1)
-    np.add.at(flat[1], input_of[sample[:, :-1]] * attention.CLASSES + class_of[sample[:, 1:]], 1)
-    np.add.at(flat[2], class_of[sample[:, :-1]] * attention.VOCABULARY + sample[:, 1:], 1)
-    return attention.fit(sample, class_of, input_of, attention.Counts.of(np.concatenate(flat)), steps=5), rng.integers(0, 300, 100) * 7
+    sample = rng.integers(0, 300, (200, 64)) * 7
+    n = np.bincount(sample.ravel(), minlength=attention.VOCABULARY)
+    table = np.zeros((attention.VOCABULARY, 2 * (attention.NEAR_IDS + 1)))
+    np.add.at(table, (sample[:, 1:], sample[:, :-1] % attention.NEAR_IDS), 1)
+    class_of, input_of = attention.classes_of(n, table)
+    ids, sizes = sample.ravel(), np.full(200, 64)
+    counts = attention.Counts.of(np.bincount(attention.Counts.cells(ids, sizes, class_of, input_of), minlength=sum(attention.Counts.SIZES)).astype(float))
+    state = attention.Fitting(attention.first_weights(), attention.bias_of(counts))
+    for _ in range(5):
+        state.step(*attention.windows_of(ids, sizes, rng.random(200), class_of, input_of))
+    return attention.model_of(state.p, class_of, input_of, counts), rng.integers(0, 300, 100) * 7
+
+
+def _class_shares(model, x, place):
+    w = np.exp(model.key[x] @ model.query[x[-1]] + place)
+    seen = (w[:, None] * model.value[x]).sum(0)
+    return attention.soft(seen[:-1] / seen[-1] @ model.out + model.bias[x[-1]])
 
 
 def test_windows_equal_one_by_one_scoring():
@@ -448,19 +512,45 @@ def test_windows_equal_one_by_one_scoring():
         lo = max(0, t - t % attention.STRIDE - (attention.WINDOW - attention.STRIDE))
         x = np.array([attention.START_ROW if j == 0 else model.input_of[ids[j - 1]] for j in range(lo, t + 1)])
         j = t % attention.STRIDE + attention.WINDOW - attention.STRIDE
-        w = np.exp(model.key[x] @ model.query[x[-1]] + model.place[j, j - len(x) + 1 : j + 1])
-        seen = (w[:, None] * model.value[x]).sum(0)
-        gate = attention.soft(seen[:-1] / seen[-1] @ model.out + model.own[x[-1]])
+        shares = _class_shares(model, x, model.place[j, j - len(x) + 1 : j + 1])
         before = np.array([model.class_of[ids[t - 1]] if t else attention.CLASSES - 1])
-        want += math.log10(float(gate @ model.experts(ids[t : t + 1], x[-1:], before)[0]))
+        want += math.log10(float(shares[model.class_of[ids[t]]] * model.within(ids[t : t + 1], before)[0]))
     assert math.isclose(got[0], want, rel_tol=1e-4)
 
 
 def test_probabilities_sum_to_one():
     model, ids = _small_model()
     every = np.arange(attention.VOCABULARY)
-    p = model.experts(every, np.full(len(every), model.input_of[ids[0]]), np.full(len(every), model.class_of[ids[0]]))
-    assert np.allclose(p.sum(0, dtype=np.float64), 1, atol=1e-3)
+    within = model.within(every, np.full(len(every), model.class_of[ids[0]]))
+    x = model.input_of[ids[:4]]
+    assert math.isclose(float((_class_shares(model, x, model.place[-1, -4:])[model.class_of] * within).sum()), 1, rel_tol=1e-3)
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    p = {k: x + rng.normal(0, 0.1, x.shape) for k, x in attention.first_weights().items()}
+    x, y = rng.integers(0, attention.ROWS, (2, attention.WINDOW)), rng.integers(0, attention.CLASSES, (2, attention.STRIDE))
+    bias, real = rng.normal(0, 1, (attention.ROWS, attention.CLASSES)), rng.random((2, attention.STRIDE)) < 0.8
+    g, _ = attention.gradients(p, x, y, real, bias)
+    for name, at in (("e", (x[0, 20], 3)), ("q", (1, 2)), ("k", (4, 5)), ("v", (6, 7)), ("u", (8, 9)), ("salience", (x[1, 5],)), ("near", (3,))):
+        losses = []
+        for d in (1e-4, -1e-4):
+            moved = {k: w.copy() for k, w in p.items()}
+            moved[name][at] += d
+            losses.append(attention.gradients(moved, x, y, real, bias)[1])
+        assert math.isclose((losses[0] - losses[1]) / 2e-4, g[name][at], rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_attention_beats_counts_alone(spark):
+    """The fitted attention gives held-out documents more than the counts in its bias do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fitted = {r["id"]: r for r in _lm(docs).collect() if r["held_out"]}
+    rounds, attention.ROUNDS = attention.ROUNDS, 0
+    try:
+        plain = {r["id"]: r["score"] for r in _lm(docs).collect() if r["held_out"]}
+    finally:
+        attention.ROUNDS = rounds
+    assert sum(r["score"] for r in fitted.values()) > sum(plain.values())
 
 
 def test_lm_odd_rows(odd, empty):
