@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 START, END, LOSS_ROLE = b"<|im_start|>", b"<|im_end|>\n", "assistant"
 
 
@@ -126,6 +128,7 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), escaped_role(F.col(role_col)).alias("role"), escaped(F.col(text_col)).alias("text"), (F.coalesce(F.col(role_col), F.lit("")) == loss_role).alias("loss"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole(batches):
             yield assemble(table)
@@ -143,6 +146,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the formatted conversations hold: turns and loss texts, as digests."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lean, stage
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -153,6 +153,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     node, a content once for each page; and a row with null path for the pages themselves."""
     rows = pages.select(host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
@@ -202,6 +203,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host(F.col(url_col)).alias("host"))
     rows = rows.join(rules, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "nodes")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [page_text(h, frozenset(n or ())) for h, n in zip(b.column("html").to_pylist(), b.column("nodes").to_pylist(), strict=True)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents, packed, stage, unpacked
+from .common import documents, lean, packed, small_batches, stage, unpacked
 from .segments import chunks
 
 BUCKETS, MOST_LANGUAGES, CHUNK_CHARS = 1 << 16, 256, 1 << 19
@@ -61,8 +61,9 @@ def grams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndar
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets: int = BUCKETS, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages in order, and log probabilities of shape (buckets, languages)."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    rows = small_batches(docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -141,21 +142,22 @@ def infer(texts: list[str], table: np.ndarray, steps: int = STEPS) -> tuple[np.n
     return out, chosen, sizes
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], table: np.ndarray, text_col: str = "text", keep: list[str] | None = None, within: str | None = None) -> DataFrame:
     """The kept columns with lang_pred, score (its proportion), share (that in the chosen set), n_langs
-    and langs (the set). Kept columns must have other names; language_stage() packs all into one."""
+    and langs (the set). Kept columns must have other names. The text is a column, or, with `within`, a field of that kept struct column."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+    rows = small_batches(docs.select(*keep, *([] if within else [F.col(text_col).alias("_text")])))
     model = spark.sparkContext.broadcast(table)
     new = StructType.fromDDL("lang_pred string, score double, share double, n_langs int, langs array<string>")
-    schema = StructType([*rows.schema.fields[:-1], *new.fields])
+    schema = StructType([*(f for f in rows.schema.fields if f.name in keep), *new.fields])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         names = np.array([*langs, "und"], object)
         for b in batches:
-            texts = b.column("_text").to_pylist()
+            texts = (b.column(within).field(text_col) if within else b.column("_text")).to_pylist()
             for s in chunks(texts, max(1 << 16, CHUNK_CHARS * 4 // max(4, len(langs)))):
                 own = [t or "" for t in texts[s]]
                 pi, mix, size = infer(own, table)
@@ -193,5 +195,5 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     than LEAST_SHARE allows; short and mixed ones stay; rows that repeat are judged alike; if there is nothing to learn from, all
     go, as no language is known; an empty table gives none."""
     langs, table = train(docs.where(~held_out("doc_id")))
-    judged = predict(packed(docs, text=F.col("text")), langs, table, keep=["row"])
+    judged = predict(packed(docs), langs, table, keep=["row"], within="row")
     return unpacked(judged.where((F.col("lang_pred") != "und") & (F.col("share") >= LEAST_SHARE)), docs.columns)

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, forget, packed, stage, unpacked
+from .common import documents, forget, lean, packed, small_batches, stage, unpacked
 from .segments import blanks, chunks, distinct, mix
 
 #: Minwise tokens of a set; trees; classes compared exhaustively; classes of a node held in a task.
@@ -125,8 +125,10 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 def prepare(docs: DataFrame, width: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     """id, n_shingles, digest, tokens and sketch of each row, and the columns to carry."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
+    small_batches(rows)
     more = "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in carry)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -173,6 +175,7 @@ def first_level(classes: DataFrame, roots: int | None = None) -> DataFrame:
     picked = root_places()[:roots]
     label = F.col("label" if "label" in classes.columns else "nid").alias("label")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -256,6 +259,7 @@ def compare(nids: np.ndarray, sketches: np.ndarray, path: int, depth: int, found
 
 def finish(rows: DataFrame, depth: int) -> DataFrame:
     """Pairs a < b of best partners in nodes that fit a task. rows: path, nid, sketch."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
         for path, nids, sketches in _groups(batches, "path", ["nid"], {"sketch": np.uint8}):
@@ -277,6 +281,7 @@ def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
 def branch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One level below nodes that no task should hold: candidates with the pivots, and child rows.
     rows: path, nid, sketch, pivot, pivot_sketch."""
+    @lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sk, pv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, WIDTH) for c in ("sketch", "pivot_sketch"))
@@ -287,6 +292,7 @@ def branch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = met.join(few(stage(tight, "near-tight")), "path")
     pairs = met.where(F.col("tight") & (F.col("equal") >= NEAR) & (F.col("nid") != F.col("pivot"))).select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b"))
 
+    @lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             path, nid, pivot, equal = (b.column(c).to_numpy() for c in ("path", "nid", "pivot", "equal"))
@@ -346,6 +352,7 @@ def node_rows(paths: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFra
     lists = paths.join(sizes.select("path", "n"), "path").groupBy("nid", "label").agg(F.collect_list(F.struct("path", "root", "n")).alias("at"))  # an entry for each root at most
     rows = lists.join(classes.select("nid", "tokens", "sketch"), "nid").select("nid", "label", "tokens", "sketch", "at")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -433,11 +440,12 @@ def groups_in_tasks(rows: DataFrame, depth: int) -> DataFrame:
             for group, marked in unsettled(numbers, sketches, met, path, depth):
                 yield group, numbers[marked]
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(lambda batches: _flagged(found(batches)), GROUPS)
+    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(lean(lambda batches: _flagged(found(batches))), GROUPS)
 
 
 def split_all(rows: DataFrame) -> DataFrame:
     """The child rows of nodes, none dropped, with the path of the parent."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column("sketch").to_pylist()
@@ -472,7 +480,7 @@ def groups_in_cells(rows: DataFrame, sizes: DataFrame) -> DataFrame:
             if marked.any():
                 yield path, np.unique(numbers[marked][:, :2], axis=0)
 
-    return cells.repartition("path").sortWithinPartitions("path").mapInArrow(lambda batches: _flagged(found(batches)), GROUPS)
+    return cells.repartition("path").sortWithinPartitions("path").mapInArrow(lean(lambda batches: _flagged(found(batches))), GROUPS)
 
 
 def groups_of_candidates(paths: DataFrame, classes: DataFrame) -> DataFrame:
@@ -515,6 +523,7 @@ def full_sets(nids: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.join(few(wanted), "id")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, nids, digests = (b.column(c).to_pylist() for c in ("text", "nid", "digest"))
@@ -571,6 +580,7 @@ def settle(groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     cells = cells.select(F.xxhash64("group", F.least("x", "y"), F.greatest("x", "y")).alias("group"), "nid", "label")
     rows = groups.join(few_parts, "group", "left_anti").unionByName(cells).join(sets, "nid").select("group", "nid", "label", "set")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple[int, int]] = []
 
@@ -598,6 +608,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     sets = full_sets(pairs.select(F.col("a").alias("nid")).union(pairs.select("b")), classes, docs, width, id_col, text_col)
     both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("sb")), "b")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -616,8 +627,7 @@ def linked(classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col
     pairs = first_pairs(stage(first_level(classes, FIRST_ROOTS), "near-paths"), classes)
     links = confirm(pairs, classes, docs, width, percent, id_col, text_col)
     known = stage(components(links), "near-roots").withColumnRenamed("root", "label")
-    classes = classes.join(few(known), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    paths = stage(first_level(classes), "near-paths")
+    paths = stage(first_level(classes.join(few(known), "nid", "left").withColumn("label", F.coalesce("label", "nid"))), "near-paths")
     return links.unionByName(settle(groups_of_candidates(paths, classes), classes, docs, width, percent, id_col, text_col))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents
+from .common import documents, lean, small_batches
 from .segments import SegmentEncoder, by_text, chunks, distinct, encoded
 
 META = "▁"
@@ -204,7 +204,7 @@ class Pieces:
         self.end_id = self.library.eos_id()
         inner = re.compile(f"[^{META}]{META}")
         self.local = self.has_bytes and not any(k == NORMAL and inner.search(n.decode()) for n, k in zip(names, kinds, strict=True))
-        self.known = SegmentEncoder(lambda segments: encoded(self.bare.encode([x.decode() for x in segments], num_threads=1)), 1_000_000, 8_000_000)
+        self.known = SegmentEncoder(lambda segments: encoded(self.bare.encode([x.decode() for x in segments], num_threads=1)), 300_000, 3_000_000)
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of normalised texts one after the other, and the number of ids of each text."""
@@ -260,16 +260,17 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
     name of the result are not kept."""
     taken = {x.split()[0] for x in (DIGESTS if digests else REAL).split(", ")} | {"_text"}
     keep = [c for c in docs.columns if c not in taken] if keep is None else keep
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = small_batches(docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text")))
     new = StructType.fromDDL(DIGESTS if digests else REAL)
     schema, names = StructType([*rows.schema.fields[:-1], *new.fields]), new.names
     types = [pa.int64(), pa.string(), pa.string(), pa.int64()] if digests else [pa.list_(pa.int32())] * 3 + [pa.string()]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
         for b in batches:
             texts = b.column("_text").to_pylist()
-            for s in chunks(texts, 1 << 21):
+            for s in chunks(texts):
                 found = m.encode(texts[s])
                 lists = [ids.tolist() for ids, _, _ in found]
                 decoded = m.decode(lists)

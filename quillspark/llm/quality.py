@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, lean, stage
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -90,6 +90,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by=
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text") + ", " + COUNTS
     names = [x.split()[0] for x in COUNTS.split(", ")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([text_counts(t.as_py()) for t in b.column("text")], np.int64).reshape(-1, len(names))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, shared_dir
+from .common import documents, lean, shared_dir
 from .segments import Encoded, SegmentEncoder, blanks, by_text, chunks, distinct, encoded
 
 MAGIC, FOOTER, BLOCK = b"QSST1\n", "<QQQQQQIII6s", 1 << 16
@@ -265,6 +265,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     width = 2 if vocabulary <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(out_dir)
@@ -297,6 +298,7 @@ def read_shards(spark: SparkSession, out_dir: str, manifest: list[tuple[int, int
         starts[n] = (shard, total)
         total += ids
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out_dir)
         for b in batches:
