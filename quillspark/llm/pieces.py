@@ -270,7 +270,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[
         m = model(model_path)
         for b in batches:
             texts = b.column("_text").to_pylist()
-            for s in chunks(texts):
+            for s in chunks(texts, 1 << 19):
                 found = m.encode(texts[s])
                 lists = [ids.tolist() for ids, _, _ in found]
                 decoded = m.decode(lists)
