@@ -18,15 +18,25 @@ def overlap(tokens: Column, focus: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets; 0 if either is empty."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    """Of two arrays without repeats; 0 if either is empty."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), common / (F.size(a) + F.size(b) - common)).otherwise(0.0)
+
+
+def lexical_sets(text: Column) -> Column:
+    """The distinct tokens and character 4-grams of a lower-cased text."""
+    return F.struct(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9']{2,}"), F.lit(0))).alias("tokens"), char_grams(text).alias("grams"))
+
+
+def sets_similarity(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """lexical_similarity of texts a and b whose lexical_sets are x and y."""
+    mixed = F.when((F.size(x["tokens"]) > 0) & (F.size(y["tokens"]) > 0), clamp(jaccard(x["tokens"], y["tokens"]) * 0.55 + jaccard(x["grams"], y["grams"]) * 0.45)).otherwise(0.0)
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(mixed)
 
 
 def lexical_similarity(a: Column, b: Column) -> Column:
     """Of two lower-cased texts: .55 token Jaccard + .45 character 4-gram Jaccard; 1 if equal."""
-    tokens = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("[a-z0-9']{2,}"), F.lit(0)))
-    mixed = F.when((F.size(tokens(a)) > 0) & (F.size(tokens(b)) > 0), clamp(jaccard(tokens(a), tokens(b)) * 0.55 + jaccard(char_grams(a), char_grams(b)) * 0.45)).otherwise(0.0)
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(mixed)
+    return sets_similarity(a, b, lexical_sets(a), lexical_sets(b))
 
 
 def soft_member(term: Column, tokens: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import ALIASES, PROFILES, RELATIONS
-from ..functions.sets import clamp, lexical_similarity
+from ..functions.sets import clamp, lexical_sets, sets_similarity
 from ..functions.text import TOKEN
 
 HOPS = 10
@@ -96,7 +96,9 @@ def alignment(text: Column, name: str) -> Column:
 def semantic_filter(rows: DataFrame, threshold: float = 0.12, keep_min: int = 1) -> DataFrame:
     """rows(query_id, pos, query, content) whose similarity to their query reaches the threshold; at
     least keep_min of each query, the most similar."""
-    rows = rows.withColumn("similarity", F.round(lexical_similarity(F.col("query"), F.col("content")), 6))
+    asked = rows.select("query").distinct().withColumn("asked", lexical_sets(F.col("query")))
+    rows = rows.withColumn("told", lexical_sets(F.col("content"))).join(asked, "query")
+    rows = rows.select("query_id", "pos", F.round(sets_similarity(F.col("query"), F.col("content"), F.col("asked"), F.col("told")), 6).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pos")
     passed = F.sum(F.when(F.col("similarity") >= threshold, 1).otherwise(0)).over(Window.partitionBy("query_id"))
     rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_passed", passed)

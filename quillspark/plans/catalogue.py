@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import sets, text, web
+from ..functions import rules, sets, text, web
 from ..operators import concepts, feedback, frontier, merge, selection
 from . import oracles as O  # noqa: N812, E741
 
@@ -47,9 +47,9 @@ def normalize_space_stats(spark, sf_dir):
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, len(list_distinct({O.content('t')})) AS n_signature FROM (SELECT doc_id, {O.tok('text')} AS t FROM documents)")
 def token_counts(spark, sf_dir):
-    t = text.tokenize(F.col("text"))
     n = lambda c: F.size(c).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", n(t).alias("n_tokens"), n(F.array_distinct(t)).alias("n_distinct"), n(text.signature(F.col("text"))).alias("n_signature"))
+    tokens = table(spark, sf_dir, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    return tokens.select("doc_id", n("t").alias("n_tokens"), n(F.array_distinct("t")).alias("n_distinct"), n(F.array_except("t", F.array(*[F.lit(w) for w in text.STOP_WORDS]))).alias("n_signature"))
 
 
 @query(f"SELECT doc_id, round({O.ratio('t')}, 6) AS unique_ratio FROM (SELECT doc_id, {O.tok('text')} AS t FROM documents)")
@@ -185,15 +185,21 @@ def _ranked_sources(spark, sf_dir) -> DataFrame:
     return ranked.join(extra, "doc_id").withColumn("informative", F.lit(0.5)).withColumn("authority", F.lit(0.5))
 
 
+def _frontier_pairs(ranked: DataFrame) -> DataFrame:
+    """query_id, x, y (rank, words) of every two rows of a frontier, which has FRONTIER rows at most:
+    made inside the query's one row, so the frontier is computed once and meets no other query."""
+    rows = F.sort_array(F.collect_list(F.struct("rank", "words")))
+    lists = ranked.groupBy("query_id").agg(rows.alias("rows"))
+    first = lists.select("query_id", "rows", F.explode("rows").alias("x"))
+    return first.select("query_id", "x", F.explode(F.filter("rows", lambda y: y["rank"] > F.col("x.rank"))).alias("y"))
+
+
 @query(f"""WITH {O.RANKED}, sig AS (SELECT doc_id, list_distinct({O.content(O.tok('text'))}) AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM ranked)),
 p AS (SELECT a.query_id, CASE WHEN len(x.w) > 0 AND len(y.w) > 0 THEN len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE ELSE 0.0::DOUBLE END AS j
  FROM ranked a JOIN ranked b ON a.query_id = b.query_id AND a.rank < b.rank JOIN sig x ON x.doc_id = a.doc_id JOIN sig y ON y.doc_id = b.doc_id)
 SELECT query_id, round(avg(j), 6) AS redundancy FROM p GROUP BY 1""")
 def pairwise_redundancy(spark, sf_dir):
-    rows = _ranked_sources(spark, sf_dir).select("query_id", "rank", "words")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")))
-    return pairs.groupBy(F.col("a.query_id").alias("query_id")).agg(F.round(F.avg(sets.jaccard(F.col("a.words"), F.col("b.words"))), 6).alias("redundancy"))
+    return _frontier_pairs(_ranked_sources(spark, sf_dir)).groupBy("query_id").agg(F.round(F.avg(sets.jaccard(F.col("x.words"), F.col("y.words"))), 6).alias("redundancy"))
 
 
 @query()
@@ -224,9 +230,9 @@ SELECT x.item_id AS a, y.item_id AS b, round(CASE WHEN x.t = '' OR y.t = '' THEN
  0.55::DOUBLE * len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) + 0.45::DOUBLE * CASE WHEN len(x.c) = 0 OR len(y.c) = 0 THEN 0 ELSE len(list_intersect(x.c, y.c)) / (len(x.c) + len(y.c) - len(list_intersect(x.c, y.c)))::DOUBLE END END, 6) AS similarity
 FROM g x JOIN g y ON y.item_id = x.item_id + 1""")
 def char_ngram_similarity(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("t"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("t")).withColumn("s", sets.lexical_sets(F.col("t")))
     x, y = b.alias("x"), b.alias("y")
-    return x.join(y, F.col("y.item_id") == F.col("x.item_id") + 1).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.round(sets.lexical_similarity(F.col("x.t"), F.col("y.t")), 6).alias("similarity"))
+    return x.join(y, F.col("y.item_id") == F.col("x.item_id") + 1).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.round(sets.sets_similarity(F.col("x.t"), F.col("y.t"), F.col("x.s"), F.col("y.s")), 6).alias("similarity"))
 
 
 # ---------------------------------------------------------------- merging
@@ -245,10 +251,15 @@ def dedupe_first_wins(spark, sf_dir):
     return merge.first_wins(rows, ["title"], ["doc_id"])
 
 
-@query("""SELECT key, arg_max(content, (length(content), -doc_id)) AS content, count(*) AS n_merged, array_to_string(list_sort(list(DISTINCT source)), ',') AS providers
-FROM (SELECT *, lower(substring(text, 1, 60)) AS key, text AS content FROM documents) GROUP BY key""")
+_KEY = f"lower({O.norm('title')}) || '::' || substring(lower({O.norm('content')}), 1, 180)"
+
+
+@query(f"""WITH {O.SOURCES} SELECT key, arg_max(content, (length(content), -doc_id)) AS content, count(*) AS n_merged, array_to_string(list_sort(list(DISTINCT provider)), ',') AS providers
+FROM (SELECT *, {_KEY} AS key FROM src) GROUP BY key""")
 def dedupe_merge_by_key(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.lower(F.substring("text", 1, 60)).alias("key"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("content"), F.col("source").alias("provider"), F.lit(0.5).alias("informative_score"), F.lit(0.5).alias("authority_score"))
+    rows = _sources(spark, sf_dir)
+    key = F.concat(F.lower(text.normalize_space(F.col("title"))), F.lit("::"), F.substring(F.lower(text.normalize_space(F.col("content"))), 1, 180))
+    rows = rows.select(F.col("doc_id").alias("pos"), key.alias("key"), "title", "content", "provider", F.lit(0.5).alias("informative_score"), F.lit(0.5).alias("authority_score"))
     return merge.merge_by_key(rows, "key").select("key", "content", "n_merged", F.array_join("providers", ",").alias("providers"))
 
 
@@ -368,3 +379,149 @@ def semantic_filter(spark, sf_dir):
     bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     rows = frontier.rank(bench, docs).join(bench.select(F.col("item_id").alias("query_id"), lower("text").alias("query")), "query_id").join(docs.select("doc_id", lower("text").alias("content")), "doc_id")
     return concepts.semantic_filter(rows.select("query_id", F.col("rank").alias("pos"), "query", "content"), keep_min=3)
+
+
+# ---------------------------------------------------------------- rules about texts, tags and scores
+
+
+_TITLE, _BODY = O.norm("title"), O.norm("content")
+_ALL = f"regexp_extract_all(lower({_TITLE} || ' ' || {_BODY}), '\\S+')"
+_SQUEEZED = f"regexp_replace({_TITLE}, '\\s+', '', 'g')"
+
+
+@query(f"""WITH {O.SOURCES} SELECT doc_id, {_TITLE} = '' AS empty, regexp_matches({_SQUEEZED}, '^[0-9]+$') AS digits, regexp_matches({_SQUEEZED}, '[0-9]{{10,}}') AS number,
+ length({_TITLE}) > 40 AND NOT contains({_TITLE}, ' ') AS unbroken, length({_SQUEEZED}) > 12 AND NOT regexp_matches({_SQUEEZED}, '(?i)[aeiou]') AS voiceless,
+ regexp_matches(lower({_TITLE}), {O.q(rules.POISON)}) OR regexp_matches(lower({_BODY}), {O.q(rules.POISON)}) AS poison,
+ len({_ALL}) > 30 AND len(list_distinct({_ALL})) / len({_ALL})::DOUBLE < 0.35 AS monotonous,
+ regexp_matches({_TITLE}, {O.q(rules.MNEMONIC)}) OR regexp_matches({_BODY}, {O.q(rules.MNEMONIC)}) AS mnemonic, regexp_matches({_TITLE}, {O.q(rules.HEX_ROW)}) AS hex FROM src""")
+def text_rejections(spark, sf_dir):
+    """The rules that SQL can express; meaningful_text_filter has all."""
+    found = rules.rejections(F.col("title"), F.col("content"))
+    return _sources(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in found.items() if k not in ("run", "chunks")])
+
+
+@query()
+def meaningful_text_filter(spark, sf_dir):
+    return _sources(spark, sf_dir).where(rules.meaningful(F.col("title"), F.col("content"))).select("doc_id", "title")
+
+
+_COMP = "trim(regexp_replace(replace(regexp_replace(replace(lower(coalesce(text, '')), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), chr(160), ' '), '\\s+', ' ', 'g'))"
+_COMP_TOKENS = f"list_distinct([w for w in string_split({_COMP}, ' ') if length(w) >= 3 and not list_contains([{', '.join(O.q(w) for w in rules.COMPARE_STOP)}], w)])"
+
+
+@query(f"SELECT doc_id, md5({_COMP}) AS comparable_md5, len({_COMP_TOKENS}) AS n_tokens, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''.-]{{1,}}')) AS n_raw FROM documents")
+def comparable_tokens(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(rules.comparable(t)).alias("comparable_md5"), F.size(rules.comparable_tokens(t)).cast("long").alias("n_tokens"), F.size(rules.raw_words(t)).cast("long").alias("n_raw"))
+
+
+@query(f"""WITH c AS (SELECT item_id, {_COMP} AS t, {_COMP_TOKENS} AS w FROM benchmark)
+SELECT x.item_id AS a, y.item_id AS b, round(CASE WHEN x.t = '' OR y.t = '' THEN 0.0::DOUBLE WHEN x.t = y.t THEN 1.0::DOUBLE
+ WHEN least(length(x.t), length(y.t)) >= 28 AND CASE WHEN length(x.t) <= length(y.t) THEN contains(y.t, x.t) ELSE contains(x.t, y.t) END THEN 0.96::DOUBLE
+ WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE END, 6) AS similarity
+FROM c x JOIN c y ON y.item_id = x.item_id + 1""")
+def comparable_similarity(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    x, y = b.alias("x"), b.alias("y")
+    return x.join(y, F.col("y.item_id") == F.col("x.item_id") + 1).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.round(rules.text_similarity(F.col("x.text"), F.col("y.text")), 6).alias("similarity"))
+
+
+def _concepts_sql(x: str) -> str:
+    no_start = f"regexp_replace(coalesce({x}, ''), '([.!?]\\s)[A-Z]', '\\1', 'g')"
+    return f"list_distinct(list_concat(regexp_extract_all({no_start}, '\\b[A-Z][a-z]{{2,}}\\b'), [w for w in {O.content(O.tok(x))} if length(w) > 8]))"
+
+
+@query(f"""WITH {O.RANKED}, k AS (SELECT query_id, doc_id, d.text AS c, {O.tok('d.text')} AS w, {_concepts_sql('d.text')} AS cc, {_concepts_sql('b.text')} AS qc FROM ranked JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
+f AS (SELECT query_id, list(word) AS fw FROM focus GROUP BY 1)
+SELECT query_id, doc_id, round(greatest(0.35::DOUBLE, least(0.98::DOUBLE, least(len(w) / 260::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE + len(list_intersect(w, fw)) / greatest(len(fw), 1)::DOUBLE * 0.25::DOUBLE
+ + CASE WHEN len(qc) > 0 THEN len(list_intersect(cc, qc)) / len(qc)::DOUBLE ELSE 0.0::DOUBLE END * 0.20::DOUBLE + least(len({O.sentences('c')}) / 6::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE)), 4) AS informative FROM k JOIN f USING (query_id)""")
+def informative_score(spark, sf_dir):
+    bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    rows = frontier.rank(bench, docs).select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    return rows.select("query_id", "doc_id", rules.informative(F.col("text"), F.col("query")).alias("informative"))
+
+
+_TAG = "substring(regexp_replace(trim(text), '\\s+', ' ', 'g'), 1, 48)"
+
+
+def _impact_sql(weight: str) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches(lower({_TAG}), {O.q(p)}) THEN {d[weight]} ELSE 0 END" for p, d in rules.TAG_RULES if weight in d)
+
+
+_TAGGED = sorted({w for _, d in rules.TAG_RULES for w in d})
+
+
+@query(f"SELECT conv_id, turn, {', '.join(f'coalesce(CAST({_impact_sql(w)} AS BIGINT), 0) AS {O.q(w)[1:-1]}' for w in _TAGGED)} FROM conversations")
+def custom_tag_impact(spark, sf_dir):
+    impact = rules.tag_impact(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.coalesce(impact[w].cast("long"), F.lit(0)).alias(w) for w in _TAGGED])
+
+
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
+
+
+@query(f"""SELECT page_id, CASE WHEN label <> '' THEN label ELSE bare END AS title, CASE WHEN regexp_matches(h, 'wikipedia\\.org') THEN 0.92 WHEN h LIKE '%.gov' THEN 0.88 WHEN h LIKE '%.edu' THEN 0.84 WHEN h LIKE '%.org' THEN 0.78 WHEN h LIKE '%.com' THEN 0.68 ELSE 0.63 END::DOUBLE AS authority
+FROM (SELECT *, translate(string_split(bare, '.')[1], '-_', '  ') AS label FROM (SELECT page_id, h, regexp_replace(h, '^www\\.', '') AS bare FROM (SELECT page_id, coalesce({_HOST}, '') AS h FROM pages)))""")
+def source_titles(spark, sf_dir):
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", rules.readable_title(host).alias("title"), rules.fallback_authority(host).alias("authority"))
+
+
+@query(f"""WITH {O.RANKED}, k AS (SELECT query_id, doc_id, d.text AS c, [t for t in string_split_regex(lower(b.text), '[^a-z0-9]+') if length(t) >= 3] AS q FROM ranked JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id)
+SELECT query_id, doc_id, round(greatest(0.48::DOUBLE, least(0.92::DOUBLE, CASE WHEN len(q) > 0 THEN len([t for t in q if contains(lower(c), t)]) / len(q)::DOUBLE ELSE 0.0::DOUBLE END * 0.55::DOUBLE + least(length(c) / 540::DOUBLE, 1.0::DOUBLE) * 0.45::DOUBLE)), 4) AS informative FROM k""")
+def fallback_informative(spark, sf_dir):
+    bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    rows = frontier.rank(bench, docs).select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
+    return rows.select("query_id", "doc_id", rules.fallback_informative(F.col("text"), F.col("query")).alias("informative"))
+
+
+@query(f"""SELECT query_id, array_to_string([x.w for x in list_sort(list({{'n': -length(w), 'w': w}}))[1:3]], ' ') AS anchors FROM
+(SELECT DISTINCT item_id AS query_id, unnest({O.content(O.tok('text'))}) AS w FROM benchmark) WHERE NOT list_contains([{', '.join(O.q(w) for w in rules.FILLER)}], w) GROUP BY 1""")
+def anchor_terms(spark, sf_dir):
+    rows = frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", rules.anchors(F.col("words")).alias("a"))
+    return rows.where(F.size("a") > 0).select("query_id", F.array_join("a", " ").alias("anchors"))
+
+
+@query("""SELECT conv_id, turn, target, CASE WHEN target = 'related' THEN 0.24 WHEN target = 'seed' THEN 0.12 ELSE 0.12 END::DOUBLE AS bonus FROM
+(SELECT conv_id, turn, CASE WHEN n <= 1 OR turn / greatest(n - 1, 1)::DOUBLE <= 0.25 THEN 'seed' WHEN turn / greatest(n - 1, 1)::DOUBLE <= 0.7 THEN 'related' ELSE 'tangential' END AS target
+ FROM conversations JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) USING (conv_id))""")
+def depth_targets(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    rows = turns.join(turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "conv_id")
+    target = rules.depth_target(F.col("turn"), F.col("n"))
+    return rows.select("conv_id", "turn", target.alias("target"), rules.layer_bonus(F.lit("related"), target).alias("bonus"))
+
+
+_PARTS = "[trim(s) for s in string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) if trim(s) <> '']"
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN len(s) > 0 THEN array_to_string(s[1:3], ' ') ELSE coalesce(text, '') END) AS lead_md5, md5(array_to_string(s[4:], ' ')) AS rest_md5 FROM (SELECT doc_id, text, {_PARTS} AS s FROM documents)")
+def chapter_split(spark, sf_dir):
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", parts.alias("s"))
+    lead = F.when(F.size("s") > 0, F.array_join(F.slice("s", 1, 3), " ")).otherwise(F.coalesce("text", F.lit("")))
+    return rows.select("doc_id", F.md5(lead).alias("lead_md5"), F.md5(F.array_join(F.slice("s", F.lit(4), F.greatest(F.size("s"), F.lit(1))), " ")).alias("rest_md5"))
+
+
+@query("""SELECT 'feedback-event-' || user_id || '-' || epoch_us(max(ts)) // 1000 AS event_id, user_id AS record_id, epoch_us(max(ts)) // 1000 AS captured_at, count(*) AS n_events FROM events GROUP BY user_id""")
+def feedback_events_from_records(spark, sf_dir):
+    at = F.unix_millis(F.max("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("record_id")).agg(at.alias("captured_at"), F.count(F.lit(1)).alias("n_events"))
+    return rows.select(F.concat_ws("-", F.lit("feedback-event"), "record_id", "captured_at").alias("event_id"), "record_id", "captured_at", "n_events")
+
+
+@query(f"""WITH {O.RANKED}, sig AS (SELECT doc_id, list_distinct({O.content(O.tok('text'))}) AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM ranked)),
+p AS (SELECT a.query_id, CASE WHEN len(x.w) > 0 AND len(y.w) > 0 THEN len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE ELSE 0.0::DOUBLE END AS j
+ FROM ranked a JOIN ranked b ON a.query_id = b.query_id AND a.rank < b.rank AND b.rank <= 10 JOIN sig x ON x.doc_id = a.doc_id JOIN sig y ON y.doc_id = b.doc_id)
+SELECT query_id, round(1 - avg(j), 6) AS distinctness FROM p GROUP BY 1""")
+def chapter_distinctness(spark, sf_dir):
+    pairs = _frontier_pairs(_ranked_sources(spark, sf_dir).where(F.col("rank") <= 10))
+    return pairs.groupBy("query_id").agg(F.round(1 - F.avg(sets.jaccard(F.col("x.words"), F.col("y.words"))), 6).alias("distinctness"))
+
+
+@query(f"""SELECT item_id, array_to_string(w[n + 1:] || w[1:n], ' ') AS rotated, w[item_id % len(w) + 1] AS picked FROM (SELECT item_id, w, CAST(item_id % len(w) AS BIGINT) AS n FROM
+(SELECT item_id, {O.content(O.tok('text'))} AS w FROM benchmark) WHERE len(w) > 0)""")
+def rotated_terms(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", text.without_stop_words(text.tokenize(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    n = F.pmod("item_id", F.size("w")).cast("int")
+    return rows.select("item_id", F.array_join(rules.rotated(F.col("w"), n), " ").alias("rotated"), F.element_at("w", n + 1).alias("picked"))

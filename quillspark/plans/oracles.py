@@ -52,10 +52,10 @@ def variants(w: str) -> str:
 TOPICS = f"""
 t_words AS (SELECT item_id AS query_id, unnest({content(tok('text'))}) AS w, generate_subscripts({content(tok('text'))}, 1) AS i FROM benchmark),
 t_first AS (SELECT query_id, w, min(i) AS i FROM t_words GROUP BY 1, 2),
-t_top AS (SELECT query_id, w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM t_first) WHERE n <= 8),
+t_top AS (SELECT query_id, w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS n FROM t_first)),
 focus AS (SELECT DISTINCT query_id, v AS word FROM (SELECT query_id, unnest({variants('w')}) AS v FROM t_top) WHERE v IS NOT NULL AND length(v) >= 2),
 n_focus AS (SELECT query_id, count(*) AS n_focus FROM focus GROUP BY 1)"""
-SOURCES = "src AS (SELECT doc_id, substring(trim(string_split(text, chr(10))[1]), 1, 80) AS title, text AS content, source AS provider FROM documents)"
+SOURCES = "src AS (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS title, text AS content, source AS provider FROM documents)"
 DEPTH = f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(len({tok('content')}) / 280::DOUBLE, 1.0::DOUBLE) * 0.58::DOUBLE + least(len({sentences('content')}) / 7::DOUBLE, 1.0::DOUBLE) * 0.22::DOUBLE)), 6)"
 RANKED = f"""{TOPICS}, {SOURCES},
 c_words AS (SELECT DISTINCT doc_id, unnest({tok('content')}) AS word FROM src),
@@ -69,10 +69,12 @@ rel AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, t * 0.46::DOUBLE + c
 scored AS (SELECT query_id, doc_id, r, round(greatest(r * 0.27::DOUBLE + t * 0.16::DOUBLE + c * 0.08::DOUBLE + 0.5::DOUBLE * 0.13::DOUBLE + 0.5::DOUBLE * 0.06::DOUBLE + depth * 0.12::DOUBLE, 0.0::DOUBLE), 6) AS score FROM rel),
 ranked AS (SELECT query_id, doc_id, round(r, 6) AS relevance, score, rank FROM
            (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {frontier.FRONTIER})"""
+#: A mean over whole millionths, rounded half up: no order of summation shows.
+_mean = lambda x: f"(2 * CAST(sum(CAST(round({x} * 1000000) AS BIGINT)) FILTER (rank <= 6) AS BIGINT) + count(*) FILTER (rank <= 6)) // (2 * count(*) FILTER (rank <= 6)) / 1000000::DOUBLE"
 QUALITY = f"""{RANKED},
 top AS (SELECT * FROM ranked WHERE rank <= {frontier.QUALITY_ROWS}),
 hits AS (SELECT query_id, count(DISTINCT word) AS covered FROM top JOIN c_words USING (doc_id) JOIN focus USING (query_id, word) GROUP BY 1),
-means AS (SELECT query_id, count(*) AS real_count, round(avg(score) FILTER (rank <= 6), 6) AS s, round(avg(relevance) FILTER (rank <= 6), 6) AS r FROM ranked GROUP BY 1),
+means AS (SELECT query_id, count(*) AS real_count, {_mean('score')} AS s, {_mean('relevance')} AS r FROM ranked GROUP BY 1),
 quality AS (SELECT b.item_id AS query_id, coalesce(real_count, 0) AS real_count, coalesce(s, 0.0::DOUBLE) AS avg_frontier_score, coalesce(r, 0.0::DOUBLE) AS avg_relevance,
    round(CASE WHEN n_focus IS NULL THEN CASE WHEN real_count > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE coalesce(covered, 0) / n_focus::DOUBLE END, 6) AS coverage_ratio
    FROM benchmark b LEFT JOIN n_focus n ON b.item_id = n.query_id LEFT JOIN means m ON b.item_id = m.query_id LEFT JOIN hits h ON b.item_id = h.query_id)"""
