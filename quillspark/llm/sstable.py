@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, lean, shared_dir
-from .segments import Encoded, SegmentEncoder, blanks, by_text, chunks, distinct, encoded
+from .segments import SegmentEncoder, blanks, by_lines, by_text, chunks, distinct
 
 MAGIC, FOOTER, BLOCK = b"QSST1\n", "<QQQQQQIII6s", 1 << 16
 BLOOM_BITS, BLOOM_PLACES = 10, 7
@@ -211,29 +211,7 @@ def encoder(path: str):
         fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         library = lambda texts: [e.ids for e in fast(texts, add_special_tokens=False)]
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        line_end = library(["\n"])[0]
-
-        def by_lines(segments: list[bytes]) -> Encoded:
-            """Many segments in one call, a line end after each: the tokenizer parts before and after it,
-            and no other segment has its id. Segments of white space go alone."""
-            size, start, flats, used = np.full(len(segments), -1), np.zeros(len(segments), np.int64), [], 0
-            texts = [x.decode() for x in segments]
-            joined = np.array([i for i, x in enumerate(segments) if not x.isspace()] if len(line_end) == 1 else [], np.int64)
-            groups = [joined[a : a + 4096] for a in range(0, len(joined), 4096)]
-            for group, ids in zip(groups, library(["\n".join([*[texts[i] for i in g.tolist()], ""]) for g in groups]), strict=True):
-                flat = np.array(ids, np.int32)
-                ends = np.flatnonzero(flat == line_end[0])
-                if len(ends) == len(group):
-                    start[group] = used + np.concatenate([[0], ends[:-1] + 1])
-                    size[group] = np.diff(np.concatenate([[-1], ends])) - 1
-                    flats.append(flat)
-                    used += len(flat)
-            alone = np.flatnonzero(size < 0)
-            size[alone], own, flat = encoded(library([texts[i] for i in alone.tolist()]))
-            start[alone] = used + own
-            return size, start, np.concatenate([*flats, flat])
-
-        known = SegmentEncoder(by_lines, 1_000_000, 8_000_000)
+        known = SegmentEncoder(by_lines(library), 1_000_000, 8_000_000)
 
         def by_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             parts = [t.encode() for t in texts]
