@@ -433,8 +433,8 @@ def _concepts_sql(x: str) -> str:
 
 @query(f"""WITH {O.RANKED}, k AS (SELECT query_id, doc_id, d.text AS c, {O.tok('d.text')} AS w, {_concepts_sql('d.text')} AS cc, {_concepts_sql('b.text')} AS qc FROM ranked JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
 f AS (SELECT query_id, list(word) AS fw FROM focus GROUP BY 1)
-SELECT query_id, doc_id, round(greatest(0.35::DOUBLE, least(0.98::DOUBLE, least(len(w) / 260::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE + len(list_intersect(w, fw)) / greatest(len(fw), 1)::DOUBLE * 0.25::DOUBLE
- + CASE WHEN len(qc) > 0 THEN len(list_intersect(cc, qc)) / len(qc)::DOUBLE ELSE 0.0::DOUBLE END * 0.20::DOUBLE + least(len({O.sentences('c')}) / 6::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE)), 4) AS informative FROM k JOIN f USING (query_id)""")
+SELECT query_id, doc_id, round(round(greatest(0.35::DOUBLE, least(0.98::DOUBLE, least(len(w) / 260::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE + len(list_intersect(w, fw)) / greatest(len(fw), 1)::DOUBLE * 0.25::DOUBLE
+ + CASE WHEN len(qc) > 0 THEN len(list_intersect(cc, qc)) / len(qc)::DOUBLE ELSE 0.0::DOUBLE END * 0.20::DOUBLE + least(len({O.sentences('c')}) / 6::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE)), 12), 4) AS informative FROM k JOIN f USING (query_id)""")
 def informative_score(spark, sf_dir):
     bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     rows = frontier.rank(bench, docs).select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
@@ -468,7 +468,7 @@ def source_titles(spark, sf_dir):
 
 
 @query(f"""WITH {O.RANKED}, k AS (SELECT query_id, doc_id, d.text AS c, [t for t in string_split_regex(lower(b.text), '[^a-z0-9]+') if length(t) >= 3] AS q FROM ranked JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id)
-SELECT query_id, doc_id, round(greatest(0.48::DOUBLE, least(0.92::DOUBLE, CASE WHEN len(q) > 0 THEN len([t for t in q if contains(lower(c), t)]) / len(q)::DOUBLE ELSE 0.0::DOUBLE END * 0.55::DOUBLE + least(length(c) / 540::DOUBLE, 1.0::DOUBLE) * 0.45::DOUBLE)), 4) AS informative FROM k""")
+SELECT query_id, doc_id, round(round(greatest(0.48::DOUBLE, least(0.92::DOUBLE, CASE WHEN len(q) > 0 THEN len([t for t in q if contains(lower(c), t)]) / len(q)::DOUBLE ELSE 0.0::DOUBLE END * 0.55::DOUBLE + least(length(c) / 540::DOUBLE, 1.0::DOUBLE) * 0.45::DOUBLE)), 12), 4) AS informative FROM k""")
 def fallback_informative(spark, sf_dir):
     bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     rows = frontier.rank(bench, docs).select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id")
