@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import settled
+
 # Fixed values that results depend on.
 COMPONENTS = {"relevance": 0.25, "informative": 0.20, "authority": 0.18, "coverage": 0.14, "concept_diversity": 0.13, "structure": 0.10}
 GAIN = {"relevance": 0.34, "informative": 0.28, "authority": 0.20, "novelty": 0.18, "overlap": 0.16}
@@ -20,12 +22,12 @@ STAGNATION, IMPROVEMENT = 4, 1e-4
 
 def fitness(members: DataFrame, focus: DataFrame) -> DataFrame:
     """Score of each set. members: set_id, query_id, place, relevance, informative, authority,
-    words, concepts; focus: query_id, focus. All reward weights are one."""
+    spam, words, concepts; focus: query_id, focus. All reward weights are one."""
     w = Window.partitionBy("set_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.flatten(F.collect_list("concepts").over(w))
     n = F.size("concepts")
     rows = members.withColumn("novelty", F.when(n > 0, 1 - F.size(F.array_intersect("concepts", seen)) / n).otherwise(0.55))
-    own = rows.groupBy("set_id", "query_id").agg(*[F.avg(c).alias(c) for c in ("relevance", "informative", "authority")], F.avg("novelty").alias("concept_diversity"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("all_words"))
+    own = rows.groupBy("set_id", "query_id").agg(*[F.avg(c).alias(c) for c in ("relevance", "informative", "authority", "spam")], F.avg("novelty").alias("concept_diversity"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("all_words"))
     a, b = members.alias("a"), members.alias("b")
     both = F.size(F.array_intersect("a.words", "b.words")) / F.greatest(F.size(F.array_union("a.words", "b.words")), F.lit(1))
     pairs = a.join(b, (F.col("a.set_id") == F.col("b.set_id")) & (F.col("a.place") < F.col("b.place"))).select(F.col("a.set_id").alias("set_id"), both.alias("j"))
@@ -33,8 +35,8 @@ def fitness(members: DataFrame, focus: DataFrame) -> DataFrame:
     own = own.withColumn("coverage", F.when(F.size("focus") > 0, F.size(F.array_intersect("all_words", "focus")) / F.size("focus")).otherwise(1.0)).withColumn("structure", F.lit(0.0))
     total = sum(F.col(c) * v for c, v in COMPONENTS.items()) / sum(COMPONENTS.values())
     diverse = 1 - F.coalesce("overlap", F.lit(0.0))
-    score = total * (0.65 + 0.35 * diverse) + 0.55 * 0.035
-    return own.select("set_id", "query_id", F.round("coverage", 6).alias("coverage"), F.round("concept_diversity", 6).alias("concept_diversity"), F.round(diverse, 6).alias("pairwise_diversity"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("total"))
+    score = total * (0.65 + 0.35 * diverse) + 0.55 * 0.035 - F.col("spam") * 0.055
+    return own.select("set_id", "query_id", settled(F.col("coverage"), 6).alias("coverage"), settled(F.col("concept_diversity"), 6).alias("concept_diversity"), settled(diverse, 6).alias("pairwise_diversity"), settled(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("total"))
 
 
 class Pool:
@@ -42,7 +44,7 @@ class Pool:
 
     def __init__(self, group: pd.DataFrame):
         self.base = sum(group[c].to_numpy(float) * GAIN[c] for c in ("relevance", "informative", "authority"))
-        self.values = {c: group[c].to_numpy(float) for c in ("relevance", "informative", "authority")}
+        self.values = {c: group[c].to_numpy(float) for c in ("relevance", "informative", "authority", "spam")}
         self.words = [frozenset(w) for w in group["words"]]
         self.concepts = [frozenset(c) for c in group["concepts"]]
         self.focus = frozenset(group["focus"].iloc[0])
@@ -78,7 +80,7 @@ class Pool:
             parts = {c: v[list(key)].mean() for c, v in self.values.items()} | {"coverage": len(covered) / len(self.focus) if self.focus else 1.0, "concept_diversity": float(np.mean(fresh)), "structure": 0.0}
             pairs = [self.like[a, b] for k, a in enumerate(key) for b in key[:k]]
             total = sum(parts[c] * v for c, v in COMPONENTS.items()) / sum(COMPONENTS.values())
-            self.known[key] = round(min(1.0, max(0.0, total * (0.65 + 0.35 * (1 - (float(np.mean(pairs)) if pairs else 0.0))) + 0.55 * 0.035)), 6)
+            self.known[key] = round(min(1.0, max(0.0, total * (0.65 + 0.35 * (1 - (float(np.mean(pairs)) if pairs else 0.0))) + 0.55 * 0.035 - parts["spam"] * 0.055)), 6)
         return self.known[key]
 
 

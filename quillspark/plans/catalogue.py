@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, sets, text, web
+from ..functions import rules, sets, structure, text, web
 from ..operators import concepts, feedback, frontier, merge, selection
 from . import oracles as O  # noqa: N812, E741
 
@@ -149,8 +149,7 @@ def spam_risk(spark, sf_dir):
     return _sources(spark, sf_dir).select("doc_id", frontier.spam_risk(F.col("title"), F.col("content")).alias("spam_risk"))
 
 
-@query(f"""WITH {O.SOURCES} SELECT doc_id, round(least(1.0::DOUBLE, len(regexp_extract_all(title || '. ' || substring(content, 1, 700), {O.q(frontier.DEFINING)})) * 0.11::DOUBLE
- + CASE WHEN regexp_matches(title, {O.q(frontier.DEFINING)}) THEN 0.12::DOUBLE ELSE 0 END), 6) AS definitional_density FROM src""")
+@query(f"WITH {O.SOURCES} SELECT doc_id, {O.DEFINITIONAL} AS definitional_density FROM src")
 def definitional_density(spark, sf_dir):
     return _sources(spark, sf_dir).select("doc_id", frontier.definitional_density(F.col("title"), F.col("content")).alias("definitional_density"))
 
@@ -160,7 +159,7 @@ def content_depth(spark, sf_dir):
     return _sources(spark, sf_dir).select("doc_id", frontier.content_depth(F.col("content")).alias("content_depth"))
 
 
-@query(f"WITH {O.RANKED} SELECT query_id, doc_id, relevance, score, CAST(rank AS INT) AS rank FROM ranked")
+@query(f"WITH {O.RANKED} SELECT query_id, doc_id, relevance, score, authority, informative, spam, CAST(rank AS INT) AS rank FROM ranked")
 def lexical_relevance_topk(spark, sf_dir):
     return frontier.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
@@ -182,7 +181,7 @@ def _ranked_sources(spark, sf_dir) -> DataFrame:
     signature = text.signature(F.col("text"))
     extra = docs.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi")
     extra = extra.select("doc_id", signature.alias("words"), F.slice(F.filter(signature, lambda w: F.length(w) > 8), 1, 6).alias("concepts"))
-    return ranked.join(extra, "doc_id").withColumn("informative", F.lit(0.5)).withColumn("authority", F.lit(0.5))
+    return ranked.join(extra, "doc_id")
 
 
 def _frontier_pairs(ranked: DataFrame) -> DataFrame:
@@ -214,7 +213,14 @@ def evolve_selection(spark, sf_dir):
     return selection.evolve(_ranked_sources(spark, sf_dir).join(focus, "query_id"))
 
 
-@query()
+@query(f"""WITH {O.RANKED}, m AS MATERIALIZED (SELECT *, query_id * 4 + (rank - 1) // 6 AS set_id, list_distinct(l) AS w, [x for x, i in long if list_position(long, x) = i][1:6] AS k
+ FROM (SELECT *, [x for x in l if length(x) > 8] AS long FROM (SELECT r.*, {O.content(O.tok('text'))} AS l FROM ranked r JOIN documents USING (doc_id)))),
+o AS (SELECT *, flatten(list(k) OVER (PARTITION BY set_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS seen FROM m),
+s AS (SELECT set_id, query_id, avg(relevance) AS r, avg(informative) AS i, avg(authority) AS a, avg(spam) AS x, avg(CASE WHEN len(k) > 0 THEN 1 - len(list_intersect(k, coalesce(seen, []))) / len(k)::DOUBLE ELSE 0.55::DOUBLE END) AS d, list_distinct(flatten(list(w))) AS w FROM o GROUP BY 1, 2),
+p AS (SELECT a.set_id, avg(len(list_intersect(a.w, b.w)) / greatest(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 1)::DOUBLE) AS j FROM m a JOIN m b ON a.set_id = b.set_id AND a.rank < b.rank GROUP BY 1),
+f AS (SELECT s.*, coalesce(j, 0.0::DOUBLE) AS j, CASE WHEN len(fw) > 0 THEN len(list_intersect(w, fw)) / len(fw)::DOUBLE ELSE 1.0::DOUBLE END AS c FROM s LEFT JOIN p USING (set_id) JOIN fset USING (query_id))
+SELECT set_id, query_id, round(round(c, 12), 6) AS coverage, round(round(d, 12), 6) AS concept_diversity, round(round(1 - j, 12), 6) AS pairwise_diversity,
+ round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (r * 0.25::DOUBLE + i * 0.20::DOUBLE + a * 0.18::DOUBLE + c * 0.14::DOUBLE + d * 0.13::DOUBLE) * (0.65::DOUBLE + 0.35::DOUBLE * (1 - j)) + 0.55::DOUBLE * 0.035::DOUBLE - x * 0.055::DOUBLE)), 12), 6) AS total FROM f""")
 def fitness_of_individuals(spark, sf_dir):
     rows = _ranked_sources(spark, sf_dir)
     members = rows.withColumn("set_id", F.col("query_id") * 4 + F.floor((F.col("rank") - 1) / 6)).withColumn("place", F.col("rank"))
@@ -426,12 +432,7 @@ def comparable_similarity(spark, sf_dir):
     return x.join(y, F.col("y.item_id") == F.col("x.item_id") + 1).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.round(rules.text_similarity(F.col("x.text"), F.col("y.text")), 6).alias("similarity"))
 
 
-def _concepts_sql(x: str) -> str:
-    no_start = f"regexp_replace(coalesce({x}, ''), '([.!?]\\s)[A-Z]', '\\1', 'g')"
-    return f"list_distinct(list_concat(regexp_extract_all({no_start}, '\\b[A-Z][a-z]{{2,}}\\b'), [w for w in {O.content(O.tok(x))} if length(w) > 8]))"
-
-
-@query(f"""WITH {O.RANKED}, k AS (SELECT query_id, doc_id, d.text AS c, {O.tok('d.text')} AS w, {_concepts_sql('d.text')} AS cc, {_concepts_sql('b.text')} AS qc FROM ranked JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
+@query(f"""WITH {O.RANKED}, k AS (SELECT query_id, doc_id, d.text AS c, {O.tok('d.text')} AS w, {O.concepts('d.text')} AS cc, {O.concepts('b.text')} AS qc FROM ranked JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id),
 f AS (SELECT query_id, list(word) AS fw FROM focus GROUP BY 1)
 SELECT query_id, doc_id, round(round(greatest(0.35::DOUBLE, least(0.98::DOUBLE, least(len(w) / 260::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE + len(list_intersect(w, fw)) / greatest(len(fw), 1)::DOUBLE * 0.25::DOUBLE
  + CASE WHEN len(qc) > 0 THEN len(list_intersect(cc, qc)) / len(qc)::DOUBLE ELSE 0.0::DOUBLE END * 0.20::DOUBLE + least(len({O.sentences('c')}) / 6::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE)), 12), 4) AS informative FROM k JOIN f USING (query_id)""")
@@ -525,3 +526,13 @@ def rotated_terms(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select("item_id", text.without_stop_words(text.tokenize(F.col("text"))).alias("w")).where(F.size("w") > 0)
     n = F.pmod("item_id", F.size("w")).cast("int")
     return rows.select("item_id", F.array_join(rules.rotated(F.col("w"), n), " ").alias("rotated"), F.element_at("w", n + 1).alias("picked"))
+
+
+# ---------------------------------------------------------------- definitions
+
+
+@query()
+def definition_candidates(spark, sf_dir):
+    """Terms that a document defines, in order."""
+    rows = _sources(spark, sf_dir).select("doc_id", F.posexplode(structure.definitions(F.col("title"), F.col("content"))).alias("place", "x"))
+    return rows.select("doc_id", F.col("place").cast("long").alias("place"), "x.term", "x.description")

@@ -5,7 +5,7 @@ DuckDB's patterns have no look-behind, so sentences are cut by marking their end
 
 from __future__ import annotations
 
-from ..functions import lexicon
+from ..functions import lexicon, rules
 from ..functions import text as T
 from ..functions import web
 from ..operators import feedback, frontier
@@ -57,17 +57,78 @@ focus AS (SELECT DISTINCT query_id, v AS word FROM (SELECT query_id, unnest({var
 n_focus AS (SELECT query_id, count(*) AS n_focus FROM focus GROUP BY 1)"""
 SOURCES = "src AS (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS title, text AS content, source AS provider FROM documents)"
 DEPTH = f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(len({tok('content')}) / 280::DOUBLE, 1.0::DOUBLE) * 0.58::DOUBLE + least(len({sentences('content')}) / 7::DOUBLE, 1.0::DOUBLE) * 0.22::DOUBLE)), 6)"
+_NSPAM = norm("concat_ws(' ', title, content)")
+_RUNS = "|".join(f"{c}{{8,}}" for c in [*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "\\.", "-", "_", "=", "\\*", "#", "\\$", "%", "&", "!", "\\?", "\\|", "~", "\\+", "/", "<", ">", "é", "è", "ê", "ç", "ä", "ö", "ü", "ß", "ñ", "á", "í", "ó", "ú"])
+
+
+def spam(source: str) -> str:
+    return f"""SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+  CASE WHEN regexp_matches(e, {q(_RUNS)}) THEN 0.24::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(e, '\\d{{10,}}') THEN 0.16::DOUBLE ELSE 0 END
+  + least(len([w for w in regexp_extract_all(e, '\\b[A-Za-z0-9]{{10,}}\\b') if regexp_matches(w, '^[A-Za-z]*\\d') and regexp_matches(w, '^\\d*[A-Za-z]')]) * 0.12::DOUBLE, 0.24::DOUBLE)
+  + CASE WHEN regexp_matches(title, {q(frontier.LISTICLE)}) THEN 0.12::DOUBLE ELSE 0 END
+  + least(({' + '.join(f"CASE WHEN contains(lower(e), {q(t)}) THEN 1 ELSE 0 END" for t in frontier.SPAM_TERMS)}) * 0.10::DOUBLE, 0.25::DOUBLE)
+  + CASE WHEN len(a) >= 20 AND u < 0.60 THEN least((0.60::DOUBLE - u) * 0.85::DOUBLE, 0.28::DOUBLE) ELSE 0 END
+  + CASE WHEN len({tok('content')}) < 40 OR len({sentences('content')}) < 2 THEN 0.08::DOUBLE ELSE 0 END)), 6) AS spam_risk
+FROM (SELECT *, {tok('e')} AS a, {ratio(tok('e'))} AS u FROM (SELECT *, {_NSPAM} AS e FROM {source}))"""
+
+
+SPAM = spam("src")
+DEFINITIONAL = f"""round(least(1.0::DOUBLE, len(regexp_extract_all(title || '. ' || substring(content, 1, 700), {q(frontier.DEFINING)})) * 0.11::DOUBLE
+ + CASE WHEN regexp_matches(title, {q(frontier.DEFINING)}) THEN 0.12::DOUBLE ELSE 0 END), 6)"""
+
+
+def grams(x: str) -> str:
+    return f"list_distinct([substring({x}, i, 4) for i in range(1, greatest(length({x}) - 3, 0) + 1)])"
+
+
+def concepts(x: str) -> str:
+    no_start = f"regexp_replace(coalesce({x}, ''), '([.!?]\\s)[A-Z]', '\\1', 'g')"
+    return f"list_distinct(list_concat(regexp_extract_all({no_start}, '\\b[A-Z][a-z]{{2,}}\\b'), [w for w in {content(tok(x))} if length(w) > 8]))"
+
+
+def _soft(term: str, words: str) -> str:
+    return f"(list_contains({words}, {term}) OR (length({term}) >= 6 AND len([x for x in {words} if length(x) >= 5 AND substring(x, 1, 5) = substring({term}, 1, 5)]) > 0))"
+
+
+def _share(words: str) -> str:
+    return f"len([y for y in a[2:] if {_soft('y', words)}]) / (len(a) - 1)::DOUBLE"
+
+
+def _jaccard(x: str, y: str) -> str:
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({x}, {y})) / (len({x}) + len({y}) - len(list_intersect({x}, {y})))::DOUBLE END"
+
+
+_FILLER = "[" + ", ".join(q(w) for w in rules.FILLER) + "]"
+_IGNORED = "[" + ", ".join(q(w) for w in frontier.IGNORED) + "]"
+_INFORMATIVE = f"""round(round(greatest(0.35::DOUBLE, least(0.98::DOUBLE, least(len(ct) / 260::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE + len(list_intersect(ct, fw)) / greatest(len(fw), 1)::DOUBLE * 0.25::DOUBLE
+ + CASE WHEN len(qc) > 0 THEN len(list_intersect(cc, qc)) / len(qc)::DOUBLE ELSE 0.0::DOUBLE END * 0.20::DOUBLE + least(len({sentences('content')}) / 6::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE)), 12), 4)"""
 RANKED = f"""{TOPICS}, {SOURCES},
 c_words AS (SELECT DISTINCT doc_id, unnest({tok('content')}) AS word FROM src),
 h_words AS (SELECT DISTINCT doc_id, unnest({tok('title')}) AS word FROM src),
 c_hits AS (SELECT query_id, doc_id, count(*) AS content_hits FROM c_words JOIN focus USING (word) GROUP BY 1, 2),
 h_hits AS (SELECT query_id, doc_id, count(*) AS title_hits FROM h_words JOIN focus USING (word) GROUP BY 1, 2),
-depth AS (SELECT doc_id, {DEPTH} AS depth FROM src),
-pairs AS (SELECT query_id, doc_id, coalesce(title_hits, 0) / n_focus::DOUBLE AS t, coalesce(content_hits, 0) / n_focus::DOUBLE AS c, depth
-          FROM c_hits FULL JOIN h_hits USING (query_id, doc_id) JOIN n_focus USING (query_id) JOIN depth USING (doc_id)),
-rel AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, t * 0.46::DOUBLE + c * 0.30::DOUBLE)) AS r FROM pairs),
-scored AS (SELECT query_id, doc_id, r, round(greatest(r * 0.27::DOUBLE + t * 0.16::DOUBLE + c * 0.08::DOUBLE + 0.5::DOUBLE * 0.13::DOUBLE + 0.5::DOUBLE * 0.06::DOUBLE + depth * 0.12::DOUBLE, 0.0::DOUBLE), 6) AS score FROM rel),
-ranked AS (SELECT query_id, doc_id, round(r, 6) AS relevance, score, rank FROM
+pairs AS (SELECT query_id, doc_id, coalesce(title_hits, 0) / n_focus::DOUBLE AS t, coalesce(content_hits, 0) / n_focus::DOUBLE AS c
+          FROM c_hits FULL JOIN h_hits USING (query_id, doc_id) JOIN n_focus USING (query_id)),
+found AS MATERIALIZED (SELECT query_id, doc_id, t, c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(t * 0.46::DOUBLE + c * 0.30::DOUBLE, 9) DESC, doc_id) AS n FROM pairs) WHERE n <= {frontier.RETRIEVED}),
+asked AS MATERIALIZED (SELECT query_id, qw, array_to_string(qw, ' ') AS qs, qc, [x.w for x in list_sort([{{'n': -length(w), 'w': w}} for w in qw if not list_contains({_FILLER}, w)])[1:3]] AS a, [w for w in qw if not list_contains({_IGNORED}, w)] AS k
+          FROM (SELECT item_id AS query_id, list_sort(list_distinct({content(tok('text'))})) AS qw, {concepts('text')} AS qc FROM benchmark)),
+phrases AS (SELECT query_id, [p for p in list_concat([array_to_string(k[i:i + 2], ' ') for i in range(1, greatest(len(k) - 2, 0) + 1)], [array_to_string(k[i:i + 1], ' ') for i in range(1, greatest(len(k) - 1, 0) + 1)]) if not regexp_matches(p, '^[0-9 ]+$')][1:6] AS p FROM asked),
+fset AS (SELECT query_id, list(word) AS fw FROM focus GROUP BY 1),
+few AS (SELECT * FROM src WHERE doc_id IN (SELECT doc_id FROM found)),
+told AS MATERIALIZED (SELECT doc_id, content, list_distinct({tok('title')}) AS tw, {tok('content')} AS ct, {DEFINITIONAL} AS definitional, {DEPTH} AS depth, {concepts('content')} AS cc, lower(trim(regexp_replace(concat_ws(' ', title, content), '\\s+', ' ', 'g'))) AS every,
+   round(0.48::DOUBLE + CASE WHEN len({usable('content')}) >= 4 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN len({tok('title')}) >= 2 THEN 0.03::DOUBLE ELSE 0 END, 4) AS authority FROM few),
+spam AS ({spam('few')}),
+sim AS MATERIALIZED (SELECT doc_id, every, list_distinct(regexp_extract_all(every, {q(T.TOKEN)})) AS ew, {grams('every')} AS eg FROM told),
+joined AS MATERIALIZED (SELECT f.query_id, f.doc_id, t, c, tw, list_distinct(ct) AS cw, definitional, depth, authority, spam_risk, qw, a, {_INFORMATIVE} AS informative,
+   round(CASE WHEN s.every = '' OR qs = '' THEN 0.0::DOUBLE WHEN s.every = qs THEN 1.0::DOUBLE WHEN len(ew) = 0 OR len(qw) = 0 THEN 0.0::DOUBLE ELSE ({_jaccard('ew', 'qt')}) * 0.55::DOUBLE + ({_jaccard('eg', 'qg')}) * 0.45::DOUBLE END, 6) AS alike,
+   len([x for x in p if contains(s.every, x)]) AS hits
+   FROM found f JOIN told d USING (doc_id) JOIN spam USING (doc_id) JOIN sim s USING (doc_id) JOIN (SELECT *, list_distinct(regexp_extract_all(qs, {q(T.TOKEN)})) AS qt, {grams('qs')} AS qg FROM asked) USING (query_id) JOIN phrases USING (query_id) JOIN fset USING (query_id)),
+rel AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, t * 0.46::DOUBLE + c * 0.30::DOUBLE + CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE
+     CASE WHEN {_soft('a[1]', 'tw')} THEN 0.42::DOUBLE WHEN {_soft('a[1]', 'cw')} THEN 0.28::DOUBLE WHEN len(qw) > 3 AND t + c > 0 AND alike < 0.28 THEN -0.10::DOUBLE ELSE 0.0::DOUBLE END
+     + CASE WHEN len(a) > 1 THEN {_share('tw')} * 0.18::DOUBLE + {_share('cw')} * 0.10::DOUBLE ELSE 0.0::DOUBLE END END
+   + alike * 0.18::DOUBLE + (least(hits * 0.16::DOUBLE, 0.32::DOUBLE) + CASE WHEN hits > 0 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END) * 0.34::DOUBLE)), 12) AS r FROM joined),
+scored AS (SELECT *, round(round(greatest(r * 0.27::DOUBLE + t * 0.16::DOUBLE + c * 0.08::DOUBLE + definitional * 0.16::DOUBLE + authority * 0.13::DOUBLE + informative * 0.06::DOUBLE + depth * 0.12::DOUBLE - spam_risk * 0.18::DOUBLE, 0.0::DOUBLE), 12), 6) AS score FROM rel),
+ranked AS (SELECT query_id, doc_id, round(r, 6) AS relevance, score, authority, informative, spam_risk AS spam, rank FROM
            (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {frontier.FRONTIER})"""
 #: A mean over whole millionths, rounded half up: no order of summation shows.
 _mean = lambda x: f"(2 * CAST(sum(CAST(round({x} * 1000000) AS BIGINT)) FILTER (rank <= 6) AS BIGINT) + count(*) FILTER (rank <= 6)) // (2 * count(*) FILTER (rank <= 6)) / 1000000::DOUBLE"
@@ -100,17 +161,6 @@ for _tag in ("script", "style", "noscript", "svg"):
     _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}>', ' ', 'g')"
 READABLE = norm(unescape(unescape(f"regexp_replace(regexp_replace({_CLEAN}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', '', 'g')")))
 
-_NSPAM = norm("concat_ws(' ', title, content)")
-_RUNS = "|".join(f"{c}{{8,}}" for c in [*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "\\.", "-", "_", "=", "\\*", "#", "\\$", "%", "&", "!", "\\?", "\\|", "~", "\\+", "/", "<", ">", "é", "è", "ê", "ç", "ä", "ö", "ü", "ß", "ñ", "á", "í", "ó", "ú"])
-SPAM = f"""SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
-  CASE WHEN regexp_matches(e, {q(_RUNS)}) THEN 0.24::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(e, '\\d{{10,}}') THEN 0.16::DOUBLE ELSE 0 END
-  + least(len([w for w in regexp_extract_all(e, '\\b[A-Za-z0-9]{{10,}}\\b') if regexp_matches(w, '^[A-Za-z]*\\d') and regexp_matches(w, '^\\d*[A-Za-z]')]) * 0.12::DOUBLE, 0.24::DOUBLE)
-  + CASE WHEN regexp_matches(title, {q(frontier.LISTICLE)}) THEN 0.12::DOUBLE ELSE 0 END
-  + least(({' + '.join(f"CASE WHEN contains(lower(e), {q(t)}) THEN 1 ELSE 0 END" for t in frontier.SPAM_TERMS)}) * 0.10::DOUBLE, 0.25::DOUBLE)
-  + CASE WHEN len(a) >= 20 AND u < 0.60 THEN least((0.60::DOUBLE - u) * 0.85::DOUBLE, 0.28::DOUBLE) ELSE 0 END
-  + CASE WHEN len({tok('content')}) < 40 OR len({sentences('content')}) < 2 THEN 0.08::DOUBLE ELSE 0 END)), 6) AS spam_risk
-FROM (SELECT *, {tok('e')} AS a, {ratio(tok('e'))} AS u FROM (SELECT *, {_NSPAM} AS e FROM src))"""
-
 _TAGS = "[" + ", ".join(q(t) for t in feedback.TAG_DELTAS) + "]"
 RECORDS = f"""
 ev AS (SELECT user_id AS record_id, ts, event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'positive' WHEN event_type = 'error' THEN 'negative' END AS signal,

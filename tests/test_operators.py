@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quillspark.functions import sets, text, web
+from quillspark.functions import sets, structure, text, web
 from quillspark.operators import concepts, feedback, frontier, merge, selection
 
 
@@ -149,3 +149,20 @@ def test_concept_queries_cover_every_topic(spark, tmp_path):
             share = len(words(a) & words(b)) / len(words(b)) if words(b) else 0
             best = 0 if a == b or share >= 0.8 else 1 if share >= 0.3 else None
         assert (distance, layer) == (best, "tangential" if best is None or best > 2 else "seed" if best == 0 else "related")
+
+
+def test_definitions(spark):
+    t = F.lit("My river is a natural stream of water. Glaciers are slow rivers of ice on land. My river is named here a second time. It rained for days on end there.")
+    got = value(spark, structure.definitions(F.lit("The water book"), t))
+    assert [d["term"] for d in got] == ["The water book", "My river", "Glaciers"] and got[1]["description"] == "My river is a natural stream of water."
+    none = F.lit(None).cast("string")
+    assert value(spark, structure.definitions(none, none)) == [] and value(spark, structure.definitions(F.lit(""), F.lit(""))) == []
+
+
+def test_relevance_and_phrases(spark):
+    words = F.array(*[F.lit(w) for w in sorted("solar panel storage cost 2026".split())])
+    assert value(spark, frontier.anchor_phrases(words)) == ["2026 cost panel", "cost panel solar", "panel solar storage", "2026 cost", "cost panel", "panel solar"]
+    bench = spark.createDataFrame([(1, "solar panel storage"), (2, None), (3, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Solar panel storage\nThe storage of a solar panel is a battery.", "a"), (2, "Cooking\nA panel of cooks.", "a"), (3, None, "a"), (4, "", None)], "doc_id long, text string, source string")
+    got = {(r["query_id"], r["doc_id"]): r for r in frontier.rank(bench, docs).collect()}
+    assert set(got) == {(1, 1), (1, 2)} and got[1, 1]["rank"] == 1 and got[1, 1]["relevance"] > got[1, 2]["relevance"]
