@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention, chat, exact, htmltext, langid, mixing, nearset, pieces, quality, sstable
+from . import attention, chat, divergence, exact, htmltext, langid, mixing, nearset, periodic, pieces, quality, sstable, toxicity
 
 QUERIES = {
     "op1_entropy_mixing": mixing.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_language_mixture": langid.query,
     "op9_attention_scores": attention.query,
     "op10_chat_format": chat.query,
+    "op11_source_divergence": divergence.query,
+    "op12_periodic_runs": periodic.query,
+    "op13_toxicity": toxicity.query,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
 }
