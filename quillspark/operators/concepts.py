@@ -93,6 +93,38 @@ def alignment(text: Column, name: str) -> Column:
     return F.when(text == "", -1.0).otherwise(F.round(clamp(score, -1.0, 1.0), 6))
 
 
+def profile_of(query: Column) -> Column:
+    """The names of the profiles that a query (lower case) is about."""
+    words = F.regexp_extract_all(query, F.lit(TOKEN), F.lit(0))
+    every = lambda terms: reduce(lambda a, b: a & b, [F.array_contains(words, t) for t in terms], F.lit(True))
+    some = lambda terms: reduce(lambda a, b: a | b, [F.array_contains(words, t) for t in terms], F.lit(False))
+    fits = lambda p: every(p["all"]) & (some(p["any"]) if p["any"] else F.lit(True)) & ~some(p["without"])
+    return F.filter(F.array(*[F.when(fits(p), F.lit(name)) for name, p in PROFILES.items()]), lambda x: x.isNotNull())
+
+
+def named_alignment(text: Column, profiles: Column, phrases: Column, phrase_hits: Column) -> Column:
+    """How well a flat text fits what the named profiles of its query ask for, from -1 to 1; phrases
+    are the query's own, of which phrase_hits are in the text."""
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+    def of(kind: str) -> dict[str, list[str]]:
+        holders: dict[str, list[str]] = {}
+        for name, p in PROFILES.items():
+            for term in p[kind]:
+                holders.setdefault(term, []).append(name)
+        return holders
+
+    total = lambda parts: reduce(lambda a, b: a + b, parts, F.lit(0))
+    one = lambda test: F.when(test, 1).otherwise(0)
+    mine = lambda names: reduce(lambda a, b: a | b, [F.array_contains(profiles, n) for n in names])
+    count = lambda kind: total([one(mine(names) & _has(t, text, tokens)) for t, names in of(kind).items()])
+    groups = [(n, reduce(lambda a, b: a | b, [_has(t, text, tokens) for t in g])) for n, p in PROFILES.items() for g in p["groups"]]
+    met, missing = total([one(mine([n]) & has) for n, has in groups]), total([one(mine([n]) & ~has) for n, has in groups])
+    hits = phrase_hits + total([one(mine(names) & ~F.array_contains(phrases, t) & text.contains(t)) for t, names in of("phrases").items()])
+    score = F.least(hits * 0.16, F.lit(0.32)) + F.least(count("positive") * 0.08, F.lit(0.32)) + met * 0.28 - F.least(count("negative") * 0.22, F.lit(0.66)) - missing * 0.26 - F.when(met == 0, 0.24).otherwise(0.0)
+    return F.when(text == "", -1.0).otherwise(F.round(clamp(score, -1.0, 1.0), 6))
+
+
 def semantic_filter(rows: DataFrame, threshold: float = 0.12, keep_min: int = 1) -> DataFrame:
     """rows(query_id, pos, query, content) whose similarity to their query reaches the threshold; at
     least keep_min of each query, the most similar."""

@@ -159,7 +159,7 @@ def content_depth(spark, sf_dir):
     return _sources(spark, sf_dir).select("doc_id", frontier.content_depth(F.col("content")).alias("content_depth"))
 
 
-@query(f"WITH {O.RANKED} SELECT query_id, doc_id, relevance, score, authority, informative, spam, CAST(rank AS INT) AS rank FROM ranked")
+@query(f"WITH {O.RANKED} SELECT query_id, doc_id, relevance, score, authority, informative, spam, coherence, CAST(rank AS INT) AS rank FROM ranked")
 def lexical_relevance_topk(spark, sf_dir):
     return frontier.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 

@@ -102,6 +102,33 @@ _FILLER = "[" + ", ".join(q(w) for w in rules.FILLER) + "]"
 _IGNORED = "[" + ", ".join(q(w) for w in frontier.IGNORED) + "]"
 _INFORMATIVE = f"""round(round(greatest(0.35::DOUBLE, least(0.98::DOUBLE, least(len(ct) / 260::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE + len(list_intersect(ct, fw)) / greatest(len(fw), 1)::DOUBLE * 0.25::DOUBLE
  + CASE WHEN len(qc) > 0 THEN len(list_intersect(cc, qc)) / len(qc)::DOUBLE ELSE 0.0::DOUBLE END * 0.20::DOUBLE + least(len({sentences('content')}) / 6::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE)), 12), 4)"""
+_PAIRS = sorted({(a, b) for a, bs in [*lexicon.RELATIONS.items(), *lexicon.ALIASES.items()] for b in bs})
+EDGES = f"half(a, b) AS (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in _PAIRS)}), edge AS (SELECT a, b FROM half UNION SELECT b, a FROM half)"
+_NAMES = [(n, n) for n in lexicon.ALIASES] + [(a, n) for n, names in lexicon.ALIASES.items() for a in names]
+
+
+def words_of(x: str) -> str:
+    return f"list_distinct(regexp_extract_all({x}, {q(T.TOKEN)}))"
+
+
+#: gw: the words of concepts within one step of those that a query names.
+GRAPH = f"""{EDGES}, names(alias, node) AS (VALUES {', '.join(f'({q(a)}, {q(n)})' for a, n in _NAMES)}),
+g_first AS (SELECT DISTINCT query_id, node FROM asked JOIN (SELECT *, {words_of('alias')} AS aw FROM names) ON contains(qs, alias) OR len(list_intersect(aw, qw)) / len(aw)::DOUBLE >= 0.8),
+g_seed AS (SELECT * FROM g_first UNION ALL SELECT query_id, node FROM asked JOIN (SELECT DISTINCT a AS node, {words_of('a')} AS nw FROM edge) ON len(nw) > 0 AND len(list_intersect(nw, qw)) >= least(len(nw), 2) WHERE query_id NOT IN (SELECT query_id FROM g_first)),
+g_ball AS (SELECT query_id, node, min(d) AS d FROM (SELECT query_id, node, 0 AS d FROM g_seed UNION ALL SELECT query_id, b, 1 FROM g_seed JOIN edge ON node = a) GROUP BY 1, 2),
+g_near AS (SELECT query_id, unnest(regexp_extract_all(node, {q(T.TOKEN)})) AS w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, length(node), node) AS n FROM g_ball) WHERE n <= 24),
+gset AS (SELECT query_id, list(DISTINCT w) AS gw FROM g_near WHERE length(w) >= 3 AND NOT list_contains({STOP}, w) GROUP BY 1)"""
+
+
+def like(x: str, words: str, n_grams: str, both: str) -> str:
+    """The likeness of the query to the text x with its words, number of n-grams and those in common."""
+    grams = f"CASE WHEN {n_grams} = 0 OR n_qg = 0 THEN 0.0::DOUBLE ELSE {both} / ({n_grams} + n_qg - {both})::DOUBLE END"
+    return f"round(CASE WHEN {x} = '' OR qs = '' THEN 0.0::DOUBLE WHEN {x} = qs THEN 1.0::DOUBLE WHEN len({words}) = 0 OR len(qw) = 0 THEN 0.0::DOUBLE ELSE ({_jaccard(words, 'qw')}) * 0.55::DOUBLE + ({grams}) * 0.45::DOUBLE END, 6)"
+
+
+_GRAM_TABLES = ",\n".join(
+    f"{p}g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest([substring({x}, i, 4) for i in range(1, greatest(length({x}) - 3, 0) + 1)]) AS g FROM told), {p}n AS (SELECT doc_id, count(*) AS {p}_n FROM {p}g GROUP BY 1), {p}b AS (SELECT query_id, doc_id, count(*) AS {p}_b FROM {p}g JOIN qg USING (g) GROUP BY 1, 2)"
+    for p, x in (("t", "tn"), ("c", "cn"), ("e", "every")))
 RANKED = f"""{TOPICS}, {SOURCES},
 c_words AS (SELECT DISTINCT doc_id, unnest({tok('content')}) AS word FROM src),
 h_words AS (SELECT DISTINCT doc_id, unnest({tok('title')}) AS word FROM src),
@@ -109,26 +136,36 @@ c_hits AS (SELECT query_id, doc_id, count(*) AS content_hits FROM c_words JOIN f
 h_hits AS (SELECT query_id, doc_id, count(*) AS title_hits FROM h_words JOIN focus USING (word) GROUP BY 1, 2),
 pairs AS (SELECT query_id, doc_id, coalesce(title_hits, 0) / n_focus::DOUBLE AS t, coalesce(content_hits, 0) / n_focus::DOUBLE AS c
           FROM c_hits FULL JOIN h_hits USING (query_id, doc_id) JOIN n_focus USING (query_id)),
-found AS MATERIALIZED (SELECT query_id, doc_id, t, c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(t * 0.46::DOUBLE + c * 0.30::DOUBLE, 9) DESC, doc_id) AS n FROM pairs) WHERE n <= {frontier.RETRIEVED}),
 asked AS MATERIALIZED (SELECT query_id, qw, array_to_string(qw, ' ') AS qs, qc, [x.w for x in list_sort([{{'n': -length(w), 'w': w}} for w in qw if not list_contains({_FILLER}, w)])[1:3]] AS a, [w for w in qw if not list_contains({_IGNORED}, w)] AS k
           FROM (SELECT item_id AS query_id, list_sort(list_distinct({content(tok('text'))})) AS qw, {concepts('text')} AS qc FROM benchmark)),
 phrases AS (SELECT query_id, [p for p in list_concat([array_to_string(k[i:i + 2], ' ') for i in range(1, greatest(len(k) - 2, 0) + 1)], [array_to_string(k[i:i + 1], ' ') for i in range(1, greatest(len(k) - 1, 0) + 1)]) if not regexp_matches(p, '^[0-9 ]+$')][1:6] AS p FROM asked),
 fset AS (SELECT query_id, list(word) AS fw FROM focus GROUP BY 1),
-few AS (SELECT * FROM src WHERE doc_id IN (SELECT doc_id FROM found)),
+{GRAPH},
 told AS MATERIALIZED (SELECT doc_id, content, list_distinct({tok('title')}) AS tw, {tok('content')} AS ct, {DEFINITIONAL} AS definitional, {DEPTH} AS depth, {concepts('content')} AS cc, lower(trim(regexp_replace(concat_ws(' ', title, content), '\\s+', ' ', 'g'))) AS every,
-   round(0.48::DOUBLE + CASE WHEN len({usable('content')}) >= 4 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN len({tok('title')}) >= 2 THEN 0.03::DOUBLE ELSE 0 END, 4) AS authority FROM few),
-spam AS ({spam('few')}),
-sim AS MATERIALIZED (SELECT doc_id, every, list_distinct(regexp_extract_all(every, {q(T.TOKEN)})) AS ew, {grams('every')} AS eg FROM told),
-joined AS MATERIALIZED (SELECT f.query_id, f.doc_id, t, c, tw, list_distinct(ct) AS cw, definitional, depth, authority, spam_risk, qw, a, {_INFORMATIVE} AS informative,
-   round(CASE WHEN s.every = '' OR qs = '' THEN 0.0::DOUBLE WHEN s.every = qs THEN 1.0::DOUBLE WHEN len(ew) = 0 OR len(qw) = 0 THEN 0.0::DOUBLE ELSE ({_jaccard('ew', 'qt')}) * 0.55::DOUBLE + ({_jaccard('eg', 'qg')}) * 0.45::DOUBLE END, 6) AS alike,
-   len([x for x in p if contains(s.every, x)]) AS hits
-   FROM found f JOIN told d USING (doc_id) JOIN spam USING (doc_id) JOIN sim s USING (doc_id) JOIN (SELECT *, list_distinct(regexp_extract_all(qs, {q(T.TOKEN)})) AS qt, {grams('qs')} AS qg FROM asked) USING (query_id) JOIN phrases USING (query_id) JOIN fset USING (query_id)),
-rel AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, t * 0.46::DOUBLE + c * 0.30::DOUBLE + CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE
-     CASE WHEN {_soft('a[1]', 'tw')} THEN 0.42::DOUBLE WHEN {_soft('a[1]', 'cw')} THEN 0.28::DOUBLE WHEN len(qw) > 3 AND t + c > 0 AND alike < 0.28 THEN -0.10::DOUBLE ELSE 0.0::DOUBLE END
+   lower({norm('title')}) AS tn, lower({norm('content')}) AS cn, round(0.48::DOUBLE + CASE WHEN len({usable('content')}) >= 4 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN len({tok('title')}) >= 2 THEN 0.03::DOUBLE ELSE 0 END, 4) AS authority FROM src WHERE content IS NOT NULL),
+spam AS ({spam('src')}),
+qg AS MATERIALIZED (SELECT DISTINCT query_id, unnest([substring(qs, i, 4) for i in range(1, greatest(length(qs) - 3, 0) + 1)]) AS g FROM asked), qn AS (SELECT query_id, count(*) AS n_qg FROM qg GROUP BY 1),
+{_GRAM_TABLES},
+tc AS (SELECT doc_id, count(*) AS both_n FROM tg JOIN cg USING (doc_id, g) GROUP BY 1),
+docs AS MATERIALIZED (SELECT d.*, list_distinct(ct) AS cw, {words_of('every')} AS ew, spam_risk, coalesce(t_n, 0) AS t_n, coalesce(c_n, 0) AS c_n, coalesce(e_n, 0) AS e_n,
+   round(CASE WHEN tn = '' OR cn = '' THEN 0.0::DOUBLE WHEN tn = cn THEN 1.0::DOUBLE WHEN len(tw) = 0 OR len(ct) = 0 THEN 0.0::DOUBLE ELSE ({_jaccard('tw', 'list_distinct(ct)')}) * 0.55::DOUBLE
+     + CASE WHEN coalesce(t_n, 0) = 0 OR coalesce(c_n, 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(both_n, 0) / (t_n + c_n - coalesce(both_n, 0))::DOUBLE END * 0.45::DOUBLE END, 6) AS two
+   FROM told d JOIN spam USING (doc_id) LEFT JOIN tn USING (doc_id) LEFT JOIN cn USING (doc_id) LEFT JOIN en USING (doc_id) LEFT JOIN tc USING (doc_id)),
+joined AS MATERIALIZED (SELECT f.query_id, f.doc_id, t, c, tw, cw, definitional, depth, authority, spam_risk, qw, a, two, tn, cn, {_INFORMATIVE} AS informative, coalesce(gw, []) AS gw,
+   {like('every', 'ew', 'e_n', 'coalesce(e_b, 0)')} AS alike, {like('tn', 'tw', 't_n', 'coalesce(t_b, 0)')} AS q_title, {like('cn', 'cw', 'c_n', 'coalesce(c_b, 0)')} AS q_content,
+   len([x for x in p if contains(d.every, x)]) AS hits
+   FROM pairs f JOIN docs d USING (doc_id) JOIN asked USING (query_id) JOIN phrases USING (query_id) JOIN fset USING (query_id) LEFT JOIN qn USING (query_id) LEFT JOIN gset USING (query_id)
+   LEFT JOIN tb USING (query_id, doc_id) LEFT JOIN cb USING (query_id, doc_id) LEFT JOIN eb USING (query_id, doc_id)),
+rel AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, o + CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE
+     CASE WHEN {_soft('a[1]', 'tw')} THEN 0.42::DOUBLE WHEN {_soft('a[1]', 'cw')} THEN 0.28::DOUBLE WHEN len(qw) > 3 AND o > 0 AND alike < 0.28 THEN -0.10::DOUBLE ELSE 0.0::DOUBLE END
      + CASE WHEN len(a) > 1 THEN {_share('tw')} * 0.18::DOUBLE + {_share('cw')} * 0.10::DOUBLE ELSE 0.0::DOUBLE END END
-   + alike * 0.18::DOUBLE + (least(hits * 0.16::DOUBLE, 0.32::DOUBLE) + CASE WHEN hits > 0 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END) * 0.34::DOUBLE)), 12) AS r FROM joined),
-scored AS (SELECT *, round(round(greatest(r * 0.27::DOUBLE + t * 0.16::DOUBLE + c * 0.08::DOUBLE + definitional * 0.16::DOUBLE + authority * 0.13::DOUBLE + informative * 0.06::DOUBLE + depth * 0.12::DOUBLE - spam_risk * 0.18::DOUBLE, 0.0::DOUBLE), 12), 6) AS score FROM rel),
-ranked AS (SELECT query_id, doc_id, round(r, 6) AS relevance, score, authority, informative, spam_risk AS spam, rank FROM
+   + alike * 0.18::DOUBLE + (least(hits * 0.16::DOUBLE, 0.32::DOUBLE) + CASE WHEN hits > 0 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END) * 0.34::DOUBLE)), 12) AS r
+   FROM (SELECT *, t * 0.46::DOUBLE + c * 0.30::DOUBLE + (len(list_intersect(tw, gw)) * 0.55::DOUBLE + len(list_intersect(cw, gw)) * 0.45::DOUBLE) / greatest(len(gw), 1)::DOUBLE * 0.24::DOUBLE AS o,
+     round(round(least(1.0::DOUBLE, CASE WHEN tn <> '' AND cn <> '' THEN (q_title + q_content) / 2 WHEN tn <> '' THEN q_title WHEN cn <> '' THEN q_content ELSE 0.0::DOUBLE END * 0.45::DOUBLE + two * 0.40::DOUBLE), 12), 6) AS aligned FROM joined)),
+whole AS (SELECT *, round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN len(tw) > 0 AND len(cw) > 0 THEN len(tw) / len(cw)::DOUBLE WHEN len(tw) > 0 OR len(cw) > 0 THEN 0.48::DOUBLE ELSE 0.0::DOUBLE END * 0.32::DOUBLE
+   + (t + c) / 4 * 0.20::DOUBLE + r * 0.18::DOUBLE + aligned * 0.30::DOUBLE)), 12), 6) AS coherence FROM rel),
+scored AS (SELECT *, round(round(greatest(r * 0.27::DOUBLE + t * 0.16::DOUBLE + c * 0.08::DOUBLE + definitional * 0.16::DOUBLE + authority * 0.13::DOUBLE + informative * 0.06::DOUBLE + depth * 0.12::DOUBLE + coherence * 0.10::DOUBLE - spam_risk * 0.18::DOUBLE, 0.0::DOUBLE), 12), 6) AS score FROM whole),
+ranked AS MATERIALIZED (SELECT query_id, doc_id, round(r, 6) AS relevance, score, authority, informative, spam_risk AS spam, coherence, rank FROM
            (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {frontier.FRONTIER})"""
 #: A mean over whole millionths, rounded half up: no order of summation shows.
 _mean = lambda x: f"(2 * CAST(sum(CAST(round({x} * 1000000) AS BIGINT)) FILTER (rank <= 6) AS BIGINT) + count(*) FILTER (rank <= 6)) // (2 * count(*) FILTER (rank <= 6)) / 1000000::DOUBLE"
@@ -177,9 +214,6 @@ FROM (VALUES {', '.join(f"({q(w)})" for w in feedback.WEIGHTS)}) w(weight) LEFT
 DOMINANT = f"""WITH {RECORDS}, n AS (SELECT tag, count(*) AS n FROM tags GROUP BY 1)
 SELECT * FROM (SELECT tag, n, CAST(row_number() OVER (ORDER BY n DESC, tag IN ({', '.join(q(t) for t in feedback.POSITIVE_TAGS)}), tag) AS INT) AS place FROM n) WHERE place <= 3"""
 
-_PAIRS = sorted({(a, b) for a, bs in [*lexicon.RELATIONS.items(), *lexicon.ALIASES.items()] for b in bs})
-EDGES = f"half(a, b) AS (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in _PAIRS)}), edge AS (SELECT a, b FROM half UNION SELECT b, a FROM half)"
-
 
 def _has(term: str) -> str:
     return f"contains(t, {q(term)})" if " " in term else f"list_contains(w, {q(term)})"

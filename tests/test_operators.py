@@ -72,7 +72,7 @@ def test_gate(spark):
 def _pool(n=12, seed=1):
     rng = random.Random(seed)
     words = lambda: [rng.choice("abcdefghijklmnop") for _ in range(8)]
-    return selection.Pool(pd.DataFrame({"relevance": [rng.random() for _ in range(n)], "informative": 0.5, "authority": [rng.random() for _ in range(n)], "words": [words() for _ in range(n)], "concepts": [words()[:3] for _ in range(n)], "focus": [list("abcdef")] * n}))
+    return selection.Pool(pd.DataFrame({"relevance": [rng.random() for _ in range(n)], "informative": 0.5, "spam": 0.1, "authority": [rng.random() for _ in range(n)], "words": [words() for _ in range(n)], "concepts": [words()[:3] for _ in range(n)], "focus": [list("abcdef")] * n}))
 
 
 def test_search_keeps_the_best_and_stops():
