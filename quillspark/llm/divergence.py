@@ -189,7 +189,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     groups = docs.select(name(lang_col).alias("lang"), name(source_col).alias("source")).distinct()
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_size"), F.count_if("first").alias("v"))
+    langs = stage(kept.groupBy("lang").agg(F.sum("n").alias("lang_size"), F.count_if("first").alias("v")), "divergence-langs")
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     here = Window.partitionBy("lang")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
