@@ -35,7 +35,7 @@ from .common import documents, lean, small_batches, stage
 from .langid import letters
 from .segments import chunks, mix
 
-GRAM, FEATURES, LEAST_ERRORS, FIT_ROWS = 5, 4096, 4.0, 20_000
+GRAM, FEATURES, LEAST_ERRORS, FIT_ROWS = 5, 2048, 4.0, 10_000
 PENALTY, STEPS = 1.0, 30
 CHUNK_CHARS = 1 << 19
 #: Distinct grams that a task holds before it hands their counts on.
@@ -188,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = stage(gram_counts(texts.join(marks, "id")), "toxicity-counts")
+    # Labels grow with the documents: they meet by a sort-merge join at every size.
+    counts = stage(gram_counts(texts.join(marks.hint("merge"), "id")), "toxicity-counts")
     ids = stage(texts.select("id").join(marks, "id"), "toxicity-ids")
     d1, d0 = ids.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not d1 or not d0:
@@ -205,9 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             own = [t or "" for t in b.column("text").to_pylist()]
             for s in chunks(own, CHUNK_CHARS):
                 part = b.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array([x.tolist() for x in present(own[s])], pa.list_(pa.int64()))], names=["id", "label", "held"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array([x.tolist() for x in present(own[s])], pa.list_(pa.int32()))], names=["id", "label", "held"])
 
-    schema = StructType([rows.schema["id"], rows.schema["label"], *StructType.fromDDL("held array<bigint>").fields])
+    schema = StructType([rows.schema["id"], rows.schema["label"], *StructType.fromDDL("held array<int>").fields])
     got = rows.mapInArrow(run, schema).orderBy(F.xxhash64("id"), "id", "held").limit(fit_rows).toArrow()
     weights, intercept = fit([np.array(x, np.int64) for x in got.column("held").to_pylist()], got.column("label").to_numpy(), r)
     return keys, r * weights, intercept
