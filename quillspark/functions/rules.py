@@ -169,15 +169,19 @@ def layer_bonus(layer: Column, target: Column) -> Column:
     return out.otherwise(0.0)
 
 
-def title_from_sentence(sentence: Column, query: Column) -> Column:
-    """Up to five content words of the first clause that the query lacks, capitalised; empty if
+def title_without(sentence: Column, words: Column) -> Column:
+    """Up to five content words of the first clause that are not among words, capitalised; empty if
     fewer than two are left or the title is not meaningful."""
     clause = normalize_space(F.element_at(F.split(sentence, "[:;,-]"), 1))
-    known = F.array_union(F.array(*[F.lit(w) for w in STOP_WORDS]), signature(query))
-    words = F.filter(F.regexp_extract_all(clause, F.lit(r"[A-Za-z][A-Za-z'-]{2,}"), F.lit(0)), lambda w: ~F.array_contains(known, F.lower(w)))
+    known = F.array_union(F.array(*[F.lit(w) for w in STOP_WORDS]), words)
+    kept = F.filter(F.regexp_extract_all(clause, F.lit(r"[A-Za-z][A-Za-z'-]{2,}"), F.lit(0)), lambda w: ~F.array_contains(known, F.lower(w)))
     capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))
-    title = F.array_join(F.transform(F.slice(words, 1, 5), capital), " ")
-    return F.when((F.size(words) >= 2) & meaningful(title, sentence), title).otherwise("")
+    title = F.array_join(F.transform(F.slice(kept, 1, 5), capital), " ")
+    return F.when((F.size(kept) >= 2) & meaningful(title, sentence), title).otherwise("")
+
+
+def title_from_sentence(sentence: Column, query: Column) -> Column:
+    return title_without(sentence, signature(query))
 
 
 def rotated(items: Column, by: Column) -> Column:

@@ -1,16 +1,18 @@
-"""Definitions that a text holds, as Spark columns."""
+"""Definitions and subtopics that a text holds."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rules import meaningful
+from .rules import meaningful, title_without
 from .text import normalize_space, tokenize, usable_sentences
 
 # Fixed values that results depend on.
 DEFINES = r"^([A-Z][A-Za-z0-9][A-Za-z0-9\s&/\-(),]{2,80}?)\s+(?:is|are|was|were|refers to|describes|means|represents)\s+.+"
-DEFINITIONS = 6
+DEFINITIONS, SUBTOPICS = 6, 4
+#: Sentences after the first that may give a subtopic, and the words that one needs.
+SUBTOPIC_SENTENCES, SUBTOPIC_WORDS = 9, 6
 
 
 def first_of_each(rows: Column, field: str) -> Column:
@@ -29,3 +31,32 @@ def definitions(title: Column, content: Column) -> Column:
     named = F.filter(named, lambda x: F.size(tokenize(x["term"])).between(1, 8))
     rows = F.filter(F.concat(head, named), lambda x: meaningful(x["term"], x["description"]))
     return F.slice(first_of_each(rows, "term"), 1, DEFINITIONS)
+
+
+def subtopics(rows: DataFrame) -> DataFrame:
+    """query_id, doc_id, subtopics: up to four of {title, summary} of each row of rows(query_id,
+    doc_id, title, content, words, focus), words and focus being the query's. The second to the tenth
+    sentence, those with most focus words and detail first, give a title each of what the query lacks;
+    a text that gives none has its own title as context. One row for each sentence, so
+    no expression grows with the number of sentences. Null or empty texts: no row."""
+    by = ["query_id", "doc_id"]
+    told = rows.select(*by, normalize_space(F.col("title")).alias("title"), "words", "focus", F.posexplode(usable_sentences(F.col("content"))).alias("n", "sentence"))
+    told = told.where(F.col("n") <= SUBTOPIC_SENTENCES).withColumns({"sentence": F.trim("sentence"), "said": F.array_distinct(tokenize(F.col("sentence")))})
+    later = told.where((F.col("n") > 0) & (F.size("said") >= SUBTOPIC_WORDS))
+    share = F.size(F.array_intersect("said", "focus")) / F.greatest(F.size("focus"), F.lit(1))
+    later = later.withColumns({"score": share * 1.3 + F.least(F.size("said") / 22, F.lit(1.0)), "label": title_without(F.col("sentence"), F.col("words"))}).where("label <> ''")
+    first = Window.partitionBy(*by, F.lower("label")).orderBy(F.desc("score"), "n")
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "n")
+    later = later.withColumn("k", F.row_number().over(first)).where("k = 1").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SUBTOPICS)
+    found = later.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col("label").alias("title"), F.col("sentence").alias("summary")))), lambda x: x.dropFields("place")).alias("subtopics"))
+    own = F.concat(F.lit("Context for "), F.col("title"))
+    context = told.where((F.col("n") == 0) & (F.col("title") != "")).where(meaningful(own, F.col("sentence"))).select(*by, F.array(F.struct(own.alias("title"), F.col("sentence").alias("summary"))).alias("own"))
+    return found.join(context, by, "full").select(*by, F.coalesce("subtopics", "own").alias("subtopics"))
+
+
+def structured(rows: DataFrame) -> DataFrame:
+    """rows with definitions and subtopics, empty where there are none."""
+    found = subtopics(rows)
+    none = F.array().cast(found.schema["subtopics"].dataType)
+    out = rows.withColumn("definitions", definitions(F.col("title"), F.col("content"))).join(found, ["query_id", "doc_id"], "left")
+    return out.withColumn("subtopics", F.coalesce("subtopics", none))
