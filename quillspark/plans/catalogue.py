@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, sets, structure, text, web
-from ..operators import archetypes, clusters, concepts, feedback, frontier, latent, merge, selection
+from ..operators import archetypes, book, clusters, concepts, feedback, frontier, latent, merge, selection
 from ..operators.staging import small, stage
 from . import oracles as O  # noqa: N812, E741
 
@@ -624,3 +624,9 @@ def archetype_cascade(spark, sf_dir):
 @query()
 def canonical_labels(spark, sf_dir):
     return archetypes.canonical_labels(_topic_texts(spark, sf_dir), _ranked_texts(spark, sf_dir, archetypes.LABEL_ROWS))
+
+
+@query()
+def book_assembly(spark, sf_dir):
+    """Ten chapters for each topic, from the sources that the search chose."""
+    return book.assemble(_topic_texts(spark, sf_dir), _chosen(spark, sf_dir))
