@@ -1,21 +1,22 @@
 """Main text of web pages by a site style tree.
 
 Pages of one host are merged into a style tree: a node is a path of elements (tag with its class
-and id words), with counts of the presentations (sequences of child tags) and contents (digests of
-text) that its pages show there. The tree is never built in one task; its nodes are the rows of an
+and id words, those with digits left out), with counts of the presentations (sequences of child tags) and contents
+(digests of text) that its pages show there. The tree is never built in one task; its nodes are the rows of an
 aggregate over (host, path, content), summed before the shuffle, so a host with a third of all
-pages costs no more than its distinct nodes. The importance of a node is
+pages costs no more than its distinct nodes. Both kinds of a node have an effective share of different
+values, exp(entropy) / n for its n showings: 1 if all differ, 1 / n if all are one. With UNSEEN further
+showings that all differ, which only matter to a node that few pages show, the importance of a node is
 
-  prior(role) * (0.9 * entropy of its contents + 0.1 * entropy of its presentations)
+  prior(role) * (0.9 * share of its contents + 0.1 * share of its presentations)
 
-with entropies divided by that of all pages being different. A content that a node shows on many
-pages has importance prior * (1 - log(pages with it) / log(pages of the host)). Branches and
-contents below the threshold go, inside and outside of article and main elements. Those elements
-only raise the prior, so that a passage must be on nearly all pages of its site to go. Elements that
-name themselves menu, header, footer, sidebar, notice, advert, form or comments have a prior so low
-that they always go.
+Text at nodes below the threshold goes, whoever they are: no block goes without its node's importance. Roles
+only set the prior. Elements that name themselves menu, header, footer, sidebar, notice, advert, form or comments have
+a low one, as reader comments differ on every page; article and main elements have a high one. Without
+any name, nodes go for what they repeat. A content goes on its own, wherever it is, if it fills
+so many pages of its host that prior * (1 - log(pages with it) / log(pages + UNSEEN)) is below the content threshold.
 
-The unimportant nodes of a host are few (each fills a large share of its pages) and travel to the
+The nodes of a host that go are bounded by its templates, and travel to the
 pages in a join on the host, whose page side adaptive execution can split.
 
 Defined results: null html gives the empty text; a null or odd url is the host ""; a page without
@@ -50,7 +51,7 @@ AWAY_TAGS = frozenset("nav footer aside form dialog button menu head".split())
 AWAY_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo comment comments disqus reply replies cookie cookies consent gdpr notice popup modal newsletter subscribe share sharing social related login signup search pagination pager skip toolbar dialog alert".split())
 HEAD_WORDS = frozenset("header masthead".split())
 
-THRESHOLD, AWAY_PRIOR, MAIN_PRIOR, LEAST_PAGES = 0.2, 0.1, 2.0, 5
+THRESHOLD, CONTENT_THRESHOLD, AWAY_PRIOR, MAIN_PRIOR, UNSEEN = 0.7, 0.2, 0.1, 2.0, 10.0
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW.split()) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -62,8 +63,8 @@ WORDS = re.compile(r"[a-z0-9]+")
 class Page:
     """Walks a page and yields its blocks: path, away (by role), whether inside main, text."""
 
-    def __init__(self, source: str):
-        self.source = source
+    def __init__(self, source: str, names: bool = True):
+        self.source, self.names = source, names
         self.styles: Counter = Counter()
 
     def blocks(self) -> Iterator[tuple[str, bool, bool, str]]:
@@ -109,7 +110,7 @@ class Page:
                 for n in NAMES.finditer(m[4]):
                     words.update(WORDS.findall((n[1] or n[2] or n[3] or "").lower()))
             away = tag in AWAY_TAGS or not words.isdisjoint(AWAY_WORDS) or (not top[3] and (tag == "header" or not words.isdisjoint(HEAD_WORDS)))
-            if tag in MAIN or tag == "body":
+            if not self.names or tag in MAIN or tag == "body":
                 away = False
             if is_block or away:
                 if got := flush():
@@ -130,7 +131,7 @@ class Page:
                 inside = True
             else:
                 inside = top[3]
-            path = f"{top[1]}/{tag}" + ("." + ".".join(sorted(words)) if words else "") if not (is_block is False and not away) else top[1]
+            path = f"{top[1]}/{tag}" + "".join(f".{w}" for w in sorted(words) if w.isalpha()) if not (is_block is False and not away) else top[1]
             stack.append((tag, path, top[2] or away, inside))
             kids.append([])
         if got := flush():
@@ -148,7 +149,7 @@ def host(url: Column) -> Column:
     return found
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
     """host, path, content (or style), value, away, inside, n: what the pages of a host show at a
     node, a content once for each page; and a row with null path for the pages themselves."""
     rows = pages.select(host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -158,7 +159,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         for b in batches:
             seen: Counter = Counter()
             for h, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                page = Page(source)
+                page = Page(source, names)
                 seen.update({(h, digest(path), away, inside, True, digest(path, text)) for path, away, inside, text in page.blocks()})
                 for (path, style), n in page.styles.items():
                     seen[(h, digest(path), False, False, False, digest(style))] += n
@@ -170,43 +171,36 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return rows.mapInArrow(run, "host string, path long, away boolean, inside boolean, content boolean, value long, n long").groupBy("host", "path", "content", "value").agg(F.max("away").alias("away"), F.max("inside").alias("inside"), F.sum("n").alias("n"))
 
 
-def unimportant(tree: DataFrame, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
+def unimportant(tree: DataFrame, threshold: float = THRESHOLD, content_threshold: float = CONTENT_THRESHOLD) -> DataFrame:
     """host, nodes: digests of the paths, and of the contents at paths, whose importance is too low."""
     hosts = tree.where("path is null").select("host", F.col("n").alias("pages"))
     tree = tree.where("path is not null")
-    plogp = F.col("n") * F.log("n")
     nodes = tree.groupBy("host", "path").agg(
-        *[F.sum(F.when(F.col("content") == c, x)).alias(f"{k}_{a}") for c, k in ((True, "content"), (False, "style")) for a, x in (("n", F.col("n")), ("nlogn", plogp))],
+        *[F.sum(F.when(F.col("content") == c, x)).alias(f"{k}_{a}") for c, k in ((True, "content"), (False, "style")) for a, x in (("n", F.col("n")), ("nlogn", F.col("n") * F.log("n")))],
         F.max("away").alias("away"), F.max("inside").alias("inside"))
-
-    def entropy(kind: str) -> Column:
-        n, s = F.col(f"{kind}_n"), F.col(f"{kind}_nlogn")
-        return F.when(n > 1, (F.log(n) - s / n) / F.log(n)).otherwise(F.lit(1.0))
-
+    different = lambda kind: F.coalesce(F.exp(-F.col(f"{kind}_nlogn") / (F.col(f"{kind}_n") + UNSEEN)), F.lit(1.0))
     prior = F.when(F.col("away"), F.lit(AWAY_PRIOR)).when(F.col("inside"), F.lit(MAIN_PRIOR)).otherwise(F.lit(1.0))
-    importance = prior * (0.9 * entropy("content") + 0.1 * F.coalesce(entropy("style"), F.lit(1.0)))
-    branches = nodes.where((F.col("content_n") >= least_pages) & (importance < threshold)).select("host", F.col("path").alias("node"))
-    counts = tree.where(F.col("content") & (F.col("n") >= least_pages)).join(hosts, "host")
-    raised = F.when(F.col("inside"), F.lit(MAIN_PRIOR)).otherwise(F.lit(1.0))  # what names itself away goes without a rule
-    leaves = counts.where(~F.col("away") & (raised * (1 - F.log("n") / F.log("pages")) < threshold)).select("host", F.col("value").alias("node"))
+    importance = prior * (0.9 * different("content") + 0.1 * different("style"))
+    branches = nodes.where(F.col("content_n").isNotNull() & (importance < threshold)).select("host", F.col("path").alias("node"))
+    filled = prior * (1 - F.log("n") / F.log(F.col("pages") + UNSEEN))
+    leaves = tree.where(F.col("content") & ~F.col("away")).join(hosts, "host").where(filled < content_threshold).select("host", F.col("value").alias("node"))
     return branches.unionByName(leaves).groupBy("host").agg(F.collect_set("node").alias("nodes"))
 
 
-def page_text(source: str, nodes: frozenset[int]) -> str:
-    blocks = ((path, text) for path, away, _, text in Page(source).blocks() if not away)
-    return "\n\n".join(text for path, text in blocks if not nodes or (digest(path) not in nodes and digest(path, text) not in nodes))
+def page_text(source: str, nodes: frozenset[int], names: bool = True) -> str:
+    return "\n\n".join(text for path, _, _, text in Page(source, names).blocks() if digest(path) not in nodes and digest(path, text) not in nodes)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for each page."""
-    rules = stage(unimportant(stage(style_tree(pages, url_col, html_col), "style-tree")), "style-rules").withColumnRenamed("host", "_host")
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars for each page. names: whether what elements call themselves is a prior."""
+    rules = stage(unimportant(stage(style_tree(pages, url_col, html_col, names), "style-tree")), "style-rules").withColumnRenamed("host", "_host")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host(F.col(url_col)).alias("host"))
     rows = rows.join(rules, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "nodes")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [page_text(h, frozenset(n or ())) for h, n in zip(b.column("html").to_pylist(), b.column("nodes").to_pylist(), strict=True)]
+            texts = [page_text(h, frozenset(n or ()), names) for h, n in zip(b.column("html").to_pylist(), b.column("nodes").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     types = dict(rows.dtypes)

@@ -252,6 +252,42 @@ def test_style_tree_decides_inside_and_outside_articles(spark):
     assert all(r["text"] == "Title {0}\n\nBody {0}\n\nTwice on few pages {1}\n\nStory {0}".format(r["page_id"], r["page_id"] // 2) for r in rows)
 
 
+def test_style_tree_alone_finds_what_pages_repeat(spark):
+    """Without any name of an element: most boilerplate goes, and no block of an article."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    gone = kept = 0
+    for r in htmltext.extract(pages, names=False).join(pages.select("page_id", "html"), "page_id").collect():
+        left = Counter(r["text"].split("\n\n"))
+        for _, away, _, text in sorted(htmltext.Page(r["html"]).blocks(), key=lambda x: x[1]):  # a menu may name the article
+            here = left[text] > 0
+            left[text] -= here
+            assert here or away
+            gone, kept = gone + (away and not here), kept + (away and here)
+    assert gone >= 0.75 * (gone + kept)
+
+
+def test_importance_equals_brute_force(spark):
+    rng = random.Random(12)
+    pages = [(i, f"https://h{i % 3}.example/{i}", "<body>" + "".join(f"<div class=c{'abcd'[rng.randrange(4)]}><p>{rng.choice(['x', 'y', str(rng.randrange(40))])}</p></div>" for _ in range(6)) + f"<article><p>t{rng.randrange(9)}</p></article><nav>n{i}</nav></body>") for i in range(30)]
+    tree, styles, roles, own = defaultdict(Counter), defaultdict(Counter), {}, Counter()
+    for _, url, source in pages:
+        h, page = url.split("/")[2], htmltext.Page(source)
+        own[h] += 1
+        for path, away, inside, text in set(page.blocks()):
+            tree[h, path][text] += 1
+            roles[h, path] = 0.1 if away else 2.0 if inside else 1.0
+        for (path, style), n in page.styles.items():
+            styles[h, path][style] += n
+    share = lambda c: math.exp(-sum(n * math.log(n) for n in c.values()) / (sum(c.values()) + 10)) if c else 1.0
+    want = defaultdict(set)
+    for (h, path), contents in tree.items():
+        if roles[h, path] * (0.9 * share(contents) + 0.1 * share(styles[h, path])) < 0.7:
+            want[h].add(htmltext.digest(path))
+        want[h] |= {htmltext.digest(path, t) for t, n in contents.items() if roles[h, path] != 0.1 and roles[h, path] * (1 - math.log(n) / math.log(own[h] + 10)) < 0.2}
+    rows = htmltext.unimportant(htmltext.style_tree(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    assert {r["host"]: set(r["nodes"]) for r in rows} == want and all(len(v) > 1 for v in want.values())
+
+
 # ---------------------------------------------------------------- segments
 
 THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
