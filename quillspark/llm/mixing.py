@@ -92,6 +92,9 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance
         later = stage(now.withColumn("lam", step).withColumn("met", F.col("hit")).drop("f", "h", "hit"), "mix-dual")
         forget(spark, state)
         state = later
+    else:
+        if not state.where("not met").isEmpty():
+            raise ArithmeticError(f"a source misses its target after {iterations} Newton steps")
     forget(spark, counts)
     # A rounded multiplier: sums taken in another order on a rerun give the same rates.
     return state.select("sid", "source", "source_size", "n_docs", "target", "scale", F.round("lam", 9).alias("lam"))

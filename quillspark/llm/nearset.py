@@ -685,7 +685,7 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five words, 0.8), that with the smallest id, and
     all without near copies; the columns of docs, under any name.
 
-    Defined results: rows are told apart by a hash of id and text, so rows that share an id are
+    Defined results: rows are told apart by id and a hash of id and text, so rows that share an id are
     judged each by its own text, and null ids (largest) are judged too; of rows that repeat id and
     text one stays; documents without words all stay; an empty table gives none."""
     own = F.xxhash64("doc_id", "text")
@@ -693,9 +693,11 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stage(found.select(F.col("id").alias("sid"), "doc_id", "component_id"), "near-found")
     firsts = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("sid"))).alias("first"))
     firsts = stage(firsts.where("n > 1").select(F.col("component_id").alias("c"), F.col("first.sid").alias("first")), "near-firsts")
-    gone = stage(found.join(firsts, (F.col("component_id") == F.col("c")) & (F.col("sid") != F.col("first"))).select(F.col("sid").alias("s")).distinct(), "near-gone")
-    out = packed(docs, sid=own).join(few(gone), F.col("sid") == F.col("s"), "left_anti")
-    twice = found.groupBy("sid").count().where("count > 1").select(F.col("sid").alias("s"))
+    gone = stage(found.join(firsts, (F.col("component_id") == F.col("c")) & (F.col("sid") != F.col("first"))).select(F.col("sid").alias("s"), F.col("doc_id").alias("d")).distinct(), "near-gone")
+    # By hash and id together, so rows of different ids never decide for each other.
+    same = (F.col("sid") == F.col("s")) & F.col("id").eqNullSafe(F.col("d"))
+    out = packed(docs, sid=own, id=F.col("doc_id")).join(few(gone), same, "left_anti")
+    twice = found.groupBy("sid", "doc_id").count().where("count > 1").select(F.col("sid").alias("s"), F.col("doc_id").alias("d"))
     if not twice.isEmpty():
-        out = out.join(few(twice), F.col("sid") == F.col("s"), "left_anti").unionByName(out.join(few(twice), F.col("sid") == F.col("s"), "left_semi").dropDuplicates(["sid"]))
+        out = out.join(few(twice), same, "left_anti").unionByName(out.join(few(twice), same, "left_semi").dropDuplicates(["sid", "id"]))
     return unpacked(out, docs.columns)
