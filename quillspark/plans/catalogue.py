@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, sets, structure, text, web
-from ..operators import archetypes, book, clusters, concepts, feedback, frontier, latent, merge, selection
-from ..operators.staging import small, stage
+from ..operators import archetypes, book, clusters, concepts, feedback, frontier, latent, learning, merge, selection
+from ..operators.staging import shared_dir, small, stage
+from ..streaming import feedback as stream
 from . import oracles as O  # noqa: N812, E741
 
 QUERIES: dict = {}
@@ -630,3 +631,36 @@ def canonical_labels(spark, sf_dir):
 def book_assembly(spark, sf_dir):
     """Ten chapters for each topic, from the sources that the search chose."""
     return book.assemble(_topic_texts(spark, sf_dir), _chosen(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- learning from feedback
+
+
+@query(f"WITH {O.MERGED} SELECT record_id, signal, issue_tag, custom_tag, coalesce(n_chapters, 0) AS n_chapters, updated_at FROM book LEFT JOIN (SELECT record_id, count(*) AS n_chapters FROM entry GROUP BY 1) USING (record_id)")
+def feedback_merged_records(spark, sf_dir):
+    rows = learning.merged(learning.patches(table(spark, sf_dir, "events")))
+    return rows.select("record_id", "signal", "issue_tag", "custom_tag", F.size("chapters").cast("long").alias("n_chapters"), "updated_at")
+
+
+def _profile(rows: DataFrame) -> DataFrame:
+    return rows.select("sample_size", "positive_signals", "negative_signals", F.array_join("dominant_issues", ",").alias("dominant_issues"), F.array_join("dominant_tags", ",").alias("dominant_tags"), *feedback.WEIGHTS, "updated_at")
+
+
+@query(O.LEARNED)
+def feedback_learned_profile(spark, sf_dir):
+    return _profile(learning.profile(learning.merged(learning.patches(table(spark, sf_dir, "events")))))
+
+
+@query(O.LEARNED)
+def feedback_stream_profile(spark, sf_dir):
+    """The same from the event log as a stream with keyed state."""
+    path = shared_dir(spark, "feedback-stream")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream.learn(events, path, f"{path}/checkpoint").awaitTermination()
+    return _profile(stream.last_profile(spark, path))
+
+
+@query(f"WITH {O.PATCHES}, {O.CHANGES} SELECT record_id, event_id FROM changed")
+def feedback_appended_events(spark, sf_dir):
+    return learning.appended(learning.patches(table(spark, sf_dir, "events")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from ..functions import lexicon, rules
 from ..functions import text as T
 from ..functions import web
-from ..operators import feedback, frontier
+from ..operators import feedback, frontier, learning
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
 
@@ -230,3 +230,37 @@ def _align(name: str) -> str:
 ALIGNMENT = (
     f"WITH d AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS t, regexp_extract_all(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), {q(T.TOKEN)}) AS w FROM documents) "
     + " UNION ALL ".join(_align(n) for n in lexicon.PROFILES))
+
+
+# ---------------------------------------------------------------- learning from feedback
+
+_list = lambda items: "[" + ", ".join(q(x) for x in items) + "]"
+PATCHES = f"""
+raw AS (SELECT user_id AS record_id, ts, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+patch AS (SELECT record_id, ts, event_id, CASE WHEN k >= {learning.BOOK_BELOW} THEN k % {learning.CHAPTERS} END AS chapter, CASE WHEN event_type IN ('purchase', 'signup') THEN 'positive' WHEN event_type = 'error' THEN 'negative' END AS signal,
+  CASE WHEN event_type = 'click' THEN {_list(feedback.TAG_DELTAS)}[k % {len(feedback.TAG_DELTAS)} + 1] END AS issue_tag, CASE WHEN event_type = 'view' THEN {_list(learning.FREE_TAGS)}[k % {len(learning.FREE_TAGS)} + 1] END AS custom_tag FROM raw)"""
+_last = lambda c: f"arg_max({c}, (ts, event_id)) FILTER (chapter IS NULL AND {c} IS NOT NULL) AS {c}"
+MERGED = f"""{PATCHES},
+book AS (SELECT record_id, {', '.join(_last(c) for c in learning.FIELDS)}, max(ts) AS updated_at FROM patch GROUP BY 1),
+entry AS (SELECT record_id, chapter, signal, issue_tag, custom_tag FROM (SELECT *, row_number() OVER (PARTITION BY record_id, chapter ORDER BY ts DESC, event_id DESC) AS n FROM patch WHERE chapter IS NOT NULL) WHERE n = 1)"""
+_clean = lambda c: f"substring(regexp_replace(trim({c}), '\\s+', ' ', 'g'), 1, 48)"
+_thousandths = lambda table: ", ".join(f"({q(k)}, {q(w)}, {round(1000 * d)})" for k, ds in table for w, d in ds.items())
+_SIGNAL_DELTAS = [("+", feedback.POSITIVE_DELTAS), ("-", feedback.NEGATIVE_DELTAS), ("c+", learning.CHAPTER_POSITIVE), ("c-", learning.CHAPTER_NEGATIVE)]
+LEARNED = f"""WITH {MERGED},
+said AS (SELECT record_id, NULL AS chapter, signal, issue_tag, custom_tag FROM book UNION ALL SELECT record_id, chapter, signal, issue_tag, custom_tag FROM entry),
+issue AS (SELECT DISTINCT record_id, issue_tag AS tag FROM said WHERE issue_tag IS NOT NULL),
+custom AS (SELECT DISTINCT record_id, {_clean('custom_tag')} AS tag FROM said WHERE custom_tag IS NOT NULL),
+counted AS (SELECT record_id FROM said WHERE signal IS NOT NULL OR issue_tag IS NOT NULL OR custom_tag IS NOT NULL GROUP BY 1),
+marks AS (SELECT tag AS mark FROM issue UNION ALL SELECT CASE WHEN chapter IS NULL THEN '' ELSE 'c' END || CASE signal WHEN 'positive' THEN '+' ELSE '-' END FROM said WHERE signal IS NOT NULL),
+deltas(mark, weight, d) AS (VALUES {_thousandths([*feedback.TAG_DELTAS.items(), *_SIGNAL_DELTAS])}),
+rule(pattern, weight, d) AS (VALUES {_thousandths([(p, {w: n / 100 for w, n in ds.items()}) for p, ds in rules.TAG_RULES])}),
+sums AS (SELECT weight, sum(d) AS d FROM (SELECT weight, d FROM marks JOIN deltas USING (mark) UNION ALL SELECT weight, d FROM custom JOIN rule ON regexp_matches(lower(tag), pattern)) GROUP BY 1)
+SELECT (SELECT count(*) FROM counted) AS sample_size, (SELECT count(*) FROM said WHERE signal = 'positive') AS positive_signals, (SELECT count(*) FROM said WHERE signal = 'negative') AS negative_signals,
+ (SELECT string_agg(tag, ',' ORDER BY n DESC, praise, tag) FROM (SELECT tag, count(*) AS n, tag IN ({', '.join(q(t) for t in feedback.POSITIVE_TAGS)}) AS praise FROM issue GROUP BY tag ORDER BY n DESC, praise, tag LIMIT {learning.DOMINANT_ISSUES})) AS dominant_issues,
+ (SELECT string_agg(tag, ',' ORDER BY n DESC, lower(tag)) FROM (SELECT min(tag) AS tag, count(*) AS n FROM custom GROUP BY lower(tag) ORDER BY n DESC, lower(min(tag)) LIMIT {learning.DOMINANT_TAGS})) AS dominant_tags,
+ {', '.join(f"round(greatest({feedback.LOW}::DOUBLE, least({feedback.HIGH}::DOUBLE, 1 + coalesce((SELECT d FROM sums WHERE weight = {q(w)}), 0) / 1000::DOUBLE)), 3) AS {w}" for w in feedback.WEIGHTS)},
+ (SELECT max(updated_at) FROM book JOIN counted USING (record_id)) AS updated_at"""
+_before = lambda c: f"last_value(CASE WHEN chapter IS NULL THEN {c} END IGNORE NULLS) OVER (PARTITION BY record_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b_{c}, lag({c}) OVER (PARTITION BY record_id, chapter ORDER BY ts, event_id) AS e_{c}"
+CHANGES = f"""steps AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY record_id, chapter ORDER BY ts, event_id) AS m, {', '.join(_before(c) for c in learning.FIELDS)} FROM patch),
+changed AS (SELECT record_id, event_id FROM steps WHERE n = 1 OR (chapter IS NULL AND ({' OR '.join(f'({c} IS NOT NULL AND {c} IS DISTINCT FROM b_{c})' for c in learning.FIELDS)}))
+  OR (chapter IS NOT NULL AND (m = 1 OR {' OR '.join(f'{c} IS DISTINCT FROM e_{c}' for c in learning.FIELDS)})))"""
