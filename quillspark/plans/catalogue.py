@@ -203,30 +203,57 @@ def pairwise_redundancy(spark, sf_dir):
     return _frontier_pairs(_ranked_sources(spark, sf_dir)).groupBy("query_id").agg(F.round(F.avg(sets.jaccard(F.col("x.words"), F.col("y.words"))), 6).alias("redundancy"))
 
 
+def _structured_sources(spark, sf_dir) -> DataFrame:
+    """The frontier with words, and the definitions and subtopics of its rows as concepts and structure."""
+    docs, topics = _sources(spark, sf_dir), stage(frontier.topics(table(spark, sf_dir, "benchmark")), "topics")
+    ranked = frontier.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    ids = small(stage(ranked.select("doc_id").distinct(), "ranked-ids"))
+    rows = docs.join(ids, "doc_id", "left_semi").withColumn("signature", text.signature(F.col("content"))).join(ranked, "doc_id").join(small(topics), "query_id")
+    rows = structure.structured(rows)
+    names = F.concat(F.transform("definitions", lambda d: d["term"]), F.transform("subtopics", lambda t: t["title"]))
+    keys = F.array_distinct(F.filter(F.transform(names, text.term_key), lambda k: k != ""))
+    return stage(rows.withColumn("n_structure", F.size("definitions") + F.size("subtopics")).withColumn("concepts", keys).withColumn("asked", F.col("words")).withColumn("words", F.col("signature")).drop("signature"), "structured")
+
+
+def _rewards(spark, sf_dir) -> dict[str, float]:
+    """The learned reward weights: nine numbers."""
+    row = learning.profile(learning.merged(learning.patches(table(spark, sf_dir, "events")))).first()
+    return {w: row[w] for w in feedback.WEIGHTS}
+
+
 @query()
 def greedy_selection(spark, sf_dir):
-    focus = frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", "focus")
-    return selection.greedy(_ranked_sources(spark, sf_dir).join(focus, "query_id"))
+    return selection.greedy(_structured_sources(spark, sf_dir))
 
 
 @query()
 def evolve_selection(spark, sf_dir):
-    focus = frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", "focus")
-    return selection.evolve(_ranked_sources(spark, sf_dir).join(focus, "query_id"))
+    return selection.evolve(_structured_sources(spark, sf_dir), rewards=_rewards(spark, sf_dir))
+
+
+@query()
+def structured_fitness(spark, sf_dir):
+    """The fitness of the set that the search chose for each topic, with its structure."""
+    rows, rewards = _structured_sources(spark, sf_dir), _rewards(spark, sf_dir)
+    picks = stage(selection.evolve(rows, rewards=rewards), "picks")
+    members = rows.join(picks.select("query_id", "doc_id"), ["query_id", "doc_id"]).withColumns({"set_id": F.col("query_id"), "place": F.col("rank")})
+    return selection.fitness(members, rows.groupBy("query_id").agg(F.first("focus").alias("focus")), rewards)
 
 
 @query(f"""WITH {O.RANKED}, m AS MATERIALIZED (SELECT *, query_id * 4 + (rank - 1) // 6 AS set_id, list_distinct(l) AS w, [x for x, i in long if list_position(long, x) = i][1:6] AS k
  FROM (SELECT *, [x for x in l if length(x) > 8] AS long FROM (SELECT r.*, {O.content(O.tok('text'))} AS l FROM ranked r JOIN documents USING (doc_id)))),
 o AS (SELECT *, flatten(list(k) OVER (PARTITION BY set_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS seen FROM m),
-s AS (SELECT set_id, query_id, avg(relevance) AS r, avg(informative) AS i, avg(authority) AS a, avg(spam) AS x, avg(CASE WHEN len(k) > 0 THEN 1 - len(list_intersect(k, coalesce(seen, []))) / len(k)::DOUBLE ELSE 0.55::DOUBLE END) AS d, list_distinct(flatten(list(w))) AS w FROM o GROUP BY 1, 2),
+s AS (SELECT set_id, query_id, avg(relevance) AS r, avg(informative) AS i, avg(authority) AS a, avg(spam) AS x, avg(coherence) AS h, avg(CASE WHEN len(k) > 0 THEN 1 - len(list_intersect(k, coalesce(seen, []))) / len(k)::DOUBLE ELSE 0.55::DOUBLE END) AS d, list_distinct(flatten(list(w))) AS w FROM o GROUP BY 1, 2),
 p AS (SELECT a.set_id, avg(len(list_intersect(a.w, b.w)) / greatest(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)), 1)::DOUBLE) AS j FROM m a JOIN m b ON a.set_id = b.set_id AND a.rank < b.rank GROUP BY 1),
 f AS (SELECT s.*, coalesce(j, 0.0::DOUBLE) AS j, CASE WHEN len(fw) > 0 THEN len(list_intersect(w, fw)) / len(fw)::DOUBLE ELSE 1.0::DOUBLE END AS c FROM s LEFT JOIN p USING (set_id) JOIN fset USING (query_id))
-SELECT set_id, query_id, round(round(c, 12), 6) AS coverage, round(round(d, 12), 6) AS concept_diversity, round(round(1 - j, 12), 6) AS pairwise_diversity,
- round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (r * 0.25::DOUBLE + i * 0.20::DOUBLE + a * 0.18::DOUBLE + c * 0.14::DOUBLE + d * 0.13::DOUBLE) * (0.65::DOUBLE + 0.35::DOUBLE * (1 - j)) + 0.55::DOUBLE * 0.035::DOUBLE - x * 0.055::DOUBLE)), 12), 6) AS total FROM f""")
+SELECT set_id, query_id, round(round(c, 12), 6) AS coverage, round(round(d, 12), 6) AS concept_diversity, round(round(1 - j, 12), 6) AS pairwise_diversity, 0.0::DOUBLE AS structure,
+ round(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (r * 0.25::DOUBLE * w_r + i * 0.20::DOUBLE * w_e + a * 0.18::DOUBLE * w_a + c * 0.14::DOUBLE * w_c + d * 0.13::DOUBLE * w_d) / (0.25::DOUBLE * w_r + 0.20::DOUBLE * w_e + 0.18::DOUBLE * w_a + 0.14::DOUBLE * w_c + 0.13::DOUBLE * w_d + 0.10::DOUBLE * w_s)
+   * (0.65::DOUBLE + 0.35::DOUBLE * (1 - j)) * (0.88::DOUBLE + 0.12::DOUBLE * w_n) + h * 0.035::DOUBLE * w_h - x * 0.055::DOUBLE)), 12), 6) AS total
+FROM f, (SELECT relevance AS w_r, evidenceDensity AS w_e, authority AS w_a, coverage AS w_c, diversity AS w_d, structure AS w_s, antiRedundancy AS w_n, coherence AS w_h FROM ({O.LEARNED}))""")
 def fitness_of_individuals(spark, sf_dir):
     rows = _ranked_sources(spark, sf_dir)
     members = rows.withColumn("set_id", F.col("query_id") * 4 + F.floor((F.col("rank") - 1) / 6)).withColumn("place", F.col("rank"))
-    return selection.fitness(members, frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", "focus"))
+    return selection.fitness(members, frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", "focus"), _rewards(spark, sf_dir))
 
 
 _GRAMS = "list_distinct([substring(t, i, 4) for i in range(1, greatest(length(t) - 3, 0) + 1)])"
@@ -579,13 +606,9 @@ def subtopic_tree(spark, sf_dir):
 
 def _chosen(spark, sf_dir) -> DataFrame:
     """The sources that the search chooses for each topic, with their texts, definitions and subtopics."""
-    words = stage(frontier.topics(table(spark, sf_dir, "benchmark")).select("query_id", "words", "focus"), "topics")
-    ranked = stage(_ranked_sources(spark, sf_dir), "ranked")
-    picks = stage(selection.evolve(ranked.join(small(words.select("query_id", "focus")), "query_id")), "picks")
-    ids = small(stage(picks.select("doc_id").distinct(), "pick-ids"))
-    rows = _sources(spark, sf_dir).join(ids, "doc_id", "left_semi").join(picks.select("query_id", "doc_id", "place"), "doc_id")
-    rows = rows.join(ranked.select("query_id", "doc_id", "relevance", "informative", "authority"), ["query_id", "doc_id"]).join(small(words), "query_id")
-    return stage(structure.structured(rows), "chosen")
+    rows = _structured_sources(spark, sf_dir)
+    picks = stage(selection.evolve(rows, rewards=_rewards(spark, sf_dir)), "picks")
+    return stage(rows.join(picks.select("query_id", "doc_id", "place"), ["query_id", "doc_id"]), "chosen")
 
 
 @query()

@@ -85,6 +85,22 @@ def test_search_keeps_the_best_and_stops():
     assert pool.fitness(chosen) >= best
 
 
+def test_fitness_equals_the_search_on_random_sets(spark):
+    rng = random.Random(3)
+    words = lambda n: rng.sample("abcdefghijklmnop", n)
+    rewards = {"relevance": 1.2, "evidenceDensity": 0.9, "diversity": 1.1, "structure": 1.35, "antiRedundancy": 0.82, "coherence": 1.3}
+    for given in (None, rewards):
+        rows = [(s, s, p, *(round(rng.random(), 4) for _ in range(5)), rng.randrange(12), words(6), words(rng.randrange(4)), list("abcdef")[: s + 1]) for s in range(4) for p in range(rng.randrange(1, 6))]
+        table = spark.createDataFrame(rows, "set_id long, query_id long, place long, relevance double, informative double, authority double, spam double, coherence double, n_structure long, words array<string>, concepts array<string>, focus array<string>")
+        focus = table.groupBy("query_id").agg(F.first("focus").alias("focus"))
+        got = {r["set_id"]: r for r in selection.fitness(table.drop("focus"), focus, given).collect()}
+        for s in range(4):
+            pool = selection.Pool(table.where(F.col("set_id") == s).orderBy("place").toPandas(), given)
+            assert abs(got[s]["total"] - pool.fitness(list(range(pool.n)))) <= 2e-6
+            own = [r for r in rows if r[0] == s]
+            assert abs(got[s]["structure"] - min(1.0, sum(r[8] for r in own) / (8 * len(own)))) <= 1e-6
+
+
 def test_reward_profile(spark):
     recs = spark.createDataFrame([(1, "positive", ["too_generic"]), (2, "negative", ["too_generic", "repetitive"])], "record_id long, signal string, tags array<string>")
     got = {r["weight"]: r["value"] for r in feedback.reward_profile(recs).collect()}
