@@ -60,9 +60,9 @@ def dominant_issues(recs: DataFrame, most: int = 3) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Upsert: the latest version of each key."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Upsert: the latest version of each key; versions combine before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(key, "x.*").select(*rows.columns)
 
 
 def new_events(log: DataFrame, incoming: DataFrame, key: str = "event_id") -> DataFrame:

@@ -5,24 +5,48 @@ Rows carry `pos`, their place in the result list of a query; it breaks every tie
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key; candidates combine before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("x"))
+    return best.select(*[F.col(c) if c in keys else F.col("x").getField(c).alias(c) for c in rows.columns])
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their number from 1 in each group. Rows are dealt by range of group and order, numbered in
+    each range and moved by the sizes of the ranges before it, so a large group is spread over tasks."""
+    dealt = stage(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_part") == F.col("_p"))
+    own = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    return dealt.withColumn("_own", own).join(moved, same).withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).select(*rows.columns, name)
 
 
 def interleave(rows: DataFrame, group: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Round robin over the groups: round and place of each row."""
-    inner = Window.partitionBy(*(by or []), group).orderBy(*order)
-    rows = rows.withColumn("round", F.row_number().over(inner))
+    """Round robin over the groups: round and place of each row. A row's place follows from its round and
+    the sizes of the groups (of null ones too): all rows of earlier rounds, and the groups before its own that reach its round."""
+    rows = numbered(rows, [*(by or []), group], order, "round")
     if not by:
         return rows
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("round", group, *order)))
+    sizes = rows.groupBy(*by, group).agg(F.max("round").alias("_n"))
+    lists = sizes.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sort_array(F.collect_list(F.struct(F.col(group).alias("g"), F.col("_n").alias("n")))).alias("_sizes"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    rows = rows.join(lists, same)
+    earlier = F.aggregate("_sizes", F.lit(0), lambda a, x: a + F.least(x["n"], F.col("round") - 1))
+    first = lambda x: F.when(x["g"].isNull(), F.col(group).isNotNull()).otherwise(F.coalesce(x["g"] < F.col(group), F.lit(False)))
+    ahead = F.size(F.filter("_sizes", lambda x: (x["n"] >= F.col("round")) & first(x)))
+    return rows.withColumn("place", (earlier + ahead + 1).cast("int")).drop("_sizes", *[f"_{c}" for c in by])
 
 
 def merge_by_key(rows: DataFrame, key: str) -> DataFrame:

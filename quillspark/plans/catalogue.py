@@ -135,6 +135,17 @@ def html_readable_text(spark, sf_dir):
     return rows.select("page_id", F.length("r").cast("long").alias("n_chars"), F.md5("r").alias("text_md5"))
 
 
+@query(f"""WITH r AS (SELECT page_id, {O.TITLE} AS title, {O.READABLE} AS text, url FROM pages WHERE page_id IN (SELECT page_id FROM ({_URL}) WHERE regexp_matches(url, '^https?://[^/?#]') AND NOT {O._INTERNAL} AND NOT regexp_matches(lower(p), '\\.({'|'.join(web.FILE_SUFFIXES)})$'))),
+s AS (SELECT page_id, unnest({O.sentences('text')}) AS s, generate_subscripts({O.sentences('text')}, 1) AS i FROM r),
+c AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY page_id ORDER BY i) - 1 AS upto FROM s),
+k AS (SELECT page_id, string_agg(s, ' ' ORDER BY i) AS t FROM c WHERE i <= 6 AND (i = 1 OR upto <= 1800) GROUP BY 1)
+SELECT page_id, title, length(substring(coalesce(t, ''), 1, 1800)) AS n_excerpt, md5(substring(coalesce(t, ''), 1, 1800)) AS excerpt_md5 FROM r LEFT JOIN k USING (page_id)""")
+def page_documents(spark, sf_dir):
+    """Title and excerpt of each stored page that a fetch would take."""
+    rows = table(spark, sf_dir, "pages").where(web.fetchable(F.col("url"))).select("page_id", web.html_title(F.col("html")).alias("title"), text.summarize(web.readable_text(F.col("html"))).alias("t"))
+    return rows.select("page_id", "title", F.length("t").cast("long").alias("n_excerpt"), F.md5("t").alias("excerpt_md5"))
+
+
 @query(f"""SELECT page_id, round(greatest(0.40::DOUBLE, least(0.99::DOUBLE, 0.48::DOUBLE + CASE WHEN contains(h, 'wikipedia.org') THEN 0.38::DOUBLE WHEN h LIKE '%.gov' THEN 0.28::DOUBLE WHEN h LIKE '%.edu' THEN 0.24::DOUBLE WHEN h LIKE '%.org' THEN 0.16::DOUBLE WHEN h LIKE '%.com' THEN 0.10::DOUBLE ELSE 0 END
  + CASE WHEN len({O.usable('r')}) >= 4 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN len({O.tok('t')}) >= 2 THEN 0.03::DOUBLE ELSE 0 END)), 4) AS authority
 FROM (SELECT page_id, {O._HOST} AS h, {O.READABLE} AS r, {O.TITLE} AS t FROM pages)""")
@@ -350,9 +361,21 @@ def feedback_event_antijoin(spark, sf_dir):
 @query("""SELECT l_returnflag, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_pop(x), 6) AS stdev, min(x) AS lowest, max(x) AS highest, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75
 FROM (SELECT l_returnflag, l_quantity AS x FROM lineitem) GROUP BY 1""")
 def metric_distribution(spark, sf_dir):
-    x = F.col("l_quantity")
+    """Quantiles from counts by value and their running sums, so no task holds the values of a group."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"))
     r = lambda c: F.round(c, 6)
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r(F.avg(x)).alias("mean"), r(F.median(x)).alias("median"), r(F.stddev_pop(x)).alias("stdev"), F.min(x).alias("lowest"), F.max(x).alias("highest"), r(F.percentile(x, 0.25)).alias("p25"), r(F.percentile(x, 0.75)).alias("p75"))
+    counts = rows.groupBy("l_returnflag", "x").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("l_returnflag")
+    counts = counts.withColumns({"upto": F.sum("n").over(by.orderBy("x")), "all": F.sum("n").over(by)})
+
+    def quantile(p: float):
+        at = (F.col("all") - 1) * p
+        value = lambda i: F.min(F.when(F.col("upto") > i, F.col("x")))
+        return value(F.floor(at)) + (value(F.ceil(at)) - value(F.floor(at))) * F.max(at - F.floor(at))
+
+    quantiles = counts.groupBy("l_returnflag").agg(r(quantile(0.5)).alias("median"), r(quantile(0.25)).alias("p25"), r(quantile(0.75)).alias("p75"))
+    means = rows.groupBy("l_returnflag").agg(r(F.avg("x")).alias("mean"), r(F.stddev_pop("x")).alias("stdev"), F.min("x").alias("lowest"), F.max("x").alias("highest"))
+    return means.join(quantiles, "l_returnflag").select("l_returnflag", "mean", "median", "stdev", "lowest", "highest", "p25", "p75")
 
 
 @query("""SELECT coalesce(tag, 'all') AS tag, n, round(total, 2) AS total FROM (SELECT o_orderpriority AS tag, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ()))""")
@@ -376,10 +399,14 @@ def vector_centroid_similarity(spark, sf_dir):
 
 
 
-@query(f"""WITH RECURSIVE {O.EDGES}, walk AS (SELECT a, a AS b, 0 AS d FROM edge GROUP BY a UNION SELECT w.a, e.b, w.d + 1 FROM walk w JOIN edge e ON w.b = e.a WHERE w.d < {concepts.HOPS})
-SELECT a, b, min(d) AS distance FROM walk GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE asked AS (SELECT item_id AS query_id, {O.flat('text')} AS qs, {O.words_of(O.flat('text'))} AS qw FROM benchmark), {O.SEEDS},
+walk AS (SELECT query_id, node AS concept, 0 AS d FROM g_seed UNION SELECT query_id, e.b, w.d + 1 FROM walk w JOIN edge e ON w.concept = e.a WHERE w.d < {concepts.HOPS})
+SELECT query_id, concept, min(d) AS distance FROM walk GROUP BY 1, 2""")
 def graph_distance(spark, sf_dir):
-    return concepts.distances(spark)
+    """How far each concept is from those that a topic names."""
+    topics = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), _lower(F.col("text")).alias("text"))
+    near = concepts.seeds(topics).withColumnRenamed("node", "a").join(F.broadcast(concepts.distances(spark)), "a")  # pairs of the fixed lexicon
+    return near.groupBy(F.col("key").alias("query_id"), F.col("b").alias("concept")).agg(F.min("distance").alias("distance"))
 
 
 @query()

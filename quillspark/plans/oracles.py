@@ -111,10 +111,16 @@ def words_of(x: str) -> str:
     return f"list_distinct(regexp_extract_all({x}, {q(T.TOKEN)}))"
 
 
-#: gw: the words of concepts within one step of those that a query names.
-GRAPH = f"""{EDGES}, names(alias, node) AS (VALUES {', '.join(f'({q(a)}, {q(n)})' for a, n in _NAMES)}),
+def flat(x: str) -> str:
+    return f"lower(trim(regexp_replace(coalesce({x}, ''), '\\\\s+', ' ', 'g')))"
+
+
+#: g_seed: the concepts that asked(query_id, qs, qw) name.
+SEEDS = f"""{EDGES}, names(alias, node) AS (VALUES {', '.join(f'({q(a)}, {q(n)})' for a, n in _NAMES)}),
 g_first AS (SELECT DISTINCT query_id, node FROM asked JOIN (SELECT *, {words_of('alias')} AS aw FROM names) ON contains(qs, alias) OR len(list_intersect(aw, qw)) / len(aw)::DOUBLE >= 0.8),
-g_seed AS (SELECT * FROM g_first UNION ALL SELECT query_id, node FROM asked JOIN (SELECT DISTINCT a AS node, {words_of('a')} AS nw FROM edge) ON len(nw) > 0 AND len(list_intersect(nw, qw)) >= least(len(nw), 2) WHERE query_id NOT IN (SELECT query_id FROM g_first)),
+g_seed AS (SELECT * FROM g_first UNION ALL SELECT query_id, node FROM asked JOIN (SELECT DISTINCT a AS node, {words_of('a')} AS nw FROM edge) ON len(nw) > 0 AND len(list_intersect(nw, qw)) >= least(len(nw), 2) WHERE query_id NOT IN (SELECT query_id FROM g_first))"""
+#: gw: the words of concepts within one step of those that a query names.
+GRAPH = f"""{SEEDS},
 g_ball AS (SELECT query_id, node, min(d) AS d FROM (SELECT query_id, node, 0 AS d FROM g_seed UNION ALL SELECT query_id, b, 1 FROM g_seed JOIN edge ON node = a) GROUP BY 1, 2),
 g_near AS (SELECT query_id, unnest(regexp_extract_all(node, {q(T.TOKEN)})) AS w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, length(node), node) AS n FROM g_ball) WHERE n <= 24),
 gset AS (SELECT query_id, list(DISTINCT w) AS gw FROM g_near WHERE length(w) >= 3 AND NOT list_contains({STOP}, w) GROUP BY 1)"""
