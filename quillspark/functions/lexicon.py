@@ -63,16 +63,18 @@ RELATIONS = {
     "leadership": ["public office", "policy reform"],
     "economy": ["domestic demand", "exports", "currency stability", "foreign investment"],
 }
-#: Profiles: words that a query on the topic has (all, any) and lacks (without), its phrases, and terms
+#: Profiles: terms for a second query, words that a query on the topic has (all, any) and lacks (without), its phrases, and terms
 #: that a text on the topic has and must not have.
 PROFILES = {
     "thomas_cup": {
+        "terms": ["badminton", "bwf", "men's team championship"],
         "phrases": ["thomas cup"], "all": ["thomas", "cup"], "any": [], "without": [],
         "groups": [["thomas cup", "bwf thomas cup"]],
         "positive": ["badminton", "bwf", "thomas cup", "shuttle", "shuttler", "men's team", "team championship"],
         "negative": ["fifa", "soccer", "football", "icc", "t20", "cricket", "fa cup", "efl", "league cup", "uefa"],
     },
     "fifa_world_cup_2026": {
+        "terms": ["fifa", "soccer", "national teams", "usa", "mexico", "canada"],
         "phrases": ["world cup 2026", "2026 world cup", "us world cup"], "all": ["world", "cup", "2026"],
         "any": ["us", "usa", "united", "states", "america", "fifa", "soccer", "football"], "without": ["icc", "t20", "cricket"],
         "groups": [["world cup", "fifa world cup", "2026 fifa world cup"], ["fifa", "soccer", "football", "national team", "national teams"]],
@@ -80,6 +82,7 @@ PROFILES = {
         "negative": ["icc", "t20", "cricket", "efl", "league cup", "fa cup", "arsenal", "manchester city"],
     },
     "iran_war_impact": {
+        "terms": ["regional security", "oil", "sanctions", "geopolitics", "middle east"],
         "phrases": ["iran war", "2026 iran war"], "all": ["iran", "war"], "any": [], "without": [],
         "groups": [["iran", "iranian"], ["war", "conflict", "strikes", "military"]],
         "positive": ["iran", "iranian", "middle east", "regional security", "oil", "energy", "strait of hormuz", "sanctions", "geopolitics", "escalation", "global trade", "security architecture"],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,9 +35,19 @@ def normalize_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(text, F.lit(ELLIPSIS), F.lit("...")), r"\s+", " "))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def words_of(text: Column) -> Column:
+    """Lower-cased runs of two or more letters, digits or apostrophes of a normalised text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def tokenize(text: Column) -> Column:
-    """Lower-cased runs of two or more letters, digits or apostrophes."""
-    return F.regexp_extract_all(F.lower(normalize_space(text)), F.lit(TOKEN), F.lit(0))
+    """The same of any text."""
+    return words_of(normalize_space(text))
 
 
 def without_stop_words(tokens: Column) -> Column:
@@ -104,8 +116,7 @@ def summarize(text: Column, max_chars: int = 1800, max_sentences: int = 6) -> Co
 
 
 def unique_ratio(text: Column) -> Column:
-    t = tokenize(text)
-    return F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(0.0)
+    return let(tokenize(text), lambda t: F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(0.0))
 
 
 def char_grams(text: Column, n: int = 4) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, sets, structure, text, web
-from ..operators import archetypes, book, clusters, concepts, feedback, frontier, latent, learning, merge, selection
+from ..operators import archetypes, book, clusters, concepts, fallback, feedback, frontier, latent, learning, merge, selection
 from ..operators.staging import shared_dir, small, stage
 from ..streaming import feedback as stream
 from . import oracles as O  # noqa: N812, E741
@@ -310,9 +310,9 @@ def dedupe_merge_by_key(spark, sf_dir):
 
 
 def _frontier_rows(spark, sf_dir) -> DataFrame:
-    docs = frontier.sources(table(spark, sf_dir, "documents"))
-    ranked = frontier.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
-    return ranked.join(docs, "doc_id").select("query_id", F.col("rank").cast("long").alias("pos"), F.concat(F.lit("https://local/"), F.col("doc_id") % 500).alias("url"), "title", "content", "provider")
+    """The frontier as a result list, with scores, definitions and subtopics. Documents have no URL, so their own is their id."""
+    rows = _structured_sources(spark, sf_dir)
+    return rows.select("query_id", F.col("rank").cast("long").alias("pos"), F.concat(F.lit("https://local/"), F.col("doc_id")).alias("url"), "title", "content", "provider", F.col("informative").alias("informative_score"), F.col("authority").alias("authority_score"), "definitions", "subtopics")
 
 
 @query()
@@ -644,6 +644,7 @@ def source_clusters(spark, sf_dir):
     return rows.select("query_id", "cluster", "place", "label", F.size("terms").cast("long").alias("n_terms"), "places", "relevance")
 
 
+_NO_SUPPORT = "support AS (SELECT 0::BIGINT AS query_id, 0 AS organization, 0 AS market, 0 AS technology, 0 AS place, 0 AS person WHERE false)"
 _LEAD = f"lower({O.norm(f'coalesce(title, {chr(39)*2}) || {chr(39)} {chr(39)} || substring(coalesce(content, {chr(39)*2}), 1, {archetypes.LEAD})')})"
 
 
@@ -655,19 +656,21 @@ def _held(words: str, of: list[str]) -> str:
     return f"len([w for w in {words} if list_contains([{', '.join(O.q(x) for x in of)}], w)])"
 
 
-@query(f"""WITH {O.RANKED},
-best AS (SELECT query_id, {_LEAD} AS text FROM ranked JOIN src USING (doc_id) WHERE rank <= {archetypes.BEST_ROWS}),
+_SUPPORT = f"""best AS (SELECT query_id, {_LEAD} AS text FROM ranked JOIN src USING (doc_id) WHERE rank <= {archetypes.BEST_ROWS}),
 hits AS (SELECT query_id, {', '.join('(' + ' + '.join(f'contains(text, {O.q(t)})::INT' for t in terms) + f') AS {k}' for k, terms in archetypes.TOLD.items())}, {' OR '.join(f'contains(text, {O.q(t)})' for t in archetypes.OFFICES)} AS office FROM best),
-support AS (SELECT query_id, {', '.join(f'sum({_steps(k)}) AS {k}' for k in archetypes.TOLD if k != 'person')}, sum(least({_steps('person')}, 2) + CASE WHEN office THEN 2 ELSE 0 END) AS person FROM hits GROUP BY 1),
-words AS (SELECT item_id AS query_id, regexp_extract_all({O.norm('text')}, '[A-Za-z][A-Za-z''.-]{{1,}}') AS raw FROM benchmark),
+support AS (SELECT query_id, {', '.join(f'sum({_steps(k)}) AS {k}' for k in archetypes.TOLD if k != 'person')}, sum(least({_steps('person')}, 2) + CASE WHEN office THEN 2 ELSE 0 END) AS person FROM hits GROUP BY 1)"""
+_JUDGED = f"""words AS (SELECT item_id AS query_id, regexp_extract_all({O.norm('text')}, '[A-Za-z][A-Za-z''.-]{{1,}}') AS raw FROM benchmark),
 q AS (SELECT query_id, raw, [lower(w) for w in raw] AS low, [lower(w) for w in raw if not list_contains({O.STOP}, lower(w))] AS kept, len([w for w in raw if regexp_matches(w, '^[A-Z]')]) AS titled FROM words),
 n AS (SELECT *, titled / greatest(len(raw), 1)::DOUBLE AS ratio, {', '.join(f'{_held("kept", w)} AS n_{k}' for k, w in archetypes.ASKED.items())}, {_held('low', archetypes.COMPARING)} > 0 AS compares, coalesce(list_contains([{', '.join(O.q(x) for x in archetypes.MOUNTS)}], low[1]), false) AS mount,
-  coalesce(organization, 0) AS s_o, coalesce(market, 0) AS s_m, coalesce(technology, 0) AS s_t, coalesce(place, 0) AS s_p, coalesce(person, 0) AS s_x FROM q LEFT JOIN support USING (query_id))
-SELECT query_id, CASE WHEN list_has_all(low, ['iran', 'war']) THEN 'impact' WHEN list_has_all(low, ['thomas', 'cup']) THEN 'generic'
+  coalesce(organization, 0) AS s_o, coalesce(market, 0) AS s_m, coalesce(technology, 0) AS s_t, coalesce(place, 0) AS s_p, coalesce(person, 0) AS s_x FROM q LEFT JOIN support USING (query_id))"""
+_ARCHETYPE = f"""SELECT query_id, CASE WHEN list_has_all(low, ['iran', 'war']) THEN 'impact' WHEN list_has_all(low, ['thomas', 'cup']) THEN 'generic'
  WHEN (compares AND (n_organization >= 1 OR s_o >= 1)) OR {_held('kept', archetypes.ORGANIZATIONS)} > 0 OR n_organization >= 2 THEN 'organization' WHEN (n_organization >= 1 AND titled > 0) OR s_o >= 3 THEN 'organization'
  WHEN n_market >= 2 OR s_m >= 3 THEN 'market' WHEN n_technology >= 2 OR s_t >= 3 THEN 'technology'
  WHEN mount OR n_place >= 2 OR {_held('kept', archetypes.PLACES)} > 0 OR s_p >= 2 THEN 'place' WHEN compares AND ratio >= 0.4 THEN 'generic' WHEN s_x >= 2 THEN 'person'
- WHEN len(raw) BETWEEN 2 AND 4 AND ratio >= 0.85 AND NOT compares AND {_held('low', [*archetypes.QUESTIONS, *archetypes.ORGANIZATIONS, *archetypes.PLACES, *archetypes.ASKED['place']])} = 0 AND NOT mount THEN 'person' ELSE 'generic' END AS archetype FROM n""")
+ WHEN len(raw) BETWEEN 2 AND 4 AND ratio >= 0.85 AND NOT compares AND {_held('low', [*archetypes.QUESTIONS, *archetypes.ORGANIZATIONS, *archetypes.PLACES, *archetypes.ASKED['place']])} = 0 AND NOT mount THEN 'person' ELSE 'generic' END AS archetype FROM n"""
+
+
+@query(f"WITH {O.RANKED}, {_SUPPORT}, {_JUDGED} {_ARCHETYPE}")
 def archetype_cascade(spark, sf_dir):
     return archetypes.infer(_topic_texts(spark, sf_dir), _ranked_texts(spark, sf_dir, archetypes.BEST_ROWS))
 
@@ -714,3 +717,35 @@ def feedback_stream_profile(spark, sf_dir):
 @query(f"WITH {O.PATCHES}, {O.CHANGES} SELECT record_id, event_id FROM changed")
 def feedback_appended_events(spark, sf_dir):
     return learning.appended(learning.patches(table(spark, sf_dir, "events")))
+
+
+# ---------------------------------------------------------------- when results fall short
+
+
+_SIMPLER = f"""w AS (SELECT item_id AS query_id, {O.norm('text')} AS query, list_distinct([]::VARCHAR[]) AS none, [x for x in {O.content(O.tok('text'))} if not list_contains([{', '.join(O.q(x) for x in fallback.FILLER)}], x)] AS all_words FROM benchmark),
+o AS (SELECT query_id, query, [x for x, i in all_words if list_position(all_words, x) = i] AS once FROM w),
+s AS (SELECT query_id, query, array_to_string(list_concat([x for x in once if length(x) >= {fallback.LONG}], [x for x in once if length(x) < {fallback.LONG}])[1:{fallback.MOST_WORDS}], ' ') AS plain FROM o)"""
+
+
+@query(f"""WITH {_NO_SUPPORT}, {_JUDGED}, kind AS ({_ARCHETYPE}), {_SIMPLER},
+t AS (SELECT query_id, query, CASE WHEN archetype = 'person' THEN query || ' {fallback.PERSON_WORDS}' WHEN plain <> '' THEN plain ELSE query END AS simpler FROM s JOIN kind USING (query_id))
+SELECT query_id, simpler, CASE WHEN query = '' THEN '' WHEN simpler <> '' AND simpler <> query THEN simpler WHEN len([x for x in string_split(query, ' ') if x <> '']) <= {fallback.SHORT_QUERY} THEN query || ' {fallback.DEPTH_WORDS}' ELSE query END AS deeper FROM t""")
+def second_queries(spark, sf_dir):
+    return fallback.second_queries(_topic_texts(spark, sf_dir))
+
+
+@query(f"""WITH {O.RANKED}, n_all AS (SELECT query_id, count(*) AS n FROM ranked GROUP BY 1),
+hit AS (SELECT query_id, len(list_intersect(cw, fw)) >= greatest(1, floor(len(fw) * 0.2)) AND (len(fw) <= 3 OR len(list_intersect(cw, [x.w for x in list_sort([{{'n': -length(w), 'w': w}} for w in qw])[1:3]])) > 0) AS fits
+ FROM ranked JOIN docs USING (doc_id) JOIN fset USING (query_id) JOIN asked USING (query_id) WHERE rank <= {fallback.LOOKED_AT}),
+f AS (SELECT query_id, count(*) FILTER (fits) AS n_fitting FROM hit GROUP BY 1)
+SELECT a.query_id, coalesce(n_fitting, 0) AS n_fitting, len(qw) > 0 AND coalesce(n_fitting, 0) < least(coalesce(n, 0), {fallback.ENOUGH}) AS misses FROM asked a LEFT JOIN n_all USING (query_id) LEFT JOIN f USING (query_id)""")
+def focus_misses(spark, sf_dir):
+    return fallback.missed(_topic_texts(spark, sf_dir), _ranked_texts(spark, sf_dir, frontier.FRONTIER))
+
+
+@query()
+def synthetic_sources(spark, sf_dir):
+    """The synthetic sources that the gate asks for."""
+    bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    wanted = frontier.gate(frontier.quality(bench, docs)).where("use_fallback").select("query_id", "desired_count")
+    return fallback.synthetic(_topic_texts(spark, sf_dir), _ranked_texts(spark, sf_dir, 8), wanted)
