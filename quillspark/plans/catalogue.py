@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, sets, structure, text, web
-from ..operators import archetypes, book, clusters, concepts, fallback, feedback, frontier, latent, learning, merge, selection
+from ..operators import archetypes, book, clusters, concepts, fallback, feedback, frontier, latent, learning, merge, quality, selection
 from ..operators.staging import shared_dir, small, stage
 from ..streaming import feedback as stream
 from . import oracles as O  # noqa: N812, E741
@@ -361,21 +361,7 @@ def feedback_event_antijoin(spark, sf_dir):
 @query("""SELECT l_returnflag, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_pop(x), 6) AS stdev, min(x) AS lowest, max(x) AS highest, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.75), 6) AS p75
 FROM (SELECT l_returnflag, l_quantity AS x FROM lineitem) GROUP BY 1""")
 def metric_distribution(spark, sf_dir):
-    """Quantiles from counts by value and their running sums, so no task holds the values of a group."""
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"))
-    r = lambda c: F.round(c, 6)
-    counts = rows.groupBy("l_returnflag", "x").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("l_returnflag")
-    counts = counts.withColumns({"upto": F.sum("n").over(by.orderBy("x")), "all": F.sum("n").over(by)})
-
-    def quantile(p: float):
-        at = (F.col("all") - 1) * p
-        value = lambda i: F.min(F.when(F.col("upto") > i, F.col("x")))
-        return value(F.floor(at)) + (value(F.ceil(at)) - value(F.floor(at))) * F.max(at - F.floor(at))
-
-    quantiles = counts.groupBy("l_returnflag").agg(r(quantile(0.5)).alias("median"), r(quantile(0.25)).alias("p25"), r(quantile(0.75)).alias("p75"))
-    means = rows.groupBy("l_returnflag").agg(r(F.avg("x")).alias("mean"), r(F.stddev_pop("x")).alias("stdev"), F.min("x").alias("lowest"), F.max("x").alias("highest"))
-    return means.join(quantiles, "l_returnflag").select("l_returnflag", "mean", "median", "stdev", "lowest", "highest", "p25", "p75")
+    return quality.distribution(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity").drop("n")
 
 
 @query("""SELECT coalesce(tag, 'all') AS tag, n, round(total, 2) AS total FROM (SELECT o_orderpriority AS tag, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ()))""")
@@ -749,3 +735,19 @@ def synthetic_sources(spark, sf_dir):
     bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     wanted = frontier.gate(frontier.quality(bench, docs)).where("use_fallback").select("query_id", "desired_count")
     return fallback.synthetic(_topic_texts(spark, sf_dir), _ranked_texts(spark, sf_dir, 8), wanted)
+
+
+# ---------------------------------------------------------------- quality over all topics
+
+
+@query()
+def benchmark_metrics(spark, sf_dir):
+    """Sources and book of each topic, measured; its archetype is its pack."""
+    topics, chosen = _topic_texts(spark, sf_dir), _chosen(spark, sf_dir)
+    measured = quality.measures(chosen, book.assemble(topics, chosen))
+    return measured.join(archetypes.infer(topics, chosen.withColumn("rank", F.col("place").cast("int"))), "query_id")
+
+
+@query()
+def benchmark_distribution(spark, sf_dir):
+    return quality.suite(stage(benchmark_metrics(spark, sf_dir), "measured"), "archetype")
