@@ -58,7 +58,7 @@ def seeds(texts: DataFrame) -> DataFrame:
 
 def expand(texts: DataFrame, depth: int = 2, limit: int = 12) -> DataFrame:
     """key, node, distance, place: the concepts within `depth` of a text's, nearest and shortest first."""
-    near = distances(texts.sparkSession).where(F.col("distance") <= depth)
+    near = distances(texts.sparkSession, depth)
     ball = seeds(texts).withColumnRenamed("node", "a").join(F.broadcast(near), "a").groupBy("key", F.col("b").alias("node")).agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("key").orderBy("distance", F.length("node"), "node")
     return ball.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)

@@ -32,3 +32,10 @@ def stage(df: DataFrame, what: str) -> DataFrame:
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """A staged table, marked for broadcast if it has at most `most` rows; beyond, joins shuffle it."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks at least as the session shuffles to: a small file is one task, and much work
+    on each of its rows would run there alone. Large inputs have more splits than that and stay as they are."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from quillspark.operators import frontier
 from quillspark.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -25,6 +26,22 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def staged_frontier():
+    """Some thirty queries begin with the same ranking, which is a written table: here it is written once."""
+    own, known = frontier.rank, {}
+
+    def rank(benchmark, documents, limit=frontier.FRONTIER):
+        key = (*benchmark.inputFiles(), *documents.inputFiles(), limit)
+        if key not in known:
+            known[key] = own(benchmark, documents, limit)
+        return known[key]
+
+    frontier.rank = rank
+    yield
+    frontier.rank = own
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracle(spark, duck, name):
     got = catalogue.QUERIES[name](spark, SMALL).toPandas()
