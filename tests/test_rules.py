@@ -61,3 +61,34 @@ def test_layers(spark):
     assert targets == ["seed", "seed", "related", "tangential", "tangential"]
     bonus = lambda a, t: _value(spark, rules.layer_bonus(F.lit(a), F.lit(t)))
     assert (bonus("seed", "seed"), bonus("related", "seed"), bonus("seed", "related"), bonus("seed", "tangential")) == (0.24, 0.12, 0.08, 0.0)
+
+
+def test_word_edges_see_ascii_only_as_sql_does(spark):
+    """A defining verb or a listicle word beside an accented letter counts as in DuckDB."""
+    import duckdb
+
+    from quillspark.operators import frontier
+    from quillspark.plans import oracles
+
+    texts = ["Lluíis queda", "tipsé now", "raíare.\nñis is", "plain is here", "ñaB1234567890x", "basic", "meansß and éare"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'a')", list(enumerate(texts)))
+    docs = frontier.sources(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string"))
+    got = docs.select("doc_id", frontier.definitional_density(F.col("title"), F.col("content")).alias("d"), frontier.spam_risk(F.col("title"), F.col("content")).alias("s")).orderBy("doc_id").collect()
+    want = con.execute(f"WITH {oracles.SOURCES}, s AS ({oracles.SPAM}) SELECT doc_id, {oracles.DEFINITIONAL}, spam_risk FROM src JOIN s USING (doc_id) ORDER BY 1").fetchall()
+    assert [tuple(r) for r in got] == want
+
+
+def test_chapter_split_keeps_digits_of_its_parts(spark, tmp_path):
+    """The part at place n ends or begins with the digit n: it stays."""
+    import duckdb
+
+    from quillspark.plans import catalogue
+
+    texts = ["0 zero. One 1. 2 two. Three 3", "A b. C d. E f. G h. I j.  5 kl 5. 6", None, " lead .  x1 ! 2"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.QUERIES["chapter_split"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == con.execute(f"SELECT * FROM ({catalogue.ORACLES['chapter_split']}) ORDER BY doc_id").fetchall()
