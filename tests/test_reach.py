@@ -48,3 +48,15 @@ def test_distances_are_those_of_the_graph(spark):
     got = {(r["a"], r["b"]): r["distance"] for r in concepts.distances(spark, 2).collect()}
     want = {(a, c): 2 for a in near for b in near[a] for c in near[b]} | {(a, b): 1 for a in near for b in near[a]} | {(a, a): 0 for a in near}
     assert got == want
+
+
+def test_synthetic_sources_rank_once(spark, monkeypatch):
+    own, calls = frontier.rank, []
+    monkeypatch.setattr(frontier, "rank", lambda *a: calls.append(a) or own(*a))
+    catalogue.QUERIES["synthetic_sources"](spark, SMALL)
+    assert len(calls) == 1
+
+
+def test_profiles_flatten_a_text_once(spark):
+    plan = catalogue.QUERIES["profile_alignment"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("regexp_extract_all(") == 1
