@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rules import meaningful, title_without
-from .text import normalize_space, tokenize, usable_sentences
+from .text import let, normalize_space, tokenize, usable_sentences
 
 # Fixed values that results depend on.
 DEFINES = r"^([A-Z][A-Za-z0-9][A-Za-z0-9\s&/\-(),]{2,80}?)\s+(?:is|are|was|were|refers to|describes|means|represents)\s+.+"
@@ -17,14 +17,18 @@ SUBTOPIC_SENTENCES, SUBTOPIC_WORDS = 9, 6
 
 def first_of_each(rows: Column, field: str) -> Column:
     """The rows of an array of structs whose field, in lower case, no earlier row has."""
-    keys = F.transform(rows, lambda x: F.lower(x[field]))
-    return F.filter(rows, lambda x, i: F.array_position(keys, F.lower(x[field])) == i + 1)
+    keys = lambda r: F.transform(r, lambda x: F.lower(x[field]))
+    return let(rows, lambda r: let(keys(r), lambda k: F.filter(r, lambda x, i: F.array_position(k, F.lower(x[field])) == i + 1)))
 
 
 def definitions(title: Column, content: Column) -> Column:
     """Up to six of {term, description}: the title with the first sentence, then what the first
     eight sentences name before a defining verb (one to eight words). Null or empty texts: none."""
-    s, title = usable_sentences(content), normalize_space(title)
+    return let(usable_sentences(content), lambda s: _definitions(normalize_space(title), s))
+
+
+def _definitions(title: Column, s: Column) -> Column:
+    """The same of a normalised title and usable sentences."""
     row = lambda term, told: F.struct(normalize_space(term).alias("term"), normalize_space(told).alias("description"))
     head = F.filter(F.transform(F.slice(s, 1, 1), lambda x: row(title, x)), lambda x: x["term"] != "")
     named = F.transform(F.slice(s, 1, 8), lambda x: row(F.regexp_extract(x, DEFINES, 1), x))
@@ -44,7 +48,7 @@ def subtopics(rows: DataFrame) -> DataFrame:
     told = told.where(F.col("n") <= SUBTOPIC_SENTENCES).withColumns({"sentence": F.trim("sentence"), "said": F.array_distinct(tokenize(F.col("sentence")))})
     later = told.where((F.col("n") > 0) & (F.size("said") >= SUBTOPIC_WORDS))
     share = F.size(F.array_intersect("said", "focus")) / F.greatest(F.size("focus"), F.lit(1))
-    later = later.withColumns({"score": share * 1.3 + F.least(F.size("said") / 22, F.lit(1.0)), "label": title_without(F.col("sentence"), F.col("words"))}).where("label <> ''")
+    later = later.withColumns({"score": share * 1.3 + F.least(F.size("said") / 22, F.lit(1.0)), "label": F.explode(let(title_without(F.col("sentence"), F.col("words")), lambda t: F.when(t != "", F.array(t)).otherwise(F.array().cast("array<string>"))))})  # a filter would compute it again
     first = Window.partitionBy(*by, F.lower("label")).orderBy(F.desc("score"), "n")
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "n")
     later = later.withColumn("k", F.row_number().over(first)).where("k = 1").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SUBTOPICS)

@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_space, tokenize, usable_sentences
+from ..functions.text import let, normalize_space, tokenize, usable_sentences
 from . import concepts, latent, titles
 from .clusters import TEMPLATES, assign, leader_clusters, themes
-from .staging import stage
+from .staging import dealt, stage
 
 # Fixed values that results depend on.
 LEADING = r"^(?:authors?|by|editor|publisher|published in|first published|work type|subjects include|year|journal|volume|issue|pages?|doi|isbn|issn)\b"
@@ -44,8 +44,8 @@ def noise(sentence, n_words):
 def sentence_pool(sources: DataFrame) -> DataFrame:
     """query_id, place, n, sentence, words, quality and base (what its score has whatever the chapter)
     of each usable sentence of sources(query_id, place, content, focus, relevance, informative, authority)."""
-    told = usable_sentences(F.col("content"))
-    rows = sources.withColumn("told", F.when(F.size(told) > 0, told).otherwise(F.filter(F.array(normalize_space(F.col("content"))), lambda s: s != "")))
+    whole = F.filter(F.array(normalize_space(F.col("content"))), lambda s: s != "")
+    rows = dealt(sources, "query_id", "place").withColumn("told", let(usable_sentences(F.col("content")), lambda s: F.when(F.size(s) > 0, s).otherwise(whole)))
     quality = F.col("informative") * 0.42 + F.col("authority") * 0.20 + F.col("relevance") * 0.38
     rows = rows.select("query_id", F.col("place").cast("int").alias("place"), "focus", quality.alias("quality"), F.posexplode("told").alias("n", "sentence"))
     rows = rows.withColumns({"sentence": F.trim("sentence"), "words": F.array_distinct(tokenize(F.col("sentence")))})
@@ -129,6 +129,7 @@ def pick_sentences(pool: DataFrame, chapters: DataFrame) -> DataFrame:
                 out += [(ch.query_id, ch.chapter, rows["place"][i], rows["n"][i], k) for k, i in enumerate(ordered)]
         return pd.DataFrame(out, columns=["query_id", "chapter", "place", "n", "position"])
 
+    pool, chapters = dealt(pool, "query_id"), dealt(chapters, "query_id")
     return pool.groupBy("query_id").cogroup(chapters.groupBy("query_id")).applyInPandas(run, PICKED)
 
 
@@ -195,7 +196,7 @@ def assemble(queries: DataFrame, sources: DataFrame, templates: list[tuple[str,
 
     words = lambda t: F.array_union(F.array_union(tokenize(c(t)), c("template")), c("focus"))
     pool = stage(sentence_pool(sources), "book-sentences")
-    titled = chapters.join(first, ["query_id", "chapter"]).withColumn("theme", words("title"))
+    titled = chapters.join(stage(first, "book-first-titles"), ["query_id", "chapter"]).withColumn("theme", words("title"))
     picked = stage(pick_sentences(pool, titled.select("query_id", "chapter", c("theme").alias("keywords"), "places")), "book-picks")
 
     terms, topics_of = _named(sources, "definitions", "term", "description"), _named(sources, "subtopics", "title", "summary")

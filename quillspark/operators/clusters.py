@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sets import jaccard, lexical_similarity
+from ..functions.sets import jaccard, lexical_sets, sets_similarity
 from ..functions.text import normalize_space, term_key, tokenize, without_stop_words
 from .latent import flat
-from .staging import stage
+from .staging import dealt, stage
 
 # Fixed values that results depend on.
 JOINS = 0.18
@@ -74,7 +74,8 @@ def _text(state: DataFrame, label: Column) -> DataFrame:
 def leader_clusters(sources: DataFrame) -> DataFrame:
     """query_id, cluster, place (1 for the most relevant; ties: more sources, more words, founded
     first), label, terms, places (of its sources, as they joined) and relevance (their mean)."""
-    rows = stage(described(sources), "cluster-sources")
+    rows = described(dealt(sources, "query_id", "place"))
+    rows = stage(rows.withColumn("lead_sets", lexical_sets(F.col("lead"))), "cluster-sources")
     last = rows.agg(F.max("place")).first()[0] or 0
     state = None
     c = F.col
@@ -86,25 +87,26 @@ def leader_clusters(sources: DataFrame) -> DataFrame:
         else:
             s, x = state.alias("s"), now.alias("x")
             score = (jaccard(c("s.terms"), c("x.terms")) + F.when((c("x.title_key") != "") & F.array_contains("s.keys", c("x.title_key")), SAME_TITLE).otherwise(0.0)
-                     + F.size(F.array_intersect("x.terms", "x.focus")) / F.greatest(F.size("x.focus"), F.lit(1)) * FOCUS + F.round(lexical_similarity(c("x.lead"), c("s.told")), 6) * LIKENESS)
+                     + F.size(F.array_intersect("x.terms", "x.focus")) / F.greatest(F.size("x.focus"), F.lit(1)) * FOCUS + F.round(sets_similarity(c("x.lead"), c("s.told"), c("x.lead_sets"), c("s.told_sets")), 6) * LIKENESS)
             met = x.join(s, "query_id").select("query_id", c("s.cluster").alias("cluster"), F.round(score, 9).alias("score"))
             best = met.groupBy("query_id").agg(F.max(F.struct("score", (-c("cluster")).alias("c"))).alias("b"), F.max("cluster").alias("top"))
             picks = now.select("query_id").join(best, "query_id", "left").select("query_id", F.when((c("b.score") >= JOINS) & (c("b.score") > 0), -c("b.c")).alias("joined"), F.coalesce(c("top") + 1, F.lit(0)).alias("next"))
             own = fresh.join(picks, "query_id")
             founded = own.where("joined is null").withColumn("cluster", c("next")).drop("joined", "next")
             f = own.where("joined is not null").select("query_id", c("joined").alias("cluster"), *[c(n).alias(f"x_{n}") for n in fresh.columns if n not in ("query_id", "label")])
-            both = state.drop("told").join(f, ["query_id", "cluster"])
+            both = state.drop("told", "told_sets").join(f, ["query_id", "cluster"])
             more = lambda n: F.concat(n, f"x_{n}")
             joined = both.select("query_id", "cluster", "label", F.array_union("terms", "x_terms").alias("terms"), F.array_union("keys", "x_keys").alias("keys"),
                                  *[more(n).alias(n) for n in ("places", "titles", "defined", "topics", "relevances")], c("x_new_label").alias("new_label"))
-            kept = state.drop("told").join(f.select("query_id", "cluster"), ["query_id", "cluster"], "left_anti").withColumn("new_label", c("label"))
+            kept = state.drop("told", "told_sets").join(f.select("query_id", "cluster"), ["query_id", "cluster"], "left_anti").withColumn("new_label", c("label"))
             # A cluster's text has the label that it had before this round; one that nothing joined keeps its text.
             same = state.join(f.select("query_id", "cluster"), ["query_id", "cluster"], "left_anti").select("query_id", "cluster", c("told").alias("old_told"))
             grown = founded.unionByName(joined).unionByName(kept).join(same, ["query_id", "cluster"], "left")
         grown = _text(grown, c("label"))
         if "old_told" in grown.columns:
             grown = grown.withColumn("told", F.coalesce("old_told", "told")).drop("old_told")
-        state = stage(grown.drop("label").withColumnRenamed("new_label", "label"), f"clusters-{k}")
+        state = dealt(grown.drop("label").withColumnRenamed("new_label", "label"), "query_id")
+        state = stage(state.withColumn("told_sets", lexical_sets(c("told"))), f"clusters-{k}")
     if state is None:
         return sources.sparkSession.createDataFrame([], f"query_id {dict(sources.dtypes)['query_id']}, cluster int, place int, label string, terms array<string>, places array<int>, relevance double")
     mean = F.round(F.aggregate("relevances", F.lit(0.0), lambda a, x: a + x) / F.size("relevances"), 9)

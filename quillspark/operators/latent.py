@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sets import clamp, lexical_sets, sets_similarity
 from ..functions.text import STOP_WORDS, TOKEN
+from .staging import dealt
 
 COMPONENTS, MOST_TERMS, MOST_TOPICS, TOPIC_WORDS = 3, 2000, 6, 6
 UPDATES, SETTLED = 400, 1e-4
@@ -91,7 +92,7 @@ def group_similarity(texts: DataFrame, components: int = COMPONENTS) -> DataFram
         score = mean_cosine(coordinates(gram, k)) if len(places) >= 3 and k >= 1 else 0.0
         return pd.DataFrame({"group": group["group"].iloc[:1], "latent": [round(min(1.0, max(0.0, score)), 6)]})
 
-    return rows.groupBy("group").applyInPandas(run, f"group {dict(rows.dtypes)['group']}, latent double")
+    return dealt(rows, "group").groupBy("group").applyInPandas(run, f"group {dict(rows.dtypes)['group']}, latent double")
 
 
 def coherence(queries: DataFrame, sections: DataFrame, components: int = COMPONENTS) -> DataFrame:
@@ -211,4 +212,4 @@ def subtopics(queries: DataFrame, texts: DataFrame, most: int = MOST_TOPICS, mos
         cut = found[:most]
         return pd.DataFrame({"group": [group["group"].iloc[0]] * len(cut), "branch": branch[: len(cut)], "place": range(1, len(cut) + 1), "label": [t[2] for t in cut], "keywords": [t[3] for t in cut], "pos": [t[4] for t in cut], "score": [t[1] for t in cut], "divergence": [t[0] for t in cut]})
 
-    return rows.groupBy("group").applyInPandas(run, f"group {dict(rows.dtypes)['group']}, {TOPICS}")
+    return dealt(rows, "group").groupBy("group").applyInPandas(run, f"group {dict(rows.dtypes)['group']}, {TOPICS}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import settled
+from .staging import dealt
 
 # Fixed values that results depend on: what each part of a set counts, and the reward weight on it.
 COMPONENTS = {"relevance": 0.25, "informative": 0.20, "authority": 0.18, "coverage": 0.14, "concept_diversity": 0.13, "structure": 0.10}
@@ -159,7 +160,7 @@ def evolve(frontier: DataFrame, generations: int = 10, population: int = 30, rew
         gains = [round(min(1.0, max(0.0, pool.gain(i, order[:n]))), 6) for n, i in enumerate(order)]
         return pd.DataFrame({"query_id": group["query_id"].iloc[0], "doc_id": group["doc_id"].to_numpy()[order], "place": np.arange(1, len(order) + 1), "fitness": gains})
 
-    return frontier.groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, place long, fitness double")
+    return dealt(frontier, "query_id").groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, place long, fitness double")
 
 
 def greedy(frontier: DataFrame) -> DataFrame:
@@ -170,4 +171,4 @@ def greedy(frontier: DataFrame) -> DataFrame:
         order = pool.greedy(target_size(pool.n))
         return pd.DataFrame({"query_id": group["query_id"].iloc[0], "doc_id": group["doc_id"].to_numpy()[order], "place": np.arange(1, len(order) + 1)})
 
-    return frontier.groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, place long")
+    return dealt(frontier, "query_id").groupBy("query_id").applyInPandas(run, "query_id long, doc_id long, place long")

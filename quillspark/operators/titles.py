@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import depth_target, layer_bonus
-from ..functions.text import STOP_WORDS, term_key, tokenize
+from ..functions.text import STOP_WORDS, let, term_key, tokenize
 from . import concepts
 from .latent import flat
+from .staging import dealt, stage
 
 # Fixed values that results depend on.
 WORDS, CHARS, SOFT = 5, 88, 5
@@ -44,13 +45,15 @@ def shown(words: Column, most: int = WORDS) -> Column:
 def compact(text: Column, most: int = WORDS) -> Column:
     """The first content words of a phrase, each once whatever its case, up to its first end or question."""
     part = F.element_at(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), r"[?!.]", 2), 1)
-    part = F.element_at(F.split(part, r"(?i)\b(?:and how should|how should|how can|in response)\b", 2), 1)
+    return let(F.element_at(F.split(part, r"(?i)\b(?:and how should|how should|how can|in response)\b", 2), 1), lambda part: _compact(part, most))
+
+
+def _compact(part: Column, most: int) -> Column:
     words = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(part, r"\([^)]*\)", " "), r"[\-–—/|]+", " "), F.lit("[A-Za-z0-9']+"), F.lit(0))
     kept = F.filter(words, lambda w: ~F.lower(w).isin([*STOP_WORDS, *FILLER]))
-    low = F.transform(kept, F.lower)
-    once = F.filter(kept, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+    once = let(kept, lambda k: let(F.transform(k, lambda w: F.lower(w)), lambda low: F.filter(k, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)))
     plain = F.filter(tokenize(part), lambda w: ~w.isin(STOP_WORDS))
-    return F.when(F.size(once) > 0, shown(once, most)).otherwise(shown(plain, most))
+    return let(once, lambda o: F.when(F.size(o) > 0, shown(o, most)).otherwise(shown(plain, most)))
 
 
 def trimmed(title: Column) -> Column:
@@ -88,33 +91,45 @@ def title_path(queries: DataFrame, topics: DataFrame, themes: DataFrame, chapter
     return pools.withColumn("pool", pool).select("query_id", "chapter", F.when(F.size("pool") > 0, F.get("pool", F.pmod(F.col("chapter"), F.size("pool")))).otherwise(F.col("query")).alias("path"))
 
 
-def best_titles(candidates: DataFrame, chapters: DataFrame, topics: DataFrame, count: int) -> DataFrame:
-    """query_id, chapter, title. candidates(query_id, chapter, phrase, bonus, n) are in order by n;
-    chapters(query_id, chapter, label, keywords, path, query, focus)."""
+def _words_of_phrases(rows: DataFrame) -> DataFrame:
+    """rows(query_id, key, phrase, query, focus) whose phrase can make a title, with it (compact) and its words."""
     c = F.col
-    chapters = chapters.select("query_id", "chapter", "label", "keywords", "path", "query", "focus")
-    rows = candidates.where(F.trim("phrase") != "").withColumn("key", flat(c("phrase"))).groupBy("query_id", "chapter", "key").agg(F.min_by("phrase", "n").alias("phrase"), F.min("n").alias("n"), F.max("bonus").alias("bonus"))
-    branch = topics.withColumn("key", flat(c("label"))).groupBy("query_id", "key").agg(F.max(F.greatest(F.lit(0.0), 0.20 - (c("place") - 1) * 0.015) + F.least(c("divergence") * 0.14, F.lit(0.14))).alias("branch"))
-    rows = rows.join(branch, ["query_id", "key"], "left").join(chapters, ["query_id", "chapter"])
-    depth = concepts.layers(rows.select(c("query").alias("seed"), c("key").alias("node"))).select(c("seed").alias("query"), c("node").alias("key"), "layer")
-    rows = rows.join(depth, ["query", "key"], "left")
     plain = F.filter(F.regexp_extract_all("phrase", F.lit("[A-Za-z0-9']+"), F.lit(0)), lambda w: ~F.lower(w).isin([*STOP_WORDS, *FILLER]))
-    rows = rows.withColumns({"plain": plain, "compact": compact(c("phrase"))}).where("compact <> ''")
+    rows = stage(rows.withColumns({"plain": plain, "compact": compact(c("phrase"))}), "title-words").where("compact <> ''")  # staged, as a filter would compute them again
     rows = rows.withColumn("fresh", F.filter("plain", lambda w: ~F.array_contains(c("focus"), F.lower(w))))
     rows = rows.withColumn("compact", F.when((F.size("fresh") >= 2) & (F.size("fresh") < F.size("plain")), shown(c("fresh"))).otherwise(c("compact")))
-    rows = rows.withColumns({"words": F.array_distinct(tokenize(c("compact"))), "compact_key": term_key(c("compact")), "query_key": term_key(c("query")), "label_key": term_key(c("label"))})
+    rows = rows.withColumns({"words": F.array_distinct(tokenize(c("compact"))), "compact_key": term_key(c("compact")), "query_key": term_key(c("query"))})
     weak = F.filter("words", lambda w: w.isin(WEAK) | w.rlike("^[ivxlcdm]+$"))
     rows = rows.withColumns({"weak": F.size(weak), "strong": F.filter("words", lambda w: ~(w.isin(WEAK) | w.rlike("^[ivxlcdm]+$"))), "size": F.size("words"), "in_focus": F.size(F.array_intersect("words", "focus"))})
     n = c("size")
-    share = c("in_focus") / F.greatest(n, F.lit(1))
     alone = (n == 1) & ((c("weak") == 1) | (F.length(F.get("words", F.lit(0))) <= 2))
     hollow = (c("weak") > 0) & (n <= 2) & ((c("weak") == n) | ((F.size("strong") > 0) & (F.size(F.array_except("strong", "focus")) == 0)))
-    rows = rows.where((n > 0) & ~alone & ~hollow)
+    return rows.where((n > 0) & ~alone & ~hollow)
+
+
+def best_titles(candidates: DataFrame, chapters: DataFrame, topics: DataFrame, count: int) -> DataFrame:
+    """query_id, chapter, title. candidates(query_id, chapter, phrase, bonus, n) are in order by n;
+    chapters(query_id, chapter, label, keywords, path, query, focus)."""
+    c = F.col
+    chapters = chapters.select("query_id", "chapter", "label", "keywords", "path", "query", "focus")
+    rows = candidates.where(F.trim("phrase") != "").withColumn("key", flat(c("phrase"))).groupBy("query_id", "chapter", "key").agg(F.min_by("phrase", "n").alias("phrase"), F.min("n").alias("n"), F.max("bonus").alias("bonus"))
+    branch = topics.withColumn("key", flat(c("label"))).groupBy("query_id", "key").agg(F.max(F.greatest(F.lit(0.0), 0.20 - (c("place") - 1) * 0.015) + F.least(c("divergence") * 0.14, F.lit(0.14))).alias("branch"))
+    rows = stage(rows, "title-candidates")
+    # What follows from query and phrase alone is computed once, not for each chapter.
+    asked = chapters.groupBy("query_id").agg(F.first("query").alias("query"), F.first("focus").alias("focus"))
+    phrases = dealt(rows.select("query_id", "key", "phrase").distinct(), "query_id", "phrase").join(asked, "query_id")
+    phrases = stage(_words_of_phrases(phrases), "title-phrases")
+    depth = concepts.layers(phrases.select(c("query").alias("seed"), c("key").alias("node"))).select(c("seed").alias("query"), c("node").alias("key"), "layer")
+    phrases = phrases.join(depth, ["query", "key"], "left").join(branch, ["query_id", "key"], "left").drop("query", "key", "focus")
+    of_chapter = chapters.withColumns({"label_key": term_key(c("label")), "path_key": flat(c("path"))})
+    rows = stage(rows.join(phrases, ["query_id", "phrase"]).join(of_chapter, ["query_id", "chapter"]), "title-rows")
+    n = c("size")
+    share = c("in_focus") / F.greatest(n, F.lit(1))
     target = depth_target(c("chapter"), F.lit(count))
     when = lambda test, value: F.when(F.coalesce(test, F.lit(False)), value).otherwise(0.0)
     score = (
         soft_share(c("words"), c("keywords")) * 1.5 + share * 1.2 + F.least(n / WORDS, F.lit(1.0)) * 0.2 + (1 - share) * 0.16 + c("bonus") + F.coalesce(c("branch"), F.lit(0.0))
-        + F.when(c("layer").isNotNull(), layer_bonus(c("layer"), target)).otherwise(0.0) + when((flat(c("path")) != "") & (c("key") == flat(c("path"))), ON_PATH)
+        + F.when(c("layer").isNotNull(), layer_bonus(c("layer"), target)).otherwise(0.0) + when((c("path_key") != "") & (c("key") == c("path_key")), ON_PATH)
         - F.least(c("weak") * 0.24, F.lit(0.58)) - when(n == 1, 0.16) - when((c("in_focus") == n) & (n <= 3), 0.52) - when((share >= 0.75) & (n <= 3), 0.24)
         - when(c("compact_key") == c("query_key"), 0.5) - when(c("compact_key") == c("label_key"), 0.45) - when((c("label_key") != "") & (c("compact_key") != "") & F.contains("label_key", "compact_key"), 0.18)
         - when(F.startswith(c("key"), F.lower("label")) & (c("query_key") != ""), 0.38) - when((share >= 0.34) & (n > 2), 0.22) - when((share >= 0.5) & (n > F.greatest(F.lit(2), F.size("focus"))), 0.18)
