@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.staging import dealt, stage
 from .rules import meaningful, title_without
 from .text import let, normalize_space, tokenize, usable_sentences
 
@@ -37,6 +38,13 @@ def _definitions(title: Column, s: Column) -> Column:
     return F.slice(first_of_each(rows, "term"), 1, DEFINITIONS)
 
 
+def leading_sentences(rows: DataFrame) -> DataFrame:
+    """doc_id, told: the usable sentences that definitions and subtopics look at, of each text once
+    however many queries have it. rows(doc_id, content)."""
+    texts = rows.groupBy("doc_id").agg(F.first("content").alias("content"))
+    return dealt(texts, "doc_id").select("doc_id", F.slice(usable_sentences(F.col("content")), 1, SUBTOPIC_SENTENCES + 1).alias("told"))
+
+
 def subtopics(rows: DataFrame) -> DataFrame:
     """query_id, doc_id, subtopics: up to four of {title, summary} of each row of rows(query_id,
     doc_id, title, content, words, focus), words and focus being the query's. The second to the tenth
@@ -44,7 +52,8 @@ def subtopics(rows: DataFrame) -> DataFrame:
     a text that gives none has its own title as context. One row for each sentence, so
     no expression grows with the number of sentences. Null or empty texts: no row."""
     by = ["query_id", "doc_id"]
-    told = rows.select(*by, normalize_space(F.col("title")).alias("title"), "words", "focus", F.posexplode(usable_sentences(F.col("content"))).alias("n", "sentence"))
+    rows = rows if "told" in rows.columns else rows.join(leading_sentences(rows), "doc_id")
+    told = dealt(rows.select(*by, normalize_space(F.col("title")).alias("title"), "words", "focus", F.posexplode("told").alias("n", "sentence")), *by, "n")
     told = told.where(F.col("n") <= SUBTOPIC_SENTENCES).withColumns({"sentence": F.trim("sentence"), "said": F.array_distinct(tokenize(F.col("sentence")))})
     later = told.where((F.col("n") > 0) & (F.size("said") >= SUBTOPIC_WORDS))
     share = F.size(F.array_intersect("said", "focus")) / F.greatest(F.size("focus"), F.lit(1))
@@ -59,8 +68,10 @@ def subtopics(rows: DataFrame) -> DataFrame:
 
 
 def structured(rows: DataFrame) -> DataFrame:
-    """rows with definitions and subtopics, empty where there are none."""
-    found = subtopics(rows)
+    """rows with definitions and subtopics, empty where there are none. A doc_id stands for one title and content."""
+    titles = rows.groupBy("doc_id").agg(F.first("title").alias("title"))
+    texts = stage(leading_sentences(rows).join(titles, "doc_id"), "leading-sentences")
+    defined = stage(dealt(texts, "doc_id").select("doc_id", _definitions(normalize_space(F.col("title")), F.col("told")).alias("definitions")), "definitions")
+    found = stage(subtopics(rows.select("query_id", "doc_id", "title", "words", "focus").join(texts.select("doc_id", "told"), "doc_id")), "subtopics")
     none = F.array().cast(found.schema["subtopics"].dataType)
-    out = rows.withColumn("definitions", definitions(F.col("title"), F.col("content"))).join(found, ["query_id", "doc_id"], "left")
-    return out.withColumn("subtopics", F.coalesce("subtopics", none))
+    return rows.join(defined, "doc_id").join(found, ["query_id", "doc_id"], "left").withColumn("subtopics", F.coalesce("subtopics", none))
