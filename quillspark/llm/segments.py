@@ -11,7 +11,7 @@ segments or `most_ids` ids, so a worker's memory is bounded.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,9 +122,11 @@ class SegmentEncoder:
         """All ids one after the other, and the number of ids of each; segments are what the numbers stand for."""
         if len(self.index) > self.most or self.used > self.most_ids:
             self._empty()
-        if new := [x for x in segments if x not in self.index]:
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))[numbers]
+        known = np.fromiter(map(self.index.get, segments, repeat(-1)), np.int64, len(segments))
+        if len(new := np.flatnonzero(known < 0)):
+            known[new] = np.arange(len(self.index), len(self.index) + len(new))
+            self._learn([segments[i] for i in new.tolist()])
+        at = known[numbers]
         size = self.size[at]
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)], size

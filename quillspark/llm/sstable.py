@@ -185,10 +185,17 @@ _encoders: dict[str, tuple] = {}
 PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ɏ–—‘’“”]*")
 
 
+#: Bytes of ASCII letters, and of marks that end a run of letters whatever follows; the apostrophe, which begins contractions, is none.
+LETTER, MARK = 1, 2
+KINDS = np.zeros(256, np.uint8)
+KINDS[[b for b in range(128) if chr(b).isalpha()]] = LETTER
+KINDS[list(b".,;:!?)")] = MARK
+
+
 def segment_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Where segments begin in the bytes of texts that begin at `begins`: a word with the blank
-    before it; of longer white space, what is left before that blank or before the last character.
-    The tokenizer's pattern never joins two such segments."""
+    before it; of longer white space, what is left before that blank or before the last character; marks
+    after an ASCII letter, so that a word is the same one before a comma. The tokenizer's pattern never joins two such segments."""
     blank = blanks(data)
     marks = np.zeros(len(data) + 1, bool)
     marks[0] = marks[begins] = True
@@ -198,6 +205,8 @@ def segment_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     word = np.flatnonzero(~blank & before)  # a word after white space
     marks[word - 1] = True
     marks[word[data[word - 1] != 32]] = True
+    kind = KINDS[data]
+    marks[1:-1] |= (kind[1:] == MARK) & (kind[:-1] == LETTER)
     return np.flatnonzero(marks[:-1])
 
 

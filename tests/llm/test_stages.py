@@ -82,3 +82,20 @@ def test_encoding_covers_every_row(spark, odd):
     digest = lambda t: hashlib.sha256(" ".join(map(str, [*library.encode(t or ""), 2])).encode()).hexdigest()
     got = Counter((r["doc_id"], r["ids_sha256"]) for r in _run(spark, "SentencePiece encoding and decoding", odd).collect())
     assert got == Counter((r[0], digest(r[1])) for r in ROWS)
+
+
+def test_a_word_is_one_segment_whatever_mark_follows():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillspark.llm import sstable
+
+    data = b"word, word. word) don't a.b 1.2 ,x"
+    starts = sstable.segment_starts(np.frombuffer(data, np.uint8), np.empty(0, np.int64))
+    parts = [data[a:z] for a, z in zip(starts, [*starts[1:], len(data)], strict=True)]
+    assert parts == [b"word", b",", b" word", b".", b" word", b")", b" don't", b" a", b".b", b" 1.2", b" ,x"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["don't, we'll;they've!?)a.b,c d.e ,f", "x..,y 's,'t re.'ll", "é,a.é b’,c’. d", "a.\n\n b,\tc)\n", "foo.)'s", "1,2.3 a1,b2."]
+    ids, sizes = sstable.encoder(path)(texts)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
