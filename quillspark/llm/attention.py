@@ -1,10 +1,8 @@
 """Language-model scores from a causal self-attention model in numpy.
 
 All counts (of words, ids, classes, and of ids after classes, which give most of a score) cover every
-position of the training corpus. The attention weights are fitted on a share of it that grows with it: every training
-document takes part, with one window of at most STRIDE scored ids in each SPACING of its ids (2.8 % of the
-training ids of sf0.1); fitting on all of them would take several times the CPU seconds allowed. Tables
-and weights have sizes fixed by parameters, so what reaches the driver does not grow.
+position of the training corpus, and the attention weights are fitted on all of it: each training id is
+scored once, in windows of STRIDE scored ids. Tables and weights have sizes fixed by parameters, so what reaches the driver does not grow.
 
 The model. Words are lower-cased (A-Z) and encoded, each after a blank, with a public subword
 vocabulary; a document ends with the end id. Ids form CLASSES classes by clustering the counts of
@@ -14,8 +12,8 @@ the corpus as bias. P(id) = P(class) * P(id | class, class before), the latter f
 Probabilities sum to one over all ids. A softmax over all 50,257 ids would take some 30 times the
 time allowed; that over classes keeps the attention in charge of every prediction.
 
-Fitting. In each of ROUNDS rounds a share of the training documents, a window of every SPACING
-ids, goes through Adam steps in the tasks that read them, beginning from the same weights; the weights
+Fitting. In each of ROUNDS rounds a share of the training documents, all windows of them,
+goes through Adam steps of BATCH windows in the tasks that read them, beginning from the same weights; the weights
 are averaged by numbers of windows. All documents take part in one round, so the steps grow with the corpus.
 
 Scoring. Windows of WINDOW inputs begin every STRIDE inputs; each scores its last STRIDE positions,
@@ -48,7 +46,7 @@ from .segments import SegmentEncoder, by_lines, chunks
 
 VOCABULARY, END_ID = 50_257, 50_256
 CLASSES, NEAR_IDS, INPUTS, WIDTH, WINDOW, STRIDE = 128, 64, 1024, 16, 32, 24
-MOST_FREQUENT, ROUNDS, BATCH, SPACING = 4_000_000, 4, 16, 2048
+MOST_FREQUENT, ROUNDS, BATCH = 4_000_000, 4, 128
 LOG10E = float(np.log10(np.e))
 
 _encoders: dict[str, SegmentEncoder] = {}
@@ -356,22 +354,21 @@ class Fitting:
 
 
 def windows_of(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, class_of: np.ndarray, input_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A window of every SPACING ids of each document, shifted as `places` (0 to 1) says: x, y, real
-    for gradients()."""
-    stretches = -(-sizes // SPACING)
-    owner = np.repeat(np.arange(len(sizes)), stretches)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
-    length = np.minimum(sizes[owner] - nth * SPACING, SPACING)
-    last = nth * SPACING + np.minimum(length, WINDOW) + np.floor(places[owner] * (np.maximum(length - WINDOW, 0) + 1)).astype(np.int64)
-    at = last[:, None] + np.arange(-WINDOW, 0)
-    real = at >= 0
-    flat = (np.cumsum(sizes) - sizes)[owner, None] + np.maximum(at, 0)
+    """All windows of each document, one every STRIDE ids, so that each id is scored once; where they begin is
+    shifted as `places` (0 to 1) says, so that ids are met at every place of a window: x, y, real for gradients()."""
+    shift = np.floor(places * STRIDE).astype(np.int64)
+    n = -(-(sizes + shift) // STRIDE)
+    owner = np.repeat(np.arange(len(sizes)), n)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at = (nth * STRIDE - shift[owner])[:, None] + np.arange(STRIDE - WINDOW, STRIDE)
+    real = (at >= 0) & (at < sizes[owner, None])
+    flat = (np.cumsum(sizes) - sizes)[owner, None] + np.where(real, at, 0)
     rows = before_of(ids, sizes, input_of, START_ROW)
     return np.where(real, rows[flat], START_ROW), class_of[ids[flat]][:, SCORED], real[:, SCORED]
 
 
 def fit_round(tokens: DataFrame, weights: Weights, bias: np.ndarray, class_of: np.ndarray, input_of: np.ndarray, nth: int, rounds: int) -> Weights:
-    """Each task takes steps on a window of every training document of this round that it reads; the
+    """Each task takes steps on all windows of the training documents of this round that it reads; the
     weights are then averaged, each task's by its number of windows."""
     shared = tokens.sparkSession.sparkContext.broadcast((weights, bias, class_of, input_of))
     unit = F.shiftrightunsigned(F.xxhash64("id", F.length("ids"), F.lit("window")), 11) * F.lit(2.0**-53)
@@ -386,9 +383,9 @@ def fit_round(tokens: DataFrame, weights: Weights, bias: np.ndarray, class_of: n
                 ids, sizes = _documents(part)
                 got = windows_of(ids.astype(np.int64), sizes, part.column("unit").to_numpy(), class_of, input_of)
                 held = [np.concatenate([h, x]) for h, x in zip(held, got, strict=True)] if held else list(got)
-                while len(held[0]) >= BATCH:
-                    state.step(*(h[:BATCH] for h in held))
-                    held = [h[BATCH:] for h in held]
+                for a in range(0, len(held[0]) - BATCH + 1, BATCH):
+                    state.step(*(h[a : a + BATCH] for h in held))
+                held = [h[len(h) // BATCH * BATCH :] for h in held]
         if held and len(held[0]):
             state.step(*held)
         if state.windows:

@@ -99,3 +99,17 @@ def test_a_word_is_one_segment_whatever_mark_follows():
     texts = ["don't, we'll;they've!?)a.b,c d.e ,f", "x..,y 's,'t re.'ll", "é,a.é b’,c’. d", "a.\n\n b,\tc)\n", "foo.)'s", "1,2.3 a1,b2."]
     ids, sizes = sstable.encoder(path)(texts)
     assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_attention_is_fitted_on_every_training_id():
+    import numpy as np
+
+    from quillspark.llm import attention
+
+    sizes, rng = np.array([1, 23, 24, 25, 5000, 7]), np.random.default_rng(1)
+    ids = np.arange(sizes.sum()) % attention.VOCABULARY
+    rows = np.arange(attention.VOCABULARY)
+    for places in (np.zeros(6), rng.random(6), np.full(6, 0.999)):
+        x, y, real = attention.windows_of(ids, sizes, places, rows, rows)
+        assert sorted(y[real]) == ids.tolist()  # before, 1 in each 2,048 ids gave a window
+        assert x.shape == (len(y), attention.WINDOW) and y.shape[1] == attention.STRIDE
