@@ -69,3 +69,20 @@ def test_portions_hold_all_rows(monkeypatch):
     parts = list(reach.portions(batch, 3))
     assert sum((p.column("content").to_pylist() for p in parts), []) == batch.column("content").to_pylist()
     assert [p.num_rows for p in parts] == [2, 1, 2, 2]
+
+
+def test_grams_in_numbers_are_those_of_sets():
+    texts = ["", "abc", "abcd", "abcdabcd", "the quick brown fox", "the quick fox is brown", "naïve quick — fox", "emoji \U0001f600 quick fox", "emoji \U0001f600 brown fox"]
+    sets = [frozenset(t[i : i + 4] for i in range(len(t) - 3)) for t in texts]
+    for a, x in zip(texts, sets, strict=True):
+        assert frontier.Prepared(a).n_grams == len(x)
+        for b, y in zip(texts, sets, strict=True):
+            assert frontier.common_grams(frontier.Prepared(a), frontier.Prepared(b)) == len(x & y)
+
+
+def test_a_document_travels_once_for_all_its_queries(spark, monkeypatch):
+    own, given = frontier.side_by_side, []
+    monkeypatch.setattr(frontier, "side_by_side", lambda rows: given.append(rows) or own(rows))
+    frontier.rank(catalogue.table(spark, SMALL, "benchmark"), catalogue.table(spark, SMALL, "documents"))
+    ids = [r["doc_id"] for r in given[0].select("doc_id").collect()]  # before, a row for each pair
+    assert len(ids) == len(set(ids)) and "asks" in given[0].columns
