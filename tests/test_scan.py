@@ -86,3 +86,11 @@ def test_a_document_travels_once_for_all_its_queries(spark, monkeypatch):
     frontier.rank(catalogue.table(spark, SMALL, "benchmark"), catalogue.table(spark, SMALL, "documents"))
     ids = [r["doc_id"] for r in given[0].select("doc_id").collect()]  # before, a row for each pair
     assert len(ids) == len(set(ids)) and "asks" in given[0].columns
+
+
+def test_queries_on_the_frontier_handle_its_texts_alone(spark, monkeypatch):
+    """Before, all documents met the frontier, and semantic_filter normalised each of them first."""
+    pairs = spark.createDataFrame([(q, d, r) for q in range(3) for r, d in enumerate(range(q, q + 4), 1)], "query_id long, doc_id long, rank int")
+    monkeypatch.setattr(frontier, "rank", lambda *_: pairs)
+    for name in ("semantic_filter", "informative_score", "fallback_informative"):
+        assert not [f for f in catalogue.QUERIES[name](spark, SMALL).inputFiles() if "documents" in f], name
