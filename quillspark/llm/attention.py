@@ -308,49 +308,74 @@ def first_weights() -> Weights:
 
 def gradients(p: Weights, x: np.ndarray, y: np.ndarray, real: np.ndarray, bias: np.ndarray) -> tuple[Weights, float]:
     """Of the mean loss -log P(class) over the scored positions that are real. x: input rows
-    (windows x WINDOW); y, real: classes and marks of the scored positions (windows x STRIDE)."""
-    e = p["e"][x]
-    q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-    s = q @ k.transpose(0, 2, 1) / 4 + np.where(x == START_ROW, -40.0, p["salience"][x])[:, None, :] + p["near"][GAP]
-    a = soft(np.where(CAUSAL, s, -1e9))
-    c = a @ v
-    d = soft(c[:, SCORED] @ p["u"] + bias[x[:, SCORED]])
-    n = max(1, int(real.sum()))
-    hit = np.take_along_axis(d, y[..., None], 2)[..., 0]
-    loss = -float((np.log(hit + 1e-12) * real).sum()) / n
-    np.put_along_axis(d, y[..., None], (hit - 1)[..., None], 2)
-    d *= real[..., None] / n
-    g = {"u": np.einsum("bwd,bwc->dc", c[:, SCORED], d, optimize=True)}
-    dc = np.zeros_like(c)
-    dc[:, SCORED] = d @ p["u"].T
-    da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dv, dq, dk = a.transpose(0, 2, 1) @ dc, ds @ k / 4, ds.transpose(0, 2, 1) @ q / 4
-    g["salience"] = np.bincount(x.ravel(), ds.sum(1).ravel(), ROWS)
-    g["near"] = np.bincount(GAP.ravel(), (ds * CAUSAL).sum(0).ravel(), WINDOW)
-    for name, grad in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = np.einsum("bwi,bwj->ij", e, grad, optimize=True)
-    de = (dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T).reshape(-1, WIDTH)
-    g["e"] = np.stack([np.bincount(x.ravel(), de[:, j], ROWS) for j in range(WIDTH)], 1)
+    (windows x WINDOW); y, real: classes and marks of the scored positions (windows x STRIDE).
+
+    As in score(), salience and the sum of the weights are a further column of keys and of queries and values, so neither
+    takes a pass of its own over the weights; inputs not scored ask for nothing."""
+    kind, one = bias.dtype, np.ones((ROWS, 1), bias.dtype)
+    into = np.hstack([p["q"] / 4, p["k"], p["v"]])
+    asks, keys, says = np.split(p["e"] @ into, 3, axis=1)
+    salience = p["salience"].copy()
+    salience[START_ROW] = -40.0
+    scored = x[:, SCORED]
+    q, k, v = np.hstack([asks, one]).take(scored, 0), np.hstack([keys, salience[:, None]]).take(x, 0), np.hstack([says, one]).take(x, 0)
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(CAUSAL, p["near"][GAP], -1e4)[SCORED].astype(kind)
+    np.exp(np.minimum(a, 60, out=a), out=a)
+    seen = a @ v
+    part = 1 / (seen[..., WIDTH:] + kind.type(1e-30))
+    c = seen[..., :WIDTH] * part
+    flat = c.reshape(-1, WIDTH)
+    d = flat @ p["u"]
+    d += bias.take(scored.ravel(), 0)
+    if np.abs(flat).max() * np.abs(p["u"]).sum(0).max() > 80:
+        np.minimum(d, 80, out=d)
+    np.exp(d, out=d)
+    total = d @ np.ones(CLASSES, kind)
+    share = (real.ravel() / max(1, int(real.sum()))).astype(kind)
+    at = np.arange(0, d.size, CLASSES) + y.ravel()
+    loss = -float(np.log(d.ravel().take(at) / total + 1e-12) @ share)
+    d *= (share / total)[:, None]
+    d.ravel()[at] -= share
+    g = {"u": (d.T @ flat).T}
+    dc = (d @ p["u"].T).reshape(c.shape)
+    ds = np.empty_like(seen)
+    np.multiply(dc, part, out=ds[..., :WIDTH])
+    ds[..., WIDTH] = -np.einsum("bwi,bwi->bw", ds[..., :WIDTH], c)
+    da = ds @ v.transpose(0, 2, 1)
+    da *= a
+    dk = da.transpose(0, 2, 1) @ q
+    turned = np.zeros((*x.shape, 3 * WIDTH), kind)
+    turned[:, SCORED, :WIDTH] = da @ k[..., :WIDTH]
+    turned[..., WIDTH : 2 * WIDTH] = dk[..., :WIDTH]
+    turned[..., 2 * WIDTH :] = a.transpose(0, 2, 1) @ ds[..., :WIDTH]
+    turned, rows = turned.reshape(-1, 3 * WIDTH), x.ravel()
+    dq, g["k"], g["v"] = np.split(p["e"].take(rows, 0).T @ turned, 3, axis=1)
+    g["q"] = dq / 4
+    g["salience"] = np.bincount(rows, dk[..., WIDTH].ravel(), ROWS)
+    g["near"] = np.bincount(GAP[SCORED].ravel(), da.sum(0).ravel(), WINDOW)
+    g["e"] = np.stack([np.bincount(rows, column, ROWS) for column in into @ turned.T], 1)
     return g, loss
 
 
 class Fitting:
-    """Adam steps on windows as they come."""
+    """Adam steps on windows as they come. All weights lie in one array, of which p has the views."""
 
     def __init__(self, weights: Weights, bias: np.ndarray, rate: float = 0.01):
-        self.p, self.bias, self.rate, self.steps, self.windows, self.losses = {k: x.astype(np.float32) for k, x in weights.items()}, bias, rate, 0, 0, []
-        self.first, self.second = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        self.flat, self.bias, self.rate, self.steps, self.windows, self.losses = np.concatenate([x.ravel() for x in weights.values()]).astype(np.float32), bias, rate, 0, 0, []
+        cuts = np.cumsum([x.size for x in weights.values()])
+        self.p = {k: part.reshape(x.shape) for (k, x), part in zip(weights.items(), np.split(self.flat, cuts[:-1]), strict=True)}
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> None:
         g, loss = gradients(self.p, x, y, real, self.bias)
         self.losses.append(loss)
         self.steps += 1
         self.windows += len(x)
-        for name, grad in g.items():
-            self.first[name] = 0.9 * self.first[name] + 0.1 * grad
-            self.second[name] = 0.99 * self.second[name] + 0.01 * grad * grad
-            self.p[name] = (self.p[name] - self.rate * (self.first[name] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[name] / (1 - 0.99**self.steps)) + 1e-9)).astype(np.float32)
+        grad = np.concatenate([g[name].ravel() for name in self.p]).astype(np.float32)
+        self.first += 0.1 * (grad - self.first)
+        self.second += 0.01 * (grad * grad - self.second)
+        self.flat -= self.rate / (1 - 0.9**self.steps) * self.first / (np.sqrt(self.second / (1 - 0.99**self.steps)) + 1e-9)
 
 
 def windows_of(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, class_of: np.ndarray, input_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -72,12 +72,13 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Of the words of all texts, A-Z lowered: the number of each, the words that the numbers stand
     for, and where each text begins and ends among them."""
     parts = [t.encode() for t in texts]
-    data = (b"\n" + b"\n".join(parts) + b"\n").lower()  # of bytes, lower() changes A-Z alone
-    blank = blanks(np.frombuffer(data, np.uint8))
+    data = np.frombuffer((b"\n" + b"\n".join(parts) + b"\n").lower(), np.uint8)  # of bytes, lower() changes A-Z alone
+    blank = blanks(data)
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # words and white space in turn
-    numbers, segments = distinct(data, np.concatenate([[0], edges]))
+    first, sizes = edges[::2], np.diff(edges)[::2]
+    numbers, segments = distinct(data[~blank].tobytes(), np.cumsum(sizes) - sizes)
     ends = np.cumsum(np.fromiter((len(x) + 1 for x in parts), np.int64, len(parts)))
-    return numbers[1::2], segments, np.searchsorted(edges[::2], np.concatenate([[0], ends]))
+    return numbers, segments, np.searchsorted(first, np.concatenate([[0], ends]))
 
 
 def hashed(segments: list[bytes]) -> np.ndarray:

@@ -113,3 +113,22 @@ def test_attention_is_fitted_on_every_training_id():
         x, y, real = attention.windows_of(ids, sizes, places, rows, rows)
         assert sorted(y[real]) == ids.tolist()  # before, 1 in each 2,048 ids gave a window
         assert x.shape == (len(y), attention.WINDOW) and y.shape[1] == attention.STRIDE
+
+
+def test_attention_steps_stay_in_one_precision_and_words_leave_white_space():
+    import numpy as np
+
+    from quillspark.llm import attention, nearset
+
+    rng = np.random.default_rng(1)
+    sizes, rows = np.full(20, 60), np.arange(attention.VOCABULARY) % attention.CLASSES
+    bias = np.zeros((attention.ROWS, attention.CLASSES), np.float32)
+    state = attention.Fitting(attention.first_weights(), bias)
+    for _ in range(3):
+        state.step(*attention.windows_of(rng.integers(0, 99, 1200), sizes, rng.random(20), rows, rows))
+    # before, parts of the steps ran in float64, each array of weights by itself
+    assert {x.dtype for x in (state.flat, state.first, state.second, *state.p.values())} == {np.dtype(np.float32)}
+    assert all(np.shares_memory(x, state.flat) for x in state.p.values()) and state.losses[-1] < state.losses[0]
+    numbers, words, upto = nearset.words_of(["Be  be", "", " \n", "so\tbe "])
+    assert ([words[i] for i in numbers.tolist()], upto.tolist()) == ([b"be", b"be", b"so", b"be"], [0, 2, 2, 2, 4])
+    assert sorted(words) == [b"be", b"so"]  # before, white space was looked up like words
